@@ -195,6 +195,8 @@ FROM events""",
     # Which minute instants each definition kind fires at; kinds 10 and 11 never do.
     "minutes": f"""
 SELECT t FROM generate_series(TIMESTAMP '{RANGE_START}', TIMESTAMP '2024-01-31 23:59:00', INTERVAL '1' MINUTE) g(t)""",
+    "wide_minutes": f"""
+SELECT t FROM generate_series(TIMESTAMP '{RANGE_START}', TIMESTAMP '2024-03-31 23:59:00', INTERVAL '1' MINUTE) g(t)""",
     "kind_ticks": """
 SELECT k, t FROM minutes, (SELECT unnest(range(0, 10)) AS k) kinds
 WHERE CASE k
@@ -210,7 +212,10 @@ WHERE CASE k
   ELSE true END""",
     "ticks": "SELECT d.id, k.t AS tick FROM definitions d JOIN kind_ticks k ON (d.id - 1) % 12 = k.k",
 }
-_NEEDS = {"kind_ticks": ["minutes"], "ticks": ["definitions", "kind_ticks"]}
+CTE["wide_kind_ticks"] = CTE["kind_ticks"].replace("FROM minutes", "FROM wide_minutes")
+CTE["wide_ticks"] = CTE["ticks"].replace("kind_ticks", "wide_kind_ticks")
+_NEEDS = {"kind_ticks": ["minutes"], "ticks": ["definitions", "kind_ticks"],
+          "wide_kind_ticks": ["wide_minutes"], "wide_ticks": ["definitions", "wide_kind_ticks"]}
 
 
 def with_ctes(names: str, body: str, recursive: bool = False) -> str:
@@ -225,8 +230,10 @@ def with_ctes(names: str, body: str, recursive: bool = False) -> str:
 
     for name in names.split():
         add(name)
-    head = ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered)
     body = body.strip()
+    if not ordered:
+        return body
+    head = ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered)
     if body.upper().startswith("WITH "):
         return f"WITH {'RECURSIVE ' if recursive else ''}{head},\n{body[5:]}"
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}\n{body}"

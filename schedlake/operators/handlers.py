@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -60,23 +61,22 @@ def error_text(error: Exception) -> str:
 
 
 def _run_batches(rows: dict[str, RowHandler]):
-    import json
-
     def outcome(row) -> tuple:
         if row.params_error is not None:
             return row.id, "fail", row.params_error, None, 0.0
         params = json.loads(row.extras_json or "{}")
-        params |= {"action": row.param_action, "id": None if pd.isna(row.param_id) else int(row.param_id),
+        params |= {"action": row.param_action, "id": None if row.param_id is None else int(row.param_id),
                    "name": row.param_name, "value": row.param_value}
         begin = time.monotonic()
         try:
             result = rows[row.handler_name](params)
+            text = None if result is None else json.dumps(result, ensure_ascii=False, separators=(",", ":"))
         except Exception as error:  # one bad run must not fail the others
             return row.id, "fail", error_text(error), None, time.monotonic() - begin
         spent = time.monotonic() - begin
         if spent > row.timeout_seconds:
             return row.id, "timeout", None, None, spent
-        return row.id, "complete", None, None if result is None else json.dumps(result), spent
+        return row.id, "complete", None, text, spent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["id", "kind", "error_message", "result", "elapsed_seconds"]
@@ -98,7 +98,8 @@ def run_handlers(pending: DataFrame, registry: Registry) -> DataFrame:
         "id", F.lit("fail").alias("kind"), F.concat(F.lit(HANDLER_NOT_FOUND), "handler_name").alias("error_message"),
         F.lit(None).cast("string").alias("result"), F.lit(0.0).alias("elapsed_seconds"))
     runs = parsed.filter(known).select(
-        "id", "handler_name", "timeout_seconds", "param_action", "param_id", "param_name", "param_value",
+        "id", "handler_name", "timeout_seconds", "param_action",
+        F.col("param_id").cast("string").alias("param_id"), "param_name", "param_value",  # text keeps all digits
         F.to_json("param_extras").alias("extras_json"), "params_error")
     return runs.mapInPandas(_run_batches(dict(registry.rows)), OUTCOME_SCHEMA).unionByName(unknown)
 
