@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schedlake.functions.clock import elapsed_seconds
+from schedlake.operators.joins import missing, spread_join
 from schedlake.operators.validate import duplicate_names, validate_cron, validate_definitions
-from schedlake.operators.views import missing, not_retryable_reason, pending, terminal, with_definition
+from schedlake.operators.views import not_retryable_reason, pending, terminal, with_definition
 from schedlake.schemas import (
     DEFAULT_MIN_INTERVAL_SECONDS, FAILED, PENDING, RETRYABLE, RUNNING, SUCCESS, TIMEOUT, TIMEOUT_MESSAGE,
     definition_defaults, ntz)
@@ -25,20 +26,20 @@ class Change(NamedTuple):
 
 
 def _replace(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in df.columns])
+    return df.withColumns(columns)
 
 
 # Definitions
 
-def number_rows(df: DataFrame, key: str) -> DataFrame:
-    """Adds ``rn``, a gapless 1-based number in the order of (md5(key), key).
+def number_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``rn``, a gapless 1-based number in the order of (md5 of the keys, keys).
 
     Rows are numbered inside hash buckets and shifted by the sizes of the buckets before, so the
-    numbering of a large batch is not done by a single task.
+    numbering of a large batch is not done by a single task. The keys must identify a row.
     """
-    digest = F.md5(F.col(key))
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
     rows = df.withColumns({"_digest": digest, "_bucket": F.substring(digest, 1, NUMBERING_BUCKETS_HEX)})
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", *keys))
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     shift = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -46,6 +47,13 @@ def number_rows(df: DataFrame, key: str) -> DataFrame:
         *df.columns, (F.col("_inside") + F.col("_before")).alias("rn"))
 
 
+def assign_ids(rows: DataFrame, keys: list[str], after: Column | int) -> DataFrame:
+    """Rows with ``id`` counting on from ``after``, the greatest id in use."""
+    numbered = number_rows(rows.drop("id"), keys)
+    after = F.lit(after) if isinstance(after, int) else after
+    return numbered.withColumn("id", F.col("rn") + after).select(*rows.columns)
+
+
 def insert_definitions(defs: DataFrame, new: DataFrame, now,
                        min_interval: int = DEFAULT_MIN_INTERVAL_SECONDS) -> Change:
     """Adds new definitions (no id) that pass every check, numbered after the greatest id.
@@ -59,9 +67,8 @@ def insert_definitions(defs: DataFrame, new: DataFrame, now,
         clashes.distinct(), F.col("name") == F.col("_clash"), "left")
     rows = rows.withColumn("errors", F.array_compact(F.concat(
         "errors", F.array(F.col("reason"), F.concat(F.lit("name_"), F.col("_name_error"))))))
-    good = number_rows(rows.filter(F.size("errors") == 0).select(*[c for c in defs.columns if c != "id"]), "name")
-    greatest = defs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    added = good.withColumn("id", F.col("rn") + greatest).select(*defs.columns)
+    good = rows.filter(F.size("errors") == 0).select(*defs.columns)
+    added = assign_ids(good, ["name"], defs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar())
     rejected = rows.filter(F.size("errors") > 0).select("name", "cron_expression", "errors")
     return Change(defs.unionByName(added), rejected)
 
@@ -109,7 +116,7 @@ def set_enabled(defs: DataFrame, ids: DataFrame, flag: bool, now) -> Change:
 def cascade_delete(execs: DataFrame, deleted: DataFrame) -> DataFrame:
     """Executions without those of deleted definitions; rows without a job stay."""
     gone = deleted.select(F.col("id").alias("_gone")).distinct()
-    return execs.join(gone, F.col("job_id") == F.col("_gone"), "left_anti")
+    return spread_join(execs, gone, "job_id", "_gone", "left_anti", ["id"])
 
 
 class Deletion(NamedTuple):
@@ -140,21 +147,27 @@ def apply_outcomes(execs: DataFrame, outcomes: DataFrame, defs: DataFrame, now)
     ``outcomes`` has ``id``, ``kind`` (complete, fail, timeout), ``error_message`` and ``result``. A
     failure with attempts left goes back to PENDING and keeps its error message.
     """
-    right = outcomes.select(F.col("id").alias("_id"), F.col("kind").alias("_kind"),
-                            F.col("error_message").alias("_error"), F.col("result").alias("_result"))
-    joined = with_definition(execs, defs).join(right, F.col("id") == F.col("_id"), "left")
-    ends = (F.col("status") == RUNNING) & F.col("_kind").isNotNull()
-    failed = ends & F.col("_kind").isin("fail", "timeout")
+    wanted = outcomes.select("id", "kind", F.col("error_message").alias("_error"), F.col("result").alias("_result"))
+    # Only RUNNING rows can end, so just those meet the outcomes and the definitions; the table itself
+    # is joined once more with what changed.
+    ending = execs.filter(F.col("status") == RUNNING).select("id", "job_id", "handler_name", "retry_count")
+    ended = with_definition(ending.join(wanted, "id"), defs)
+    failed = F.col("kind").isin("fail", "timeout")
     again = failed & (F.col("retry_count") + 1 < F.col("max_retry"))
-    done = ends & (F.col("_kind") == "complete")
+    change = ended.select(
+        F.col("id").alias("_id"), "kind", again.alias("_again"), failed.alias("_failed"),
+        F.when(F.col("kind") == "timeout", TIMEOUT_MESSAGE).otherwise(F.col("_error")).alias("_error"), "_result")
+    joined = execs.join(change, F.col("id") == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    failed, again, done = (F.coalesce(c, F.lit(False)) for c in (
+        F.col("_failed"), F.col("_again"), F.col("kind") == "complete"))
     return _replace(joined, {
-        "status": F.when(again, PENDING).when(done, SUCCESS).when(ends & (F.col("_kind") == "fail"), FAILED).when(
-            ends & (F.col("_kind") == "timeout"), TIMEOUT).otherwise(F.col("status")),
+        "status": F.when(again, PENDING).when(done, SUCCESS).when(F.col("kind") == "fail", FAILED).when(
+            F.col("kind") == "timeout", TIMEOUT).otherwise(F.col("status")),
         "started_at": F.when(~again, F.col("started_at")),
-        "finished_at": F.when(again, F.lit(None)).when(ends, ntz(now)).otherwise(F.col("finished_at")),
+        "finished_at": F.when(again, F.lit(None)).when(hit, ntz(now)).otherwise(F.col("finished_at")),
         "retry_count": F.col("retry_count") + F.when(failed, 1).otherwise(0),
-        "error_message": F.when(ends & (F.col("_kind") == "timeout"), TIMEOUT_MESSAGE).when(
-            failed, F.col("_error")).otherwise(F.col("error_message")),
+        "error_message": F.when(failed, F.col("_error")).otherwise(F.col("error_message")),
         "result": F.when(done, F.col("_result")).otherwise(F.col("result")),
     }).select(*execs.columns)
 

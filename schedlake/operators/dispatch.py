@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schedlake.operators.joins import spread_join
 from schedlake.operators.views import incomplete
 from schedlake.schemas import DEFAULT_POLL_INTERVAL_SECONDS
 
@@ -29,7 +30,9 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, order: list[str] | Non
     own = [F.when(F.col("job_id").isNull(), F.col(c)).alias(f"_own_{i}") for i, c in enumerate(order)]
     names = [f"_own_{i}" for i in range(len(order))]
     unique = first_by_key(new.select("*", *own), KEY + names, order).drop(*names)
-    taken = existing.filter("job_id IS NOT NULL").select(*KEY)
+    # The history is reduced to the wanted keys first: a small batch is broadcast against it.
+    wanted = new.filter("job_id IS NOT NULL").select(*KEY).distinct()
+    taken = existing.select(*KEY).join(wanted, KEY, "left_semi")
     return unique.join(taken, KEY, "left_anti").select(*new.columns)
 
 
@@ -49,13 +52,13 @@ def overlap_guard(due: DataFrame, execs: DataFrame) -> DataFrame:
     return first.select(*[F.col(c) if c == "id" else F.col(f"_row.{c}").alias(c) for c in due.columns])
 
 
-def resolve_handler(triggers: DataFrame, defs: DataFrame) -> DataFrame:
+def resolve_handler(triggers: DataFrame, defs: DataFrame, spread_by: list[str]) -> DataFrame:
     """Adds ``resolved_id`` and ``base_params`` of the definition with the smallest id for the handler,
-    for triggers that carry no job id (NULL or 0)."""
+    for triggers that carry no job id (NULL or 0). The others are spread by ``spread_by``."""
     owners = defs.groupBy(F.col("handler_name").alias("_handler")).agg(
         F.min_by(F.struct(F.col("id"), F.col("handler_params")), "id").alias("_owner"))
     wanted = triggers.withColumn("_wanted", F.when(F.coalesce(F.col("job_id"), F.lit(0)) == 0, F.col("handler_name")))
-    return wanted.join(owners, F.col("_wanted") == F.col("_handler"), "left").select(
+    return spread_join(wanted, owners, "_wanted", "_handler", "left", spread_by).select(
         *triggers.columns, F.col("_owner.id").alias("resolved_id"),
         F.col("_owner.handler_params").alias("base_params"))
 

@@ -51,8 +51,8 @@ def cron_occurrences(defs: DataFrame, start, end) -> DataFrame:
     return seconds.select("id", tick.alias("tick")).filter(f"tick >= {lo} AND tick < {hi}")
 
 
-def _search(parsed: DataFrame, as_of, n: int, forward: bool) -> DataFrame:
-    """Parsed expressions with ``cron_error`` and ``fires``, all worked out inside the row.
+def _search(parsed: DataFrame, as_of, n: int, forward: bool, extra: list[str] | None = None) -> DataFrame:
+    """Parsed expressions with ``cron_error``, ``fires`` and further SQL columns, all worked out inside the row.
 
     At each level (day, hour, minute) only the n + 1 nearest candidates are opened; the first may hold
     no tick, each further one holds at least one.
@@ -87,14 +87,27 @@ def _search(parsed: DataFrame, as_of, n: int, forward: bool) -> DataFrame:
                      .alias("_far"))
     out = out.select(*kept, F.expr(f"IF(size(_far) > {n}, _far, CASE WHEN {ok} THEN {search(LAST_DAYS)} END)")
                      .alias("_days"))
-    return out.select("cron_expression", "cron_error",
-                      F.expr(f"coalesce({ticks}, cast(array() AS array<timestamp_ntz>))").alias("fires"))
+    return out.selectExpr("cron_expression", "cron_error",
+                          f"coalesce({ticks}, cast(array() AS array<timestamp_ntz>)) AS fires", *(extra or []))
 
 
-def with_fires(defs: DataFrame, as_of, n: int = 2, forward: bool = True) -> DataFrame:
+def _window_ticks(now: datetime, seconds: int) -> str:
+    """SQL array of the ticks in the window before an instant, tested second by second."""
+    begin = now - timedelta(seconds=seconds)
+    first = begin if begin.microsecond == 0 else begin.replace(microsecond=0) + timedelta(seconds=1)
+    last = now.replace(microsecond=0) if now.microsecond else now - timedelta(seconds=1)
+    window = f"sequence(timestamp_ntz '{first}', timestamp_ntz '{last}', interval 1 second)"
+    return f"CASE WHEN cron_error IS NULL THEN filter({window}, t -> {matches_instant('t')}) END"
+
+
+def with_fires(defs: DataFrame, as_of, n: int = 2, forward: bool = True, window_seconds: int | None = None) -> DataFrame:
     """Definitions with ``cron_error`` and an array ``fires``: up to n ticks strictly after ``as_of``
-    (strictly before it with ``forward=False``), nearest first."""
-    return per_expression(defs, lambda parsed: _search(parsed, as_of, n, forward))
+    (strictly before it with ``forward=False``), nearest first.
+
+    With ``window_seconds`` also an array ``ticks`` of those in the window before ``as_of``.
+    """
+    extra = [] if window_seconds is None else [f"{_window_ticks(_instant(as_of), window_seconds)} AS ticks"]
+    return per_expression(defs, lambda parsed: _search(parsed, as_of, n, forward, extra))
 
 
 def next_fires(defs: DataFrame, as_of, n: int = 2) -> DataFrame:
@@ -118,18 +131,14 @@ def due(defs: DataFrame, as_of, poll_interval: int = DEFAULT_POLL_INTERVAL_SECON
     hour are tested second by second, once per distinct expression; longer ones expand occurrences.
     """
     now = _instant(as_of)
-    begin = now - timedelta(seconds=poll_interval)
     if poll_interval <= SHORT_WINDOW_SECONDS:
-        first = begin if begin.microsecond == 0 else begin.replace(microsecond=0) + timedelta(seconds=1)
-        last = now.replace(microsecond=0) if now.microsecond else now - timedelta(seconds=1)
-        window = f"sequence(timestamp_ntz '{first}', timestamp_ntz '{last}', interval 1 second)"
-        ticks = f"CASE WHEN cron_error IS NULL THEN filter({window}, t -> {matches_instant('t')}) END"
-        found = per_expression(defs, lambda parsed: parsed.select("cron_expression", F.expr(ticks).alias("_ticks")))
+        ticks = _window_ticks(now, poll_interval)
+        found = per_expression(defs, lambda parsed: parsed.selectExpr("cron_expression", f"{ticks} AS _ticks"))
         if catch_up:
             return found.select(*defs.columns, F.explode("_ticks").alias("scheduled_time"))
         return found.filter("size(_ticks) > 0").select(
             *defs.columns, F.element_at("_ticks", -1).alias("scheduled_time"))
-    ticks = cron_occurrences(defs, begin, now)
+    ticks = cron_occurrences(defs, now - timedelta(seconds=poll_interval), now)
     if not catch_up:
         ticks = ticks.groupBy("id").agg(F.max("tick").alias("tick"))
     return defs.join(ticks.withColumnRenamed("tick", "scheduled_time"), "id")

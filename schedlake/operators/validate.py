@@ -32,15 +32,17 @@ def validate_definitions(defs: DataFrame) -> DataFrame:
     return defs.withColumn("errors", F.expr(f"array_compact(array({', '.join(checks)}))"))
 
 
+def cron_verdict(min_interval: int) -> list[str]:
+    """SQL columns ``interval_seconds`` and ``reason`` from ``cron_error`` and the next two ``fires``."""
+    gap = "CASE WHEN size(fires) = 2 THEN timestampdiff(SECOND, fires[0], fires[1]) END"
+    return [f"{gap} AS interval_seconds", f"""CASE WHEN cron_error IS NOT NULL THEN 'parse_error'
+        WHEN size(fires) = 0 THEN 'never_fires' WHEN {gap} < {min_interval} THEN 'too_short' END AS reason"""]
+
+
 def validate_cron(defs: DataFrame, as_of, min_interval: int = DEFAULT_MIN_INTERVAL_SECONDS) -> DataFrame:
     """Definitions with ``reason`` (``parse_error``, ``never_fires``, ``too_short`` or NULL) and the
     ``interval_seconds`` between the next two fires."""
-    gap = "CASE WHEN size(fires) = 2 THEN timestampdiff(SECOND, fires[0], fires[1]) END"
-    out = with_fires(defs, as_of, 2)
-    return out.select(*defs.columns, F.expr(gap).alias("interval_seconds"), F.expr(f"""CASE
-        WHEN cron_error IS NOT NULL THEN 'parse_error'
-        WHEN size(fires) = 0 THEN 'never_fires'
-        WHEN {gap} < {min_interval} THEN 'too_short' END""").alias("reason"))
+    return with_fires(defs, as_of, 2).selectExpr(*defs.columns, *cron_verdict(min_interval))
 
 
 def duplicate_names(defs: DataFrame, incoming: DataFrame) -> DataFrame:

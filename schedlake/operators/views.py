@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from schedlake.operators.joins import spread_join
 from schedlake.schemas import (
     DEFAULT_MAX_RETRY, DEFAULT_PAGE_SIZE, DEFAULT_TIMEOUT_SECONDS, INCOMPLETE, MAX_PAGE_SIZE, PENDING, RETRYABLE,
     TERMINAL, ntz)
 
-NULL_SPREAD = 512
-
 # Column sets of the three history views.
 RUN_COLUMNS = ["id", "job_id", "status", "started_at", "finished_at", "retry_count", "error_message", "result",
                "created_at"]
@@ -86,29 +85,8 @@ def lookup(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(keys.select(*names).distinct(), names, "left_semi")
 
 
-def missing(keys: DataFrame, df: DataFrame, on: str | list[str]) -> DataFrame:
-    """Keys that ``df`` does not hold."""
-    names = [on] if isinstance(on, str) else on
-    return keys.join(df.select(*names).distinct(), names, "left_anti")
-
-
 # Definition joins
 
-def _join_by_job(execs: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Joins on ``job_id``. Rows without a job match nothing, so they are spread instead of meeting in one task.
-
-    No broadcast hint: Spark broadcasts a small definition table by its size and otherwise shuffles,
-    where adaptive execution splits a hot job.
-    """
-    if how == "inner":
-        return execs.join(right, F.col("job_id") == F.col("_def_id"), "inner")
-    left = execs.withColumn("_spread", F.when(
-        F.col("job_id").isNull(), F.pmod(F.xxhash64("id"), F.lit(NULL_SPREAD))).otherwise(F.lit(0)))
-    right = right.withColumn("_zero", F.pmod(F.col("_def_id"), F.lit(1)))
-    on = (F.col("job_id") == F.col("_def_id")) & (F.col("_spread") == F.col("_zero"))
-    return left.join(right, on, how).drop("_spread", "_zero")
-
-
 def with_definition(execs: DataFrame, defs: DataFrame, how: str = "left") -> DataFrame:
     """Adds ``cron_name``, ``job_name``, ``max_retry`` and ``timeout_seconds`` of the definition.
 
@@ -116,7 +94,11 @@ def with_definition(execs: DataFrame, defs: DataFrame, how: str = "left") -> Dat
     """
     right = defs.select(F.col("id").alias("_def_id"), F.col("name").alias("cron_name"),
                         F.col("max_retry").alias("_retry"), F.col("timeout_seconds").alias("_timeout"))
-    return _join_by_job(execs, right, how).select(
+    if how == "inner":
+        joined = execs.join(right, F.col("job_id") == F.col("_def_id"), "inner")
+    else:
+        joined = spread_join(execs, right, "job_id", "_def_id", how, ["id"])
+    return joined.select(
         *execs.columns, "cron_name",
         F.coalesce("cron_name", "handler_name").alias("job_name"),
         F.coalesce("_retry", F.lit(DEFAULT_MAX_RETRY)).alias("max_retry"),

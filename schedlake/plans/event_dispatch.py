@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from schedlake.functions.params import EMPTY_MAP, as_map, encode_params, merge_params, parse_trigger, unwrap
 from schedlake.operators.dispatch import resolve_handler
+from schedlake.operators.joins import spread_join
 from schedlake.schemas import EXECUTION_SCHEMA, PENDING
 
 MESSAGE_KEY = ["msg_topic", "msg_partition", "msg_offset"]
@@ -27,9 +28,9 @@ def enrich_triggers(triggers: DataFrame, defs: DataFrame, merge_when_job_id_give
     Both joins leave the choice of strategy to Spark: definitions are broadcast only below its size
     threshold, and a handler that most messages name is split by adaptive execution.
     """
-    parsed = resolve_handler(parse_trigger(triggers), defs)
+    parsed = resolve_handler(parse_trigger(triggers), defs, MESSAGE_KEY)
     given = defs.select(F.col("id").alias("_given"), F.col("handler_params").alias("_given_params"))
-    joined = parsed.join(given, F.col("job_id") == F.col("_given"), "left")
+    joined = spread_join(parsed, given, "job_id", "_given", "left", MESSAGE_KEY)
     base_text = "coalesce(base_params, _given_params)" if merge_when_job_id_given else "base_params"
     joined = joined.withColumn("_base_text", F.expr(unwrap(base_text)))
     joined = joined.withColumn("_base", F.expr(f"coalesce({as_map('_base_text')}, {EMPTY_MAP})"))

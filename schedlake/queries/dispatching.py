@@ -6,6 +6,7 @@ from schedlake import fixtures as fx
 from schedlake.fixtures import with_ctes
 from schedlake.functions.params import parse_trigger
 from schedlake.operators import dispatch as d
+from schedlake.operators.changes import assign_ids
 from schedlake.operators.occurrences import cron_occurrences, due
 from schedlake.plans.cron_dispatch import dispatch
 from schedlake.plans.event_dispatch import ingest
@@ -59,7 +60,7 @@ FROM parsed p LEFT JOIN owners o ON p.job_id IS NULL AND o.handler_name = p.hand
     LEFT JOIN definitions d ON d.id = o.id"""))
 def handler_resolution(spark, sf):
     parsed = parse_trigger(fx.triggers(spark, sf)).select("msg_partition", "msg_offset", "handler_name", "job_id")
-    return d.resolve_handler(parsed, fx.definitions(spark, sf))
+    return d.resolve_handler(parsed, fx.definitions(spark, sf), ["msg_partition", "msg_offset"])
 
 
 @query(with_ctes("ticks polls", """SELECT p.poll_ts, t.id, max(t.tick) AS scheduled_time FROM polls p
@@ -102,6 +103,17 @@ def cron_dispatch(spark, sf):
     return dispatch(fx.definitions(spark, sf), execs, fx.AS_OF).created.select(*DISPATCHED)
 
 
+@query(with_ctes("ticks wide_ticks executions", f"""WITH created AS ({DISPATCH_SQL.format(fx.AS_OF)})
+SELECT row_number() OVER (ORDER BY md5(concat(job_id, '|', strftime(scheduled_time, '%Y-%m-%d %H:%M:%S'))), job_id)
+    + (SELECT max(id) FROM executions) AS id, job_id, scheduled_time, status FROM created"""))
+def cron_dispatch_with_ids(spark, sf):
+    execs = fx.executions(spark, sf)
+    past = execs.filter(F.col("created_at") < fx.ntz(fx.AS_OF))
+    created = dispatch(fx.definitions(spark, sf), past, fx.AS_OF).created
+    return assign_ids(created, ["job_id", "scheduled_time"], execs.agg(F.max("id")).scalar()).select(
+        "id", "job_id", "scheduled_time", "status")
+
+
 @query(with_ctes("definitions", f"""SELECT id, name, cron_expression,
     CASE (id - 1) % 12 WHEN 10 THEN 'never_fires' ELSE 'parse_error' END AS reason FROM definitions
     WHERE is_enabled AND (id - 1) % 12 IN (10, 11)"""))

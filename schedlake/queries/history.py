@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from schedlake import fixtures as fx
 from schedlake.fixtures import with_ctes
 from schedlake.operators import views as v
+from schedlake.operators.joins import missing
 from schedlake.plans.named_queries import NamedQueries
 from schedlake.queries.registry import query
 from schedlake.schemas import definition_defaults, empty_executions, execution_defaults
@@ -73,7 +74,7 @@ def lookup_executions_by_handler(spark, sf):
     WHERE handler_name NOT IN (SELECT handler_name FROM definitions WHERE is_enabled AND max_retry > 2)"""))
 def missing_handlers(spark, sf):
     keys = fx.executions(spark, sf).select("handler_name").distinct()
-    return v.missing(keys, fx.definitions(spark, sf).filter("is_enabled AND max_retry > 2"), "handler_name")
+    return missing(keys, fx.definitions(spark, sf).filter("is_enabled AND max_retry > 2"), "handler_name")
 
 
 @query(with_ctes("executions", "SELECT * FROM executions WHERE job_id = 8 AND status = 'FAILED'"))

@@ -36,14 +36,12 @@ def exactly_once_append(batch: DataFrame, batch_id: int, dest: str, check_stored
     Each batch owns a folder and overwrites it, so a replay after a crash replaces its own rows. With
     ``check_stored`` messages already stored by an earlier run (another checkpoint) are left out too.
     """
-    rows = batch
-    if check_stored and batch_id >= 0:
-        rows = not_yet_stored(batch, dest)
+    rows = not_yet_stored(batch, dest) if check_stored else batch
     rows.write.mode("overwrite").parquet(f"{dest}/batch={batch_id:010d}")
 
 
 def trigger_ingest(stream: DataFrame, defs: DataFrame, dest: str, bad: str, checkpoint: str,
-                   available_now: bool = True, **options) -> StreamingQuery:
+                   available_now: bool = True, check_stored: bool = False, **options) -> StreamingQuery:
     """Parses, enriches and appends triggers; bad messages go to the quarantine with a reason.
 
     The checkpoint commits offsets only after both sinks are written, and both sinks are idempotent per
@@ -54,7 +52,7 @@ def trigger_ingest(stream: DataFrame, defs: DataFrame, dest: str, bad: str, chec
         enriched = enrich_triggers(batch, defs, **options).drop("params_map").persist()
         try:
             parts = event_rows(enriched)
-            exactly_once_append(parts.created, batch_id, dest)
+            exactly_once_append(parts.created, batch_id, dest, check_stored)
             quarantine(parts.quarantined, f"{bad}/batch={batch_id:010d}", mode="overwrite")
         finally:
             enriched.unpersist()
