@@ -19,7 +19,6 @@ from schedlake.streaming.stats import windowed_stats
 KEYED_EXECUTIONS = T.StructType([
     *EXECUTION_SCHEMA.fields, T.StructField("msg_topic", T.StringType()),
     T.StructField("msg_partition", T.IntegerType()), T.StructField("msg_offset", T.LongType())])
-BAD_SCHEMA = "msg_topic string, msg_partition int, msg_offset long, ts timestamp_ntz, value string, reason string"
 
 
 def run_to_end(spark, stream, name: str, mode: str = "append"):
@@ -59,11 +58,19 @@ def trigger_stream_restarted(spark, sf):
     return si.read_ingested(spark, f"{_ingest(spark, sf, runs=2)}/good", KEYED_EXECUTIONS).select(*CREATED)
 
 
+@query(with_ctes("triggers definitions", CREATED_SQL))
+def trigger_stream_repeated_run(spark, sf):
+    """The same rows after a run on a new checkpoint that finds the messages stored."""
+    folder = _ingest(spark, sf)
+    si.trigger_ingest(_trigger_stream(spark, sf), fx.definitions(spark, sf), f"{folder}/good", f"{folder}/bad",
+                      f"{folder}/checkpoint2", check_stored=True).awaitTermination()
+    return si.read_ingested(spark, f"{folder}/good", KEYED_EXECUTIONS).select(*CREATED)
+
+
 @query(with_ctes("triggers definitions", BAD_SQL))
 def trigger_stream_quarantine(spark, sf):
     folder = _ingest(spark, sf)
-    return spark.read.schema(BAD_SCHEMA).parquet(f"{folder}/bad/batch=*").select(
-        *MESSAGE_KEY, "ts", "value", "reason")
+    return si.read_quarantined(spark, f"{folder}/bad")
 
 
 @query(with_ctes("triggers definitions", CREATED_SQL))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from schedlake.plans.event_dispatch import MESSAGE_KEY, enrich_triggers, event_rows
@@ -15,8 +19,12 @@ def enrich_trigger_stream(stream: DataFrame, defs: DataFrame, **options) -> Data
     return enrich_triggers(stream, defs, **options)
 
 
-def not_yet_stored(batch: DataFrame, dest: str) -> DataFrame:
-    """Rows of a batch whose message is not stored in ``dest``.
+def batch_folder(dest: str, run: str, batch_id: int) -> str:
+    return f"{dest}/run={run}/batch={batch_id}"
+
+
+def not_yet_stored(batch: DataFrame, dest: str, run: str, batch_id: int) -> DataFrame:
+    """Rows of a batch whose message no other batch has stored in ``dest``.
 
     Offsets grow along the files, so the offset range of the batch prunes the stored table to the few
     files that can overlap.
@@ -25,19 +33,27 @@ def not_yet_stored(batch: DataFrame, dest: str) -> DataFrame:
     low, high = batch.agg(F.min("msg_offset"), F.max("msg_offset")).first()
     if low is None:
         return batch
-    stored = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(dest)
-    near = stored.filter(F.col("msg_offset").between(low, high)).select(*MESSAGE_KEY)
+    stored = T.StructType([*batch.schema.fields, T.StructField("run", T.StringType()),
+                           T.StructField("batch", T.LongType())])
+    try:
+        others = spark.read.schema(stored).parquet(dest)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return batch
+    near = others.filter((F.col("run") != run) | (F.col("batch") != batch_id)).filter(
+        F.col("msg_offset").between(low, high)).select(*MESSAGE_KEY)
     return batch.join(near, MESSAGE_KEY, "left_anti")
 
 
-def exactly_once_append(batch: DataFrame, batch_id: int, dest: str, check_stored: bool = False) -> None:
+def exactly_once_append(batch: DataFrame, dest: str, run: str, batch_id: int, check_stored: bool = False) -> None:
     """Appends a micro-batch once however often it is replayed.
 
-    Each batch owns a folder and overwrites it, so a replay after a crash replaces its own rows. With
-    ``check_stored`` messages already stored by an earlier run (another checkpoint) are left out too.
+    Each batch of a run owns a folder and overwrites it, so a replay after a crash replaces its own rows.
+    With ``check_stored`` messages that another run (another checkpoint) has stored are left out too.
     """
-    rows = not_yet_stored(batch, dest) if check_stored else batch
-    rows.write.mode("overwrite").parquet(f"{dest}/batch={batch_id:010d}")
+    rows = not_yet_stored(batch, dest, run, batch_id) if check_stored else batch
+    rows.write.mode("overwrite").parquet(batch_folder(dest, run, batch_id))
 
 
 def trigger_ingest(stream: DataFrame, defs: DataFrame, dest: str, bad: str, checkpoint: str,
@@ -45,15 +61,17 @@ def trigger_ingest(stream: DataFrame, defs: DataFrame, dest: str, bad: str, chec
     """Parses, enriches and appends triggers; bad messages go to the quarantine with a reason.
 
     The checkpoint commits offsets only after both sinks are written, and both sinks are idempotent per
-    batch, so every message lands exactly once.
+    batch, so every message lands exactly once. A run is named after its checkpoint.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
     def land(batch: DataFrame, batch_id: int) -> None:
         # Two sinks read one batch: keep the parsed rows instead of parsing twice.
         enriched = enrich_triggers(batch, defs, **options).drop("params_map").persist()
         try:
             parts = event_rows(enriched)
-            exactly_once_append(parts.created, batch_id, dest, check_stored)
-            quarantine(parts.quarantined, f"{bad}/batch={batch_id:010d}", mode="overwrite")
+            exactly_once_append(parts.created, dest, run, batch_id, check_stored)
+            quarantine(parts.quarantined, batch_folder(bad, run, batch_id), mode="overwrite")
         finally:
             enriched.unpersist()
 
@@ -61,10 +79,15 @@ def trigger_ingest(stream: DataFrame, defs: DataFrame, dest: str, bad: str, chec
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_ingested(spark, dest: str, schema) -> DataFrame:
+def read_ingested(spark: SparkSession, dest: str, schema: T.StructType) -> DataFrame:
+    """Everything ingested so far."""
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(dest)
 
 
+def read_quarantined(spark: SparkSession, bad: str) -> DataFrame:
+    return spark.read.parquet(bad).select(*MESSAGE_KEY, "ts", "value", "reason")
+
+
 def dedupe_triggers(stream: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
     """One message per key within the watermark delay; state older than that is dropped."""
     timed = stream.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
