@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schedlake.functions.clock import truncate
-from schedlake.schemas import ntz
+from schedlake.schemas import ntz  # noqa: F401  (used by the queries)
 
 AS_OF = "2024-01-15 09:00:30"
 RANGE_START, RANGE_END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
@@ -20,14 +20,7 @@ CRON_KINDS = [
     "0 12 13 * 5", "10 4 * 1,7 *", "0 6 * JAN-MAR SUN", "* * * * *", "0 0 31 2 *", "not a cron",
 ]
 # End of fixed values.
-
-
-def _str(col) -> Column:
-    return (F.col(col) if isinstance(col, str) else col).cast("string")
-
-
-def _pick(index: Column, values: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+_KINDS_SQL = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(CRON_KINDS))
 
 
 def supplier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,81 +32,73 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
-    params = F.concat(F.lit('{"action":"sync","id":'), _str(key), F.lit(',"region":"r'),
-                      _str(nation % 5), F.lit('"}'))
-    return supplier_table(spark, sf_dir).select(
-        (key + 1).alias("id"),
-        F.col("s_name").alias("name"),
-        F.when(key % 7 != 0, F.concat(F.lit("nation "), _str(nation))).alias("description"),
-        _pick(key % 12, CRON_KINDS).alias("cron_expression"),
-        F.concat(F.lit("handler_"), _str(nation % 8)).alias("handler_name"),
-        F.when(key % 3 != 0, params).alias("handler_params"),
-        (key % 7 != 3).alias("is_enabled"),
-        (key % 4 != 0).alias("allow_overlap"),
-        (key % 5).cast("int").alias("max_retry"),
-        (60 * (1 + key % 10)).cast("int").alias("timeout_seconds"),
-        ntz("2024-01-01 00:00:00").alias("created_at"),
-        ntz("2024-01-01 00:00:00").alias("updated_at"),
-    )
+    return supplier_table(spark, sf_dir).selectExpr(
+        "s_suppkey + 1 AS id",
+        "s_name AS name",
+        "IF(s_suppkey % 7 = 0, NULL, concat('nation ', s_nationkey)) AS description",
+        f"CASE s_suppkey % 12 {_KINDS_SQL} END AS cron_expression",
+        "concat('handler_', s_nationkey % 8) AS handler_name",
+        """IF(s_suppkey % 3 = 0, NULL, concat('{"action":"sync","id":', s_suppkey, ',"region":"r', s_nationkey % 5,
+            '"}')) AS handler_params""",
+        "s_suppkey % 7 <> 3 AS is_enabled",
+        "s_suppkey % 4 <> 0 AS allow_overlap",
+        "cast(s_suppkey % 5 AS INT) AS max_retry",
+        "cast(60 * (1 + s_suppkey % 10) AS INT) AS timeout_seconds",
+        "timestamp_ntz '2024-01-01 00:00:00' AS created_at",
+        "timestamp_ntz '2024-01-01 00:00:00' AS updated_at")
 
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_definitions = supplier_table(spark, sf_dir).agg(F.count("*")).scalar()
-    e, kind = F.col("event_id"), F.col("event_type")
-    started = F.timestamp_add("SECOND", F.lit(5), F.col("ts"))
-    return events_table(spark, sf_dir).select(
-        (e + 1).alias("id"),
-        F.when(e % 10 != 0, (e * 7) % n_definitions + 1).alias("job_id"),
-        F.concat(F.lit("handler_"), _str(e % 8)).alias("handler_name"),
-        truncate("minute", "ts").alias("scheduled_time"),
-        F.when(kind == "view", "SUCCESS").when(kind == "purchase", "RUNNING").when(kind == "click", "PENDING")
-        .when(kind == "error", "FAILED").otherwise("TIMEOUT").alias("status"),
-        F.col("props").alias("params"),
-        F.when(e % 10 == 0, "event").otherwise("cron").alias("param_source"),
-        F.when(kind != "click", started).alias("started_at"),
-        F.when(kind.isin("view", "error", "signup"),
-               F.timestamp_add("SECOND", F.floor(F.col("value") * 10).cast("int"), started)).alias("finished_at"),
-        (e % 4).cast("int").alias("retry_count"),
-        F.when(kind == "error", F.concat(F.lit("boom "), _str(e % 5)))
-        .when(kind == "signup", "Execution timed out").alias("error_message"),
-        F.when(kind == "view", F.concat(F.lit('{"action":"sync","success":true,"count":'), _str(e % 100),
-                                        F.lit("}"))).alias("result"),
-        F.col("ts").alias("created_at"),
-    )
+    started = "ts + interval 5 seconds"
+    rows = events_table(spark, sf_dir).withColumn("job_id", (F.col("event_id") * 7) % n_definitions + 1)
+    return rows.selectExpr(
+        "event_id + 1 AS id",
+        "IF(event_id % 10 = 0, NULL, job_id) AS job_id",
+        "concat('handler_', event_id % 8) AS handler_name",
+        "cast(date_trunc('minute', ts) AS timestamp_ntz) AS scheduled_time",
+        """CASE event_type WHEN 'view' THEN 'SUCCESS' WHEN 'purchase' THEN 'RUNNING' WHEN 'click' THEN 'PENDING'
+            WHEN 'error' THEN 'FAILED' ELSE 'TIMEOUT' END AS status""",
+        "props AS params",
+        "IF(event_id % 10 = 0, 'event', 'cron') AS param_source",
+        f"IF(event_type = 'click', NULL, {started}) AS started_at",
+        f"""IF(event_type IN ('view', 'error', 'signup'),
+            timestampadd(SECOND, cast(floor(value * 10) AS INT), {started}), NULL) AS finished_at""",
+        "cast(event_id % 4 AS INT) AS retry_count",
+        """CASE event_type WHEN 'error' THEN concat('boom ', event_id % 5) WHEN 'signup' THEN 'Execution timed out'
+            END AS error_message""",
+        """IF(event_type = 'view', concat('{"action":"sync","success":true,"count":', event_id % 100, '}'), NULL)
+            AS result""",
+        "ts AS created_at")
 
 
 def triggers_of(events: DataFrame) -> DataFrame:
     """Trigger messages from an events DataFrame, batch or streaming."""
-    e = F.col("event_id")
-    handler = F.concat(F.lit("handler_"), _str(e % 8))
-    value = (
-        F.when(e % 10 == 0, F.lit("not json"))
-        .when(e % 10 == 1, F.concat(F.lit('{"handler":"'), handler, F.lit('","params":'), "props", F.lit("}")))
-        .when(e % 10 == 2, F.concat(F.lit('{"params":'), "props", F.lit("}")))
-        .when(e % 10 == 3, F.concat(F.lit('{"handler_name":"'), handler, F.lit('","params":'), "props",
-                                    F.lit(',"job_id":'), _str(e % 150 + 1), F.lit("}")))
-        .when(e % 10 == 4, F.concat(F.lit('{"handler_name":"'), handler, F.lit('"}')))
-        .when(e % 10 == 5, F.concat(F.lit('{"handler_name":"'), handler, F.lit('","params":null}')))
-        .when(e % 10 == 6, F.concat(F.lit('{"handler_name":"'), handler, F.lit('","params":[1,2]}')))
-        .otherwise(F.concat(F.lit('{"handler_name":"handler_'), _str(e % 12), F.lit('","params":{"id":'),
-                            _str(e), F.lit(',"k":"s"}}')))
-    )
-    return events.select(
-        F.lit("triggers").alias("msg_topic"), (e % 3).cast("int").alias("msg_partition"),
-        F.floor(e / 3.0).cast("bigint").alias("msg_offset"), "ts", value.alias("value"))
+    handler = "concat('\"handler_', event_id % 8, '\"')"
+    return events.selectExpr(
+        "'triggers' AS msg_topic", "cast(event_id % 3 AS INT) AS msg_partition",
+        "cast(floor(event_id / 3.0) AS BIGINT) AS msg_offset", "ts",
+        f"""CASE event_id % 10
+            WHEN 0 THEN 'not json'
+            WHEN 1 THEN concat('{{"handler":', {handler}, ',"params":', props, '}}')
+            WHEN 2 THEN concat('{{"params":', props, '}}')
+            WHEN 3 THEN concat('{{"handler_name":', {handler}, ',"params":', props, ',"job_id":', event_id % 150 + 1, '}}')
+            WHEN 4 THEN concat('{{"handler_name":', {handler}, '}}')
+            WHEN 5 THEN concat('{{"handler_name":', {handler}, ',"params":null}}')
+            WHEN 6 THEN concat('{{"handler_name":', {handler}, ',"params":[1,2]}}')
+            ELSE concat('{{"handler_name":"handler_', event_id % 12, '","params":{{"id":', event_id, ',"k":"s"}}}}')
+            END AS value""")
 
 
 def transitions_of(events: DataFrame) -> DataFrame:
     """Lifecycle transitions from an events DataFrame, batch or streaming."""
-    kind = F.col("event_type")
-    return events.select(
-        F.col("user_id").alias("execution_id"), "ts", F.col("event_id").alias("seq"),
-        F.when(kind == "click", "claim").when(kind == "view", "complete").when(kind == "error", "fail")
-        .when(kind == "signup", "timeout").otherwise("retry").alias("kind"),
-        F.when(kind == "error", F.concat(F.lit("boom "), _str(F.col("event_id") % 5)))
-        .when(kind == "signup", "Execution timed out").alias("error_message"),
-        F.when(kind == "view", F.col("props")).alias("result"))
+    return events.selectExpr(
+        "user_id AS execution_id", "ts", "event_id AS seq",
+        """CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'complete' WHEN 'error' THEN 'fail'
+            WHEN 'signup' THEN 'timeout' ELSE 'retry' END AS kind""",
+        """CASE event_type WHEN 'error' THEN concat('boom ', event_id % 5) WHEN 'signup' THEN 'Execution timed out'
+            END AS error_message""",
+        "IF(event_type = 'view', props, NULL) AS result")
 
 
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +121,6 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same derivations for DuckDB, one CTE each.
-_KINDS_SQL = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(CRON_KINDS))
-
 CTE = {
     "definitions": f"""
 SELECT s_suppkey + 1 AS id, s_name AS name,

@@ -69,13 +69,13 @@ def due_at_polls(occurrences: DataFrame, polls: DataFrame,
 
     A bucketed as-of join: a poll can only match ticks of its own time bucket and the one before.
     """
-    epoch = "timestamp_ntz '1970-01-01 00:00:00'"
-    bucket = f"floor(timestampdiff(SECOND, {epoch}, %s) / {window_seconds})"
-    ticks = occurrences.select("id", "tick", F.expr(bucket % "tick").alias("_bucket"))
-    asked = polls.select("poll_ts", F.explode(F.expr(
-        f"sequence({bucket % 'poll_ts'} - 1, {bucket % 'poll_ts'})")).alias("_bucket"))
-    near = ticks.join(asked, "_bucket").filter(
-        f"tick < poll_ts AND timestampdiff(MICROSECOND, tick, poll_ts) <= {window_seconds} * 1000000L")
+    width = f"{window_seconds} seconds"
+    ticks = occurrences.select("id", "tick", F.window("tick", width)["start"].alias("_bucket"))
+    asked = polls.select("poll_ts", F.expr(f"poll_ts - interval {width}").alias("_from"),
+                         F.window("poll_ts", width)["start"].alias("_last"))
+    asked = asked.select("poll_ts", "_from", F.explode(F.expr(
+        f"array(_last - interval {width}, _last)")).alias("_bucket"))
+    near = ticks.join(asked, "_bucket").filter("tick < poll_ts AND tick >= _from")
     return near.groupBy("poll_ts", "id").agg(F.max("tick").alias("scheduled_time"))
 
 

@@ -37,18 +37,19 @@ def cron_occurrences(defs: DataFrame, start, end) -> DataFrame:
     start, end = _instant(start), _instant(end)
     last_day = max(start, end - timedelta(microseconds=1)).date()
     lo, hi = f"timestamp_ntz '{start}'", f"timestamp_ntz '{end}'"
-    days = F.expr(_days(f"date '{start.date()}'", f"date '{last_day}'"))
-    planned = per_expression(defs.select("id", "cron_expression"), lambda parsed: parsed.select(
-        "cron_expression", "hours", "minutes", "seconds", days.alias("_days")))
-    per_day = planned.select("id", "hours", "minutes", "seconds", F.explode("_days").alias("_day")).repartition(
-        "id", "_day")
-    hours = per_day.select("id", "minutes", "seconds", "_day", F.explode("hours").alias("_h")).select(
-        "id", "minutes", "seconds", F.expr("timestampadd(HOUR, _h, cast(_day AS timestamp_ntz))").alias("_hour"))
-    hours = hours.filter(f"_hour < {hi} AND timestampadd(HOUR, 1, _hour) > {lo}")
-    minutes = hours.select("id", "seconds", "_hour", F.explode("minutes").alias("_m"))
-    seconds = minutes.select("id", "_hour", "_m", F.explode("seconds").alias("_s"))
-    tick = F.expr("timestampadd(SECOND, _m * 60 + _s, _hour)")
-    return seconds.select("id", tick.alias("tick")).filter(f"tick >= {lo} AND tick < {hi}")
+    planned = per_expression(defs.select("id", "cron_expression"), lambda parsed: parsed.selectExpr(
+        "cron_expression",
+        f"{_days(f"date '{start.date()}'", f"date '{last_day}'")} AS _days",
+        "transform(hours, h -> make_dt_interval(0, h, 0, 0)) AS _hours",
+        "flatten(transform(minutes, m -> transform(seconds, s -> make_dt_interval(0, 0, m, s)))) AS _offsets"))
+    per_day = planned.select("id", "_hours", "_offsets", F.explode("_days").alias("_day")).repartition("id", "_day")
+    hours = per_day.selectExpr("id", "_offsets", "_day", "explode(_hours) AS _h").selectExpr(
+        "id", "_offsets", "cast(_day AS timestamp_ntz) + _h AS _hour")
+    hours = hours.filter(f"_hour < {hi} AND _hour > {lo} - interval 1 hour")
+    # Only the hours that the range cuts test each tick.
+    return hours.selectExpr("id", "_hour", f"""explode(IF(_hour >= {lo} AND _hour <= {hi} - interval 1 hour, _offsets,
+        filter(_offsets, o -> _hour + o >= {lo} AND _hour + o < {hi}))) AS _o""").selectExpr(
+        "id", "_hour + _o AS tick")
 
 
 def _search(parsed: DataFrame, as_of, n: int, forward: bool, extra: list[str] | None = None) -> DataFrame:
