@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schedlake.functions.clock import truncate
+from schedlake.sources.triggers import MAX_FILES
 from schedlake.schemas import ntz  # noqa: F401  (used by the queries)
 
 AS_OF = "2024-01-15 09:00:30"
@@ -117,7 +118,8 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a file stream."""
     schema = events_table(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
+        "maxFilesPerTrigger", MAX_FILES).parquet(sf_dir)
 
 
 # The same derivations for DuckDB, one CTE each.

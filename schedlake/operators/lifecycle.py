@@ -91,12 +91,12 @@ def _fold(items: str, start: str) -> str:
     return f"aggregate({items}, {start}, (a, item) -> {_ADVANCE})"
 
 
-def _chunks(transitions: DataFrame, max_retry: Column | None, chunk_rows: int) -> DataFrame:
+def _chunks(transitions: DataFrame, max_retry: Column | None, chunk_rows: int, slice_unit: str) -> DataFrame:
     """The log in bounded chunks: (execution_id, max_retry, hour, chunk, log). One shuffle by (execution, hour)."""
     limit = max_retry if max_retry is not None else F.lit(DEFAULT_MAX_RETRY)
     rows = transitions.select(
         "execution_id", F.coalesce(limit, F.lit(DEFAULT_MAX_RETRY)).cast("int").alias("max_retry"),
-        truncate("hour", "ts").alias("hour"),
+        truncate(slice_unit, "ts").alias("hour"),
         F.struct("ts", "seq", "kind", "error_message", "result").alias("e"))
     place = F.row_number().over(
         Window.partitionBy("execution_id", "max_retry", "hour").orderBy("e.ts", "e.seq"))
@@ -128,13 +128,14 @@ def _by_execution(hours: DataFrame) -> DataFrame:
 
 
 def current_state(transitions: DataFrame, max_retry: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-                  raw_rows: int = RAW_ROWS) -> DataFrame:
+                  raw_rows: int = RAW_ROWS, slice_unit: str = "hour") -> DataFrame:
     """The state of each execution after its log, ordered by (ts, seq).
 
     Each starts PENDING with no retries. Illegal transitions change nothing and are counted as ``ignored``.
-    ``max_retry`` is a column of ``transitions``. Deleted executions are gone.
+    ``max_retry`` is a column of ``transitions``. Deleted executions are gone. ``slice_unit`` is the time slice
+    a task orders at once; a log that packs a hot execution into few hours takes ``minute``.
     """
-    hours = _items(_chunks(transitions, max_retry, chunk_rows), raw_rows)
+    hours = _items(_chunks(transitions, max_retry, chunk_rows, slice_unit), raw_rows)
     # The test inside the explode folds once; a filter on the folded status would fold a second time.
     state = _by_execution(hours).select("execution_id", F.explode(F.expr(
         f"filter(array({_fold('hs.item', START)}), s -> s.status <> 'DELETED')")).alias("s"))
@@ -151,14 +152,14 @@ def _seen(items: str, start: str) -> str:
 
 
 def accepted_steps(transitions: DataFrame, max_retry: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-                   raw_rows: int = RAW_ROWS) -> DataFrame:
+                   raw_rows: int = RAW_ROWS, slice_unit: str = "hour") -> DataFrame:
     """The accepted claims and ends of each execution as ``(execution_id, step, ts, kind, error_message)``.
 
     ``step`` counts from 0. The states before each hour, then before each chunk, are worked out from the
     items alone; every chunk is then replayed on its own.
     """
     key = ["execution_id", "max_retry", "hour"]
-    chunks = _chunks(transitions, max_retry, chunk_rows)
+    chunks = _chunks(transitions, max_retry, chunk_rows, slice_unit)
     hours = _items(chunks, raw_rows)
     before_hour = _by_execution(hours).select(
         "execution_id", "max_retry", F.explode(F.arrays_zip(
@@ -177,12 +178,12 @@ def accepted_steps(transitions: DataFrame, max_retry: Column | None = None, chun
 
 
 def attempts(transitions: DataFrame, max_retry: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-             raw_rows: int = RAW_ROWS) -> DataFrame:
+             raw_rows: int = RAW_ROWS, slice_unit: str = "hour") -> DataFrame:
     """Every attempt of each execution: number, start, end, outcome (NULL while running) and error.
 
     Accepted claims and ends alternate, so an attempt is a pair of steps: a group of at most two rows.
     """
-    steps = accepted_steps(transitions, max_retry, chunk_rows, raw_rows)
+    steps = accepted_steps(transitions, max_retry, chunk_rows, raw_rows, slice_unit)
     is_claim = F.col("kind") == "claim"
     return steps.groupBy("execution_id", F.floor(F.col("step") / 2).alias("_pair")).agg(
         F.max(F.when(is_claim, F.col("ts"))).alias("claimed_at"),
@@ -193,7 +194,7 @@ def attempts(transitions: DataFrame, max_retry: Column | None = None, chunk_rows
              "error_message")
 
 
-def overlaps(execs: DataFrame, defs: DataFrame) -> DataFrame:
+def overlaps(execs: DataFrame, defs: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """Runs of a definition without overlap that start before an earlier run of it ended.
 
     The latest end so far is taken per (job, hour) and combined with that of the hours before, so a job
@@ -201,7 +202,7 @@ def overlaps(execs: DataFrame, defs: DataFrame) -> DataFrame:
     """
     exclusive = defs.filter("NOT allow_overlap").select(F.col("id").alias("job_id"))
     runs = execs.filter("started_at IS NOT NULL AND job_id IS NOT NULL").select(
-        "id", "job_id", "started_at", truncate("hour", "started_at").alias("hour"),
+        "id", "job_id", "started_at", truncate(slice_unit, "started_at").alias("hour"),
         F.coalesce("finished_at", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")).alias("until"))
     runs = runs.join(exclusive, "job_id", "left_semi")
     earlier = Window.partitionBy("job_id", "hour").orderBy("started_at", "id").rowsBetween(

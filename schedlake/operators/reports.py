@@ -57,18 +57,18 @@ def page_summary(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).select("total", pages.cast("bigint").alias("pages"))
 
 
-def concurrency(execs: DataFrame) -> DataFrame:
+def concurrency(execs: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """Runs in progress after each start or finish, as ``(ts, running, next_ts)``.
 
     Starts and finishes at the same instant are netted before any shuffle. Running sums are taken per
-    hour and shifted by the total of the hours before, so no task sees the whole history; the table of
-    hours is bounded by the calendar.
+    hour (``slice_unit``) and shifted by the total of the hours before, so no task sees the whole history;
+    the table of hours is bounded by the calendar.
     """
     marks = execs.filter("started_at IS NOT NULL").select(F.explode(F.array(
         F.struct(F.col("started_at").alias("ts"), F.lit(1).alias("delta")),
         F.struct(F.col("finished_at").alias("ts"), F.lit(-1).alias("delta")))).alias("mark")).select("mark.*")
     net = marks.filter("ts IS NOT NULL").groupBy("ts").agg(F.sum("delta").alias("delta"))
-    net = net.withColumn("_hour", truncate("hour", "ts"))
+    net = net.withColumn("_hour", truncate(slice_unit, "ts"))
     by_hour = Window.partitionBy("_hour").orderBy("ts")
     local = net.select("_hour", "ts", F.sum("delta").over(by_hour).alias("_running"),
                        F.lead("ts").over(by_hour).alias("_next"))

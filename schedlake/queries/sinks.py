@@ -4,16 +4,18 @@ from pyspark.sql import functions as F
 
 from schedlake import fixtures as fx
 from schedlake.fixtures import with_ctes
-from schedlake.operators.changes import toggle_definitions
+from schedlake.operators.changes import retry, toggle_definitions
 from schedlake.plans.event_dispatch import ingest
 from schedlake.queries.payloads import BAD_SQL
 from schedlake.queries.registry import query
 from schedlake.session import run_folder
 from schedlake.sources.relational import bulk_write, create_tables, read_relational
 from schedlake.sources.snapshots import publish_snapshot, read_snapshot
-from schedlake.sources.tables import append_executions, read_definitions, read_executions
+from schedlake.sources.tables import append_executions, change_days, read_definitions, read_executions
 from schedlake.sources.triggers import quarantine
 
+HIT = "status = 'TIMEOUT' AND day(created_at) < 8"
+
 
 @query(with_ctes("executions", """SELECT * FROM executions WHERE created_at >= TIMESTAMP '2024-01-10 06:00:00'
     AND created_at < TIMESTAMP '2024-01-20 00:00:00'"""))
@@ -25,6 +27,20 @@ def appended_executions(spark, sf):
     return read_executions(spark, folder, "2024-01-10 06:00:00", "2024-01-20 00:00:00")
 
 
+@query(with_ctes("executions", f"""SELECT * REPLACE (CASE WHEN {HIT} THEN 'PENDING' ELSE status END AS status,
+    CASE WHEN {HIT} THEN NULL ELSE started_at END AS started_at,
+    CASE WHEN {HIT} THEN NULL ELSE finished_at END AS finished_at,
+    CASE WHEN {HIT} THEN NULL ELSE error_message END AS error_message,
+    CASE WHEN {HIT} THEN NULL ELSE result END AS result) FROM executions"""))
+def changed_days(spark, sf):
+    """A retry that rewrites only the stored days it touches."""
+    folder = run_folder(spark, "executions")
+    append_executions(fx.executions(spark, sf), folder)
+    ids = fx.executions(spark, sf).filter(HIT).select("id")
+    change_days(spark, folder, ids, lambda part: retry(part, ids).table)
+    return read_executions(spark, folder)
+
+
 @query(with_ctes("definitions", f"""SELECT * REPLACE (
     CASE WHEN max_retry = 4 THEN NOT is_enabled ELSE is_enabled END AS is_enabled,
     CASE WHEN max_retry = 4 THEN TIMESTAMP '{fx.AS_OF}' ELSE updated_at END AS updated_at) FROM definitions"""))

@@ -15,7 +15,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from schedlake.schemas import DEFINITION_SCHEMA, EXECUTION_SCHEMA
 
+# The names of the two tables.
 SCHEMAS = {"cron_jobs": DEFINITION_SCHEMA, "job_executions": EXECUTION_SCHEMA}
+# End of fixed values.
 BUSY_SECONDS = 120
 BATCH_ROWS = 1000
 

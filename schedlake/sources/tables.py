@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +21,15 @@ def read_definitions(spark: SparkSession, src: str, fmt: str = "parquet") -> Dat
     return typed_definitions(spark.read.format(fmt).load(src)).orderBy("id")
 
 
+def read_stored(spark: SparkSession, src: str) -> DataFrame:
+    """The stored history with its partition column."""
+    stored = T.StructType([*EXECUTION_SCHEMA.fields, T.StructField("created_date", T.DateType())])
+    return spark.read.schema(stored).parquet(src)
+
+
 def read_executions(spark: SparkSession, src: str, from_date=None, to_date=None) -> DataFrame:
     """History created in ``[from_date, to_date)``; whole days outside are pruned as partitions."""
-    stored = T.StructType([*EXECUTION_SCHEMA.fields, T.StructField("created_date", T.DateType())])
-    rows = spark.read.schema(stored).parquet(src)
+    rows = read_stored(spark, src)
     if from_date is not None:
         rows = rows.filter((F.col("created_date") >= ntz(from_date).cast("date"))
                            & (F.col("created_at") >= ntz(from_date)))
@@ -32,12 +39,28 @@ def read_executions(spark: SparkSession, src: str, from_date=None, to_date=None)
     return rows.select(*EXECUTION_COLUMNS)
 
 
+def _laid_out(df: DataFrame) -> DataFrame:
+    """Rows by day in files of even size (adaptive rebalancing splits a busy day and joins quiet ones),
+    sorted by status and job inside a file so that readers skip row groups."""
+    dated = df.withColumn("created_date", F.to_date("created_at"))
+    return dated.hint("rebalance", "created_date").sortWithinPartitions("created_date", "status", "job_id")
+
+
 def append_executions(df: DataFrame, dest: str) -> None:
-    """Appends execution rows, one folder per day.
+    """Appends execution rows, one folder per day."""
+    _laid_out(df).write.mode("append").partitionBy("created_date").parquet(dest)
+
 
-    Adaptive rebalancing gives files of even size: a busy day is split and quiet days share tasks.
-    Rows are sorted by status and job inside a file so that readers skip row groups.
+def change_days(spark: SparkSession, dest: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Applies a change that keeps every row (claim, outcomes, retry, reset) by rewriting only the days
+    that hold the given ids; the rest of the history is not read beyond its id column.
+
+    The days to rewrite are a list bounded by the calendar. They are replaced when the job commits.
     """
-    dated = df.withColumn("created_date", F.to_date("created_at"))
-    dated.hint("rebalance", "created_date").sortWithinPartitions("created_date", "status", "job_id").write.mode(
-        "append").partitionBy("created_date").parquet(dest)
+    stored = read_stored(spark, dest)
+    hit = stored.select("id", "created_date").join(ids.select("id"), "id", "left_semi")
+    days = [r.created_date for r in hit.select("created_date").distinct().collect()]
+    if days:
+        part = stored.filter(F.col("created_date").isin(days)).select(*EXECUTION_COLUMNS)
+        _laid_out(change(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "created_date").parquet(dest)

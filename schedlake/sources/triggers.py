@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from schedlake.schemas import TRIGGER_SCHEMA
 
 
-def kafka_options(servers: str, topic: str, start: str = "earliest", max_offsets: int | None = None,
+# Bounds of a micro-batch, and with it of what a stateful task orders at once.
+MAX_OFFSETS = 5_000_000
+MAX_FILES = 100
+
+
+def kafka_options(servers: str, topic: str, start: str = "earliest", max_offsets: int = MAX_OFFSETS,
                   group: str | None = None) -> dict[str, str]:
-    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": start}
-    if max_offsets is not None:
-        options["maxOffsetsPerTrigger"] = str(max_offsets)
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": start,
+               "maxOffsetsPerTrigger": str(max_offsets)}
     if group is not None:
         options["kafka.group.id"] = group
     return options
@@ -32,12 +36,9 @@ def read_triggers(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return from_kafka(spark.readStream.format("kafka").options(**options).load())
 
 
-def read_trigger_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+def read_trigger_files(spark: SparkSession, folder: str, max_files: int = MAX_FILES) -> DataFrame:
     """The same schema as a stream of Parquet files."""
-    reader = spark.readStream.schema(TRIGGER_SCHEMA)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    return spark.readStream.schema(TRIGGER_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
 def quarantine(df: DataFrame, dest: str, mode: str = "append") -> None:

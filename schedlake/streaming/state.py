@@ -78,7 +78,8 @@ def state_stream(transitions: DataFrame, max_retry=None) -> DataFrame:
     """Current state per execution as a stream of updates.
 
     The log of an execution must arrive in order across micro-batches, as one partition of a topic
-    delivers it; inside a micro-batch rows are ordered by (ts, seq).
+    delivers it; inside a micro-batch rows are ordered by (ts, seq). The source's bound on a micro-batch
+    (offsets or files per trigger) is also the bound on the rows of one execution that a task orders.
     """
     limit = F.lit(DEFAULT_MAX_RETRY) if max_retry is None else max_retry
     rows = transitions.withColumn("max_retry", F.coalesce(limit, F.lit(DEFAULT_MAX_RETRY)).cast("int"))

@@ -14,7 +14,7 @@ from schedlake.streaming.state import STATE_FIELDS, advance
 def max_retry():
     return F.col("execution_id") % 5
 
-SETTINGS = [{}, {"chunk_rows": 7, "raw_rows": 3}, {"chunk_rows": 1, "raw_rows": 0}]
+SETTINGS = [{}, {"chunk_rows": 7, "raw_rows": 3}, {"chunk_rows": 2, "raw_rows": 0, "slice_unit": "minute"}]
 
 
 def fresh():

@@ -5,12 +5,13 @@ import sqlite3
 from pyspark.sql import functions as F
 
 from schedlake import fixtures as fx
+from schedlake.operators.changes import retry
 from schedlake.plans.named_queries import NamedQueries
 from schedlake.queries.sinks import _database
 from schedlake.session import run_folder, shared_folder
 from schedlake.sources.relational import bulk_write, read_relational
 from schedlake.sources.snapshots import publish_snapshot, read_snapshot
-from schedlake.sources.tables import append_executions, read_executions
+from schedlake.sources.tables import append_executions, change_days, read_executions, read_stored
 
 
 def test_snapshot_of_itself(spark, small):
@@ -33,6 +34,21 @@ def test_date_range_prunes_partitions(spark, small):
     assert rows.count() == wanted.count() > 0
 
 
+def test_only_touched_days_are_rewritten(spark, small):
+    folder = run_folder(spark, "days")
+    execs = fx.executions(spark, small)
+    append_executions(execs, folder)
+    before = {r[0] for r in read_stored(spark, folder).select(F.input_file_name()).distinct().collect()}
+    ids = execs.filter("status = 'FAILED' AND created_at < timestamp_ntz '2024-01-04 00:00:00'").select("id")
+    change_days(spark, folder, ids, lambda part: retry(part, ids).table)
+    after = {r[0] for r in read_stored(spark, folder).select(F.input_file_name()).distinct().collect()}
+    assert len(before - after) == 3
+    wanted = retry(execs, ids).table
+    got = read_executions(spark, folder)
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+    change_days(spark, folder, spark.createDataFrame([(-1,)], "id long"), lambda part: 1 / 0)
+
+
 def test_relational_rewrite_is_idempotent(spark, small):
     path = _database(spark)
     execs = fx.executions(spark, small)
