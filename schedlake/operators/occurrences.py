@@ -46,10 +46,12 @@ def cron_occurrences(defs: DataFrame, start, end) -> DataFrame:
     hours = per_day.selectExpr("id", "_offsets", "_day", "explode(_hours) AS _h").selectExpr(
         "id", "_offsets", "cast(_day AS timestamp_ntz) + _h AS _hour")
     hours = hours.filter(f"_hour < {hi} AND _hour > {lo} - interval 1 hour")
-    # Only the hours that the range cuts test each tick.
-    return hours.selectExpr("id", "_hour", f"""explode(IF(_hour >= {lo} AND _hour <= {hi} - interval 1 hour, _offsets,
-        filter(_offsets, o -> _hour + o >= {lo} AND _hour + o < {hi}))) AS _o""").selectExpr(
-        "id", "_hour + _o AS tick")
+    if any(t.minute or t.second or t.microsecond for t in (start, end)):
+        # Only the hours that the range cuts test each tick. A lambda would take the explode out of generated
+        # code, so it stays in a projection of its own.
+        hours = hours.selectExpr("id", "_hour", f"""IF(_hour >= {lo} AND _hour <= {hi} - interval 1 hour, _offsets,
+            filter(_offsets, o -> _hour + o >= {lo} AND _hour + o < {hi})) AS _offsets""")
+    return hours.selectExpr("id", "_hour", "explode(_offsets) AS _o").selectExpr("id", "_hour + _o AS tick")
 
 
 def _search(parsed: DataFrame, as_of, n: int, forward: bool, extra: list[str] | None = None) -> DataFrame:

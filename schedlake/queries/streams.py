@@ -101,11 +101,33 @@ def state_from_stream(spark, sf):
         "execution_id", "s.*")
 
 
-@query()
+# Open claims walked in order; a claim is missed once a later row, or the watermark, passes its deadline.
+DEADLINES = """WITH ordered AS (SELECT execution_id, kind, date_trunc('millisecond', ts) AS ts,
+    row_number() OVER (PARTITION BY execution_id ORDER BY ts, seq) AS rn FROM transitions),
+walk AS (
+  SELECT DISTINCT execution_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS opened,
+    CAST(NULL AS TIMESTAMP) AS missed FROM transitions
+  UNION ALL
+  SELECT execution_id, rn, CASE WHEN still IS NULL AND kind = 'claim' THEN ts
+      WHEN kind IN ('complete', 'fail', 'timeout') THEN NULL ELSE still END,
+    CASE WHEN opened IS NOT NULL AND still IS NULL THEN opened END
+  FROM (SELECT o.execution_id, o.rn, o.kind, o.ts, w.opened,
+      CASE WHEN w.opened + INTERVAL 3600 SECOND >= o.ts THEN w.opened END AS still
+    FROM walk w JOIN ordered o ON o.execution_id = w.execution_id AND o.rn = w.rn + 1) z),
+late AS (SELECT execution_id, missed AS started_at FROM walk WHERE missed IS NOT NULL
+  UNION ALL SELECT execution_id, opened FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY rn DESC)
+    AS back FROM walk) WHERE back = 1 AND opened + INTERVAL 3600 SECOND <=
+    (SELECT date_trunc('millisecond', max(ts)) FROM transitions) - INTERVAL 10 MINUTE)
+SELECT execution_id, started_at, started_at + INTERVAL 3600 SECOND AS deadline, 'timeout' AS kind,
+    'Execution timed out' AS error_message FROM late"""
+
+
+@query(with_ctes("transitions", DEADLINES, recursive=True))
 def deadlines_from_stream(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     stream = deadline_stream(fx.transitions_of(fx.events_stream(spark, sf)))
-    return run_to_end(spark, stream, "deadlines").drop("batch")
+    return run_to_end(spark, stream, "deadlines").drop("batch").withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "deadline")})
 
 
 def _created_stream(events):
