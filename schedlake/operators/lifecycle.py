@@ -19,47 +19,51 @@ RAW_ROWS = 64
 ENTRY_STATUSES = "array('PENDING', 'RUNNING', 'FAILED', 'TIMEOUT', 'SUCCESS')"
 LOG_TYPE = "array<struct<ts: timestamp_ntz, seq: bigint, kind: string, error_message: string, result: string>>"
 STATE_TYPE = """struct<status: string, retry_count: int, started_at: timestamp_ntz, finished_at: timestamp_ntz,
-    error_message: string, result: string, applied: bigint, ignored: bigint, steps: bigint,
+    error_message: string, result: string, applied: bigint, steps: bigint,
     set_started: boolean, set_finished: boolean, set_error: boolean, set_result: boolean>"""
 
 
 def _state(status: str, retry_count: str) -> str:
     """SQL state of an execution before a stretch of its log."""
     return f"""cast(named_struct('status', {status}, 'retry_count', {retry_count}, 'started_at', NULL,
-        'finished_at', NULL, 'error_message', NULL, 'result', NULL, 'applied', 0, 'ignored', 0, 'steps', 0,
+        'finished_at', NULL, 'error_message', NULL, 'result', NULL, 'applied', 0, 'steps', 0,
         'set_started', false, 'set_finished', false, 'set_error', false, 'set_result', false) AS {STATE_TYPE})"""
 
 
 START = _state("'PENDING'", "0")
 
-# The status after transition e in state a; NULL where the transition is not legal.
-_MOVE = """CASE
-    WHEN e.kind = 'delete' AND a.status <> 'DELETED' THEN 'DELETED'
-    WHEN a.status = 'PENDING' AND e.kind = 'claim' THEN 'RUNNING'
-    WHEN a.status = 'RUNNING' AND e.kind = 'complete' THEN 'SUCCESS'
-    WHEN a.status = 'RUNNING' AND e.kind IN ('fail', 'timeout') THEN
-        CASE WHEN a.retry_count + 1 < max_retry THEN 'PENDING' WHEN e.kind = 'fail' THEN 'FAILED' ELSE 'TIMEOUT' END
-    WHEN a.status IN ('FAILED', 'TIMEOUT') AND e.kind = 'retry' THEN 'PENDING' END"""
-
-_STEP = f"""(a, e) -> transform(array({_MOVE}), m -> IF(m IS NULL,
-    named_struct('status', a.status, 'retry_count', a.retry_count, 'started_at', a.started_at,
-        'finished_at', a.finished_at, 'error_message', a.error_message, 'result', a.result,
-        'applied', a.applied, 'ignored', a.ignored + 1, 'steps', a.steps, 'set_started', a.set_started,
-        'set_finished', a.set_finished, 'set_error', a.set_error, 'set_result', a.set_result),
-    named_struct('status', m,
-        'retry_count', a.retry_count + IF(e.kind IN ('fail', 'timeout'), 1, 0),
-        'started_at', CASE WHEN m = 'RUNNING' THEN e.ts WHEN m = 'PENDING' THEN NULL ELSE a.started_at END,
-        'finished_at', CASE WHEN m = 'PENDING' THEN NULL WHEN m IN ('SUCCESS', 'FAILED', 'TIMEOUT') THEN e.ts
-            ELSE a.finished_at END,
-        'error_message', CASE WHEN e.kind = 'timeout' THEN '{TIMEOUT_MESSAGE}' WHEN e.kind = 'fail'
-            THEN e.error_message WHEN e.kind = 'retry' THEN NULL ELSE a.error_message END,
-        'result', CASE WHEN m = 'SUCCESS' THEN e.result WHEN e.kind = 'retry' THEN NULL ELSE a.result END,
-        'applied', a.applied + 1, 'ignored', a.ignored,
-        'steps', a.steps + IF(e.kind IN ('claim', 'complete', 'fail', 'timeout'), 1, 0),
-        'set_started', a.set_started OR m IN ('RUNNING', 'PENDING'),
-        'set_finished', a.set_finished OR m IN ('PENDING', 'SUCCESS', 'FAILED', 'TIMEOUT'),
-        'set_error', a.set_error OR e.kind IN ('fail', 'timeout', 'retry'),
-        'set_result', a.set_result OR e.kind IN ('complete', 'retry'))))[0]"""
+
+def _legal(a: str) -> str:
+    """SQL test whether transition e may happen in state a."""
+    return f"""CASE {a}.status WHEN 'PENDING' THEN e.kind IN ('claim', 'delete')
+        WHEN 'RUNNING' THEN e.kind IN ('complete', 'fail', 'timeout', 'delete')
+        WHEN 'DELETED' THEN false WHEN 'SUCCESS' THEN e.kind = 'delete' ELSE e.kind IN ('retry', 'delete') END"""
+
+
+def _after(a: str) -> str:
+    """SQL state after the legal transition e in state a."""
+    ended = "e.kind IN ('fail', 'timeout')"
+    again = f"({ended} AND {a}.retry_count + 1 < max_retry)"
+    restart = f"(e.kind = 'retry' OR {again})"
+    return f"""named_struct(
+        'status', CASE WHEN {restart} THEN 'PENDING' WHEN e.kind = 'claim' THEN 'RUNNING' WHEN e.kind = 'complete'
+            THEN 'SUCCESS' WHEN e.kind = 'fail' THEN 'FAILED' WHEN e.kind = 'timeout' THEN 'TIMEOUT' ELSE 'DELETED' END,
+        'retry_count', {a}.retry_count + IF({ended}, 1, 0),
+        'started_at', CASE WHEN {restart} THEN NULL WHEN e.kind = 'claim' THEN e.ts ELSE {a}.started_at END,
+        'finished_at', CASE WHEN {restart} THEN NULL WHEN e.kind IN ('complete', 'fail', 'timeout') THEN e.ts
+            ELSE {a}.finished_at END,
+        'error_message', CASE e.kind WHEN 'timeout' THEN '{TIMEOUT_MESSAGE}' WHEN 'fail' THEN e.error_message
+            WHEN 'retry' THEN NULL ELSE {a}.error_message END,
+        'result', CASE e.kind WHEN 'complete' THEN e.result WHEN 'retry' THEN NULL ELSE {a}.result END,
+        'applied', {a}.applied + 1, 'steps', {a}.steps + IF(e.kind IN ('retry', 'delete'), 0, 1),
+        'set_started', {a}.set_started OR e.kind = 'claim' OR {restart},
+        'set_finished', {a}.set_finished OR e.kind IN ('complete', 'fail', 'timeout', 'retry'),
+        'set_error', {a}.set_error OR e.kind IN ('fail', 'timeout', 'retry'),
+        'set_result', {a}.set_result OR e.kind IN ('complete', 'retry'))"""
+
+
+# An illegal transition hands the state on as it is, which costs next to nothing.
+_STEP = f"(a, e) -> IF({_legal('a')}, {_after('a')}, a)"
 
 # State a after a chunk whose table has one exit state per entry state; o is the exit for a.
 _BUDGET = "greatest(max_retry - 1, 0)"  # retry counts beyond it behave alike
@@ -70,17 +74,11 @@ _COMPOSE = f"""transform(array(item.table[CAST((array_position({ENTRY_STATUSES},
     'finished_at', IF(o.set_finished, o.finished_at, a.finished_at),
     'error_message', IF(o.set_error, o.error_message, a.error_message),
     'result', IF(o.set_result, o.result, a.result),
-    'applied', a.applied + o.applied, 'ignored', a.ignored + o.ignored, 'steps', a.steps + o.steps,
+    'applied', a.applied + o.applied, 'steps', a.steps + o.steps,
     'set_started', a.set_started OR o.set_started, 'set_finished', a.set_finished OR o.set_finished,
     'set_error', a.set_error OR o.set_error, 'set_result', a.set_result OR o.set_result))[0]"""
-_GONE = """named_struct('status', a.status, 'retry_count', a.retry_count, 'started_at', a.started_at,
-    'finished_at', a.finished_at, 'error_message', a.error_message, 'result', a.result, 'applied', a.applied,
-    'ignored', a.ignored + item.table[0].applied + item.table[0].ignored, 'steps', a.steps,
-    'set_started', a.set_started, 'set_finished', a.set_finished, 'set_error', a.set_error,
-    'set_result', a.set_result)"""
 # One item of a log: either a raw stretch or a table, the other being empty.
-_ADVANCE = f"""aggregate(item.log, CASE WHEN size(item.table) = 0 THEN a WHEN a.status = 'DELETED' THEN {_GONE}
-    ELSE {_COMPOSE} END, {_STEP})"""
+_ADVANCE = f"""aggregate(item.log, IF(size(item.table) = 0 OR a.status = 'DELETED', a, {_COMPOSE}), {_STEP})"""
 
 _ENTRIES = f"""flatten(transform({ENTRY_STATUSES}, s -> transform(sequence(0, {_BUDGET}), r -> {_state('s', 'r')})))"""
 _NO_LOG = f"cast(array() AS {LOG_TYPE})"
@@ -108,16 +106,15 @@ def _chunks(transitions: DataFrame, max_retry: Column | None, chunk_rows: int, s
 def _items(chunks: DataFrame, raw_rows: int) -> DataFrame:
     """Per (execution, hour) the ordered items of its chunks and one item for the whole hour."""
     table = f"transform({_ENTRIES}, x -> aggregate(log, x, {_STEP}))"
-    item = f"""IF(size(log) <= {raw_rows}, named_struct('log', log, 'table', {_NO_TABLE}),
-        named_struct('log', {_NO_LOG}, 'table', {table}))"""
-    hours = chunks.select("execution_id", "max_retry", "hour", F.struct(
-        F.col("chunk"), F.size("log").alias("n"), F.expr(item).alias("item")).alias("c"))
+    item = f"""IF(size(log) <= {raw_rows}, named_struct('n', cast(size(log) AS BIGINT), 'log', log, 'table', {_NO_TABLE}),
+        named_struct('n', cast(size(log) AS BIGINT), 'log', {_NO_LOG}, 'table', {table}))"""
+    hours = chunks.select("execution_id", "max_retry", "hour", F.struct("chunk", F.expr(item).alias("item")).alias("c"))
     # Only the chunk number may order the items: entries of a table need not be comparable.
     hours = hours.groupBy("execution_id", "max_retry", "hour").agg(F.expr("""array_sort(collect_list(c),
         (l, r) -> CASE WHEN l.chunk < r.chunk THEN -1 WHEN l.chunk > r.chunk THEN 1 ELSE 0 END)""").alias("cs"))
     hours = hours.select("execution_id", "max_retry", "hour", F.expr("cs.item").alias("items"))
-    whole = f"""IF(size(items) = 1, items[0], named_struct('log', {_NO_LOG}, 'table',
-        transform({_ENTRIES}, x -> {_fold('items', 'x')})))"""
+    whole = f"""IF(size(items) = 1, items[0], named_struct('n', aggregate(items.n, 0L, (x, y) -> x + y),
+        'log', {_NO_LOG}, 'table', transform({_ENTRIES}, x -> {_fold('items', 'x')})))"""
     return hours.withColumn("item", F.expr(whole))
 
 
@@ -137,11 +134,12 @@ def current_state(transitions: DataFrame, max_retry: Column | None = None, chunk
     """
     hours = _items(_chunks(transitions, max_retry, chunk_rows, slice_unit), raw_rows)
     # The test inside the explode folds once; a filter on the folded status would fold a second time.
-    state = _by_execution(hours).select("execution_id", F.explode(F.expr(
+    rows = "aggregate(hs.item.n, 0L, (x, y) -> x + y)"
+    state = _by_execution(hours).select("execution_id", F.expr(rows).alias("rows"), F.explode(F.expr(
         f"filter(array({_fold('hs.item', START)}), s -> s.status <> 'DELETED')")).alias("s"))
     return state.select(
         "execution_id", "s.status", "s.retry_count", "s.started_at", "s.finished_at", "s.error_message", "s.result",
-        "s.applied", "s.ignored")
+        "s.applied", (F.col("rows") - F.col("s.applied")).alias("ignored"))
 
 
 def _seen(items: str, start: str) -> str:
@@ -168,10 +166,10 @@ def accepted_steps(transitions: DataFrame, max_retry: Column | None = None, chun
     before_chunk = hours.select(*key, "items").join(before_hour, key).select(
         *key, F.posexplode(F.expr(_seen("items", "entry"))).alias("chunk", "entry"))
     replay = f"""aggregate(log, named_struct('now', entry, 'steps', cast(array() AS array<struct<
-        step: bigint, ts: timestamp_ntz, kind: string, error_message: string>>)), (z, e) ->
-        transform(array(z.now), a -> transform(array(aggregate(array(e), a, {_STEP})), b ->
-            named_struct('now', b, 'steps', IF(b.steps = a.steps, z.steps, concat(z.steps, array(named_struct(
-                'step', a.steps, 'ts', e.ts, 'kind', e.kind, 'error_message', b.error_message))))))[0])[0],
+        step: bigint, ts: timestamp_ntz, kind: string, error_message: string>>)), (z, e) -> IF(NOT {_legal('z.now')}, z,
+            transform(array({_after('z.now')}), b -> named_struct('now', b, 'steps',
+                IF(b.steps = z.now.steps, z.steps, concat(z.steps, array(named_struct('step', z.now.steps, 'ts', e.ts,
+                    'kind', e.kind, 'error_message', b.error_message))))))[0]),
         z -> z.steps)"""
     steps = chunks.join(before_chunk, [*key, "chunk"]).select("execution_id", F.explode(F.expr(replay)).alias("s"))
     return steps.select("execution_id", "s.*")
