@@ -2,6 +2,7 @@
 
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from schedlake import fixtures as fx
@@ -72,5 +73,20 @@ def test_named_statements(spark, small):
     assert rows.count() == 0
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+class _Session:
+    """Stands for a session with given settings."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self._settings = settings
+
+    def get(self, name, default=None):
+        return self._settings.get(name, default)
+
+
+def test_shared_folder_comes_from_the_session():
+    named = _Session(**{"spark.checkpoint.dir": "hdfs://lake/scratch/", "spark.master": "yarn"})
+    assert shared_folder(named) == "hdfs://lake/scratch"
+    assert shared_folder(_Session(**{"spark.master": "local[4]"})) == shared_folder(_Session())
+    with pytest.raises(ValueError):
+        shared_folder(_Session(**{"spark.master": "yarn"}))
