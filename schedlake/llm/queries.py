@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schedlake.llm import decontamination, packing, quality, token_files, url_filter
+from schedlake.llm import decontamination, licenses, packing, pii, quality, token_files, url_filter
 from schedlake.llm.shared import documents
 from schedlake.session import run_folder
 
@@ -142,3 +142,45 @@ def op10_token_files(spark, sf_dir):
     path = run_folder(spark, "tokens")
     token_files.write_tokens(documents(spark, sf_dir, "doc_id", "text"), path)
     return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+@query()
+def op6_personal_data(spark, sf_dir):
+    found = pii.find_in(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written_out(base), 256).alias("base_sha256"),
+                        pii.written_out(F.col("spans")).alias("spans"))
+
+
+def _templates_sql() -> str:
+    rows = sorted({(name, tuple(licenses.template_bigrams(text))) for name, text in licenses.NOTICES})
+    return ", ".join(f"({i}, '{name}', [{', '.join(repr(b) for b in bigrams)}])" for i, (name, bigrams) in enumerate(rows))
+
+
+@query(rf"""
+WITH templates(t, name, b) AS (VALUES {_templates_sql()}),
+template_bigrams AS (SELECT t, unnest(b) AS g FROM templates),
+cut AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(
+    list_concat([x], string_split(x, chr(10)), string_split(regexp_replace(x, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))),
+    lambda p: trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))))) AS part
+  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
+words AS (SELECT doc_id, part, string_split(part, ' ') AS w FROM cut),
+bigrams AS (
+  SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words),
+each AS (SELECT doc_id, part, len(g) AS n, unnest(g) AS g FROM bigrams),
+shared AS (SELECT doc_id, part, t, any_value(n) AS n, count(*) AS c FROM each JOIN template_bigrams USING (g) GROUP BY doc_id, part, t),
+found AS (
+  SELECT doc_id, name, 2.0 * c / (n + len(b))::DOUBLE AS dice FROM shared JOIN templates USING (t)
+  WHERE 2.0 * c / (n + len(b))::DOUBLE >= {licenses.LEAST}),
+best AS (
+  SELECT doc_id, count(*) AS n_matches, arg_min(name, (-dice, name)) AS license, max(dice) AS dice,
+    array_to_string(list_sort(list(DISTINCT name)), ',') AS licenses FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, license, CAST(dice AS DOUBLE) AS dice, coalesce(licenses, '') AS licenses
+FROM documents LEFT JOIN best USING (doc_id)
+""")
+def op4_license_scan(spark, sf_dir):
+    return licenses.licenses(documents(spark, sf_dir, "doc_id", "text"))
