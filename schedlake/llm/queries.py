@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schedlake.llm import decontamination, licenses, packing, pii, quality, token_files, url_filter
+from schedlake.llm import decontamination, jaccard, licenses, packing, pii, quality, token_files, url_filter
 from schedlake.llm.shared import documents
 from schedlake.session import run_folder
 
@@ -184,3 +184,9 @@ FROM documents LEFT JOIN best USING (doc_id)
 """)
 def op4_license_scan(spark, sf_dir):
     return licenses.licenses(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query()
+def op5_jaccard_join(spark, sf_dir):
+    found = jaccard.similar(documents(spark, sf_dir, "doc_id", "text"), carry=("doc_id",))
+    return found.select("row.doc_id", "n_shingles", "component_id")
