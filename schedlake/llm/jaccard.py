@@ -242,17 +242,37 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT,
-            carry: tuple[str, ...] = ("*",)) -> DataFrame:
-    """``row`` (the columns ``carry`` of docs as a struct), ``rid, n_shingles, component_id``, one row per row of docs.
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, one row per row of docs.
 
     Two texts link when ``100 * |A and B| >= percent * |A or B|`` of their sets of shingles; ``component_id`` is the
     smallest ``doc_id`` that links reach, nulls aside, so it is null only where all reached ids are. Rows with the same
     set are one member of the join and share the result. Null, empty and blank texts have an empty set and are linked
-    with nothing, not even each other. ``rid`` tells rows apart that repeat. An empty table gives no rows.
+    with nothing, not even each other. Only two columns are read. An empty table gives no rows.
     """
+    seen, found = _grouped(docs, doc_id, text, n, percent, F.lit(0))
+    return seen.select("id", "h1", "h2", "n").join(found, ["h1", "h2", "n"], "left").select(
+        F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without those that links reach from another one: the smallest id of each group stays.
+
+    Of rows with equal ids one stays, and ids come before nulls. Rows without words all stay.
+    """
+    seen, found = _grouped(docs, doc_id, text, n, percent, F.struct("*"))
+    groups = seen.where("n > 0").select("rid", "id", "h1", "h2", "n").join(found, ["h1", "h2", "n"])
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("rid").alias("rid"))
+    stay = groups.groupBy("group").agg(F.min(order).alias("stay")).select("group", F.col("stay.rid").alias("stay"))
+    gone = written(groups.select("rid", "group").join(stay, "group").where("rid <> stay").select("rid"), "repeated-rows")
+    return seen.select("rid", "row").join(gone, "rid", "left_anti").select("row.*")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, row: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows ``rid, row, id, h1, h2, n`` as a table, and ``h1, h2, n, group, component_id`` of their distinct sets."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.struct(*carry).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(whole).alias("t1"),
+    keyed = docs.select(row.alias("row"), F.col(doc_id).alias("id"), F.xxhash64(whole).alias("t1"),
                         F.xxhash64(F.lit(1), whole).alias("t2"), whole.alias("text"))
     sets = keyed.select("row", "id", "t1", "t2", bind(shingles(F.col("text"), n), lambda s: F.struct(
         F.size(s).alias("n"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), prefix(s, percent).alias("p"))).alias("s"))
@@ -271,7 +291,4 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     named = classes.join(linked, F.col("first") == F.col("node"), "left").select(
         "h1", "h2", "n", "least", F.coalesce("component", "first").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    found = written(named.join(least, "group").select("h1", "h2", "n", "group", "component_id"), "class-components")
-    return seen.join(found, ["h1", "h2", "n"], "left").select(
-        "row", "rid", F.col("n").cast("long").alias("n_shingles"), "group",
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return seen, written(named.join(least, "group").select("h1", "h2", "n", "group", "component_id"), "class-components")

@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = encoder(vocabulary).encode, [0] * (capacity + 1)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 4 << 20):
             source, number, start, length, nth, ids = [], [], [], [], [], []
             for i, tokens in enumerate(encode(batch.column(1).to_pylist())):
                 n = len(tokens) // 4
@@ -176,10 +176,14 @@ def _placed(ranked: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> Da
     return ranked.select(*columns, "rank").mapInArrow(place, schema)
 
 
+def with_ids(cut: DataFrame, packed: DataFrame) -> DataFrame:
+    """The placed pieces and their token ids."""
+    return packed.join(cut.select("part", "length", "nth", "ids"), ["part", "length", "nth"])
+
+
 def sequences(cut: DataFrame, packed: DataFrame) -> DataFrame:
     """``sequence_id, ids, doc_ids``: the token ids of each sequence in order, at most ``capacity`` of them a row."""
-    rows = packed.select("part", "length", "nth", "sequence_id", "offset").join(cut, ["part", "length", "nth"])
-    rows = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
+    rows = with_ids(cut, packed).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
     return rows.select(
         "sequence_id", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias("ids"),
         F.col("p.doc_id").alias("doc_ids"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schedlake.llm import decontamination, jaccard, licenses, packing, pii, quality, suffix_dedup, token_files, url_filter
+from schedlake.llm import decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, suffix_dedup, token_files, url_filter
 from schedlake.llm.shared import documents
 from schedlake.session import run_folder
 
@@ -188,8 +188,7 @@ def op4_license_scan(spark, sf_dir):
 
 @query()
 def op5_jaccard_join(spark, sf_dir):
-    found = jaccard.similar(documents(spark, sf_dir, "doc_id", "text"), carry=("doc_id",))
-    return found.select("row.doc_id", "n_shingles", "component_id")
+    return jaccard.similar(documents(spark, sf_dir, "doc_id", "text"))
 
 
 @query()
@@ -197,3 +196,8 @@ def op8_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(documents(spark, sf_dir, "doc_id", "text"), carry=("doc_id",))
     return found.select("row.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op7_language_model(spark, sf_dir):
+    return ngram_lm.score(documents(spark, sf_dir, "doc_id", "text"))
