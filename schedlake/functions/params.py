@@ -14,9 +14,20 @@ def unwrap(text: str) -> str:
         ELSE {text} END"""
 
 
+STRICT = "map('allowSingleQuotes', 'false')"
+
+
+def whole_value(text: str) -> str:
+    """SQL whether a text is one JSON value and nothing else: the parser stops after the first value of a text, so the
+    text is set between two keys, of which the second must be found."""
+    framed = f"""from_json(concat('{{"x":', {text}, ',"y":1}}'), 'map<string, string>', {STRICT})"""
+    return f"coalesce(transform(array({framed}), f -> size(f) = 2 AND map_contains_key(f, 'y'))[0], false)"
+
+
 def as_map(text: str) -> str:
     """SQL map<string, variant> of a JSON object; NULL for anything else. A repeated key keeps its last value."""
-    parsed = f"from_json(IF(ltrim({text}) LIKE '{{%', {text}, NULL), 'map<string, variant>')"
+    parsed = f"""from_json(IF(ltrim({text}) LIKE '{{%' AND {whole_value(text)}, {text}, NULL),
+        'map<string, variant>', {STRICT})"""
     last = """filter(map_entries(m), (e, i) -> NOT exists(slice(map_keys(m), i + 2, size(m)), k -> k = e.key))"""
     return f"""transform(array({parsed}), m -> IF(size(array_distinct(map_keys(m))) = size(m), m,
         map_from_entries({last})))[0]"""

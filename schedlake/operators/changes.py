@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schedlake.functions.clock import elapsed_seconds
+from schedlake.operators.dispatch import first_by_key
 from schedlake.operators.joins import missing, spread_join
 from schedlake.operators.validate import duplicate_names, validate_cron, validate_definitions
 from schedlake.operators.views import not_retryable_reason, pending, terminal, with_definition
@@ -77,18 +78,34 @@ PATCHABLE = ["name", "description", "cron_expression", "handler_name", "handler_
              "allow_overlap", "max_retry", "timeout_seconds"]
 
 
-def update_definitions(defs: DataFrame, patches: DataFrame, now) -> Change:
+def update_definitions(defs: DataFrame, patches: DataFrame, now,
+                       min_interval: int = DEFAULT_MIN_INTERVAL_SECONDS) -> Change:
     """Sparse patches by id, one per definition: NULL or an absent column keeps the old value.
 
-    ``rejected`` holds the patches of unknown ids.
+    The patched rows pass the checks of new definitions, the cron check where the expression changes; names are
+    compared with the definitions as they are and with the other patches. ``rejected`` has the id and the ``errors`` of
+    patches that fail, of unknown ids and of ids with several patches.
     """
     fields = [c for c in PATCHABLE if c in patches.columns]
     right = patches.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in fields])
-    joined = defs.join(right, F.col("id") == F.col("_id"), "left")
+    single = right.groupBy("_id").agg(F.count("*").alias("_patches"), *[F.first(f"_{c}").alias(f"_{c}") for c in fields])
+    known = defs.join(single, F.col("id") == F.col("_id"))
     values = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields}
-    values["updated_at"] = F.when(F.col("_id").isNotNull(), ntz(now)).otherwise(F.col("updated_at"))
-    table = _replace(joined, values).select(*defs.columns)
-    return Change(table, missing(patches, defs, "id"))
+    changed = {f"_was_{c}": F.col(c) for c in ("name", "cron_expression")}
+    rows = _replace(known.withColumns(changed), values).withColumn("updated_at", ntz(now))
+    rows = validate_cron(validate_definitions(rows), now, min_interval)
+    renamed = rows.filter(~F.col("name").eqNullSafe(F.col("_was_name"))).select("id", "name")
+    clashes = duplicate_names(defs, renamed).select(F.col("id").alias("_clash"), F.col("reason").alias("_name_error"))
+    rows = rows.join(clashes.distinct(), F.col("id") == F.col("_clash"), "left")
+    new_cron = ~F.col("cron_expression").eqNullSafe(F.col("_was_cron_expression"))
+    rows = rows.withColumn("errors", F.array_compact(F.concat("errors", F.array(
+        F.when(new_cron, F.col("reason")), F.concat(F.lit("name_"), F.col("_name_error")),
+        F.when(F.col("_patches") > 1, F.lit("several_patches"))))))
+    good = rows.filter(F.size("errors") == 0).select("id", F.struct(*defs.columns).alias("_new"))
+    table = defs.join(good, "id", "left").select(*[
+        F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in defs.columns])
+    unknown = missing(patches.select("id").distinct(), defs, "id").select("id", F.array(F.lit("unknown_id")).alias("errors"))
+    return Change(table, rows.filter(F.size("errors") > 0).select("id", "errors").unionByName(unknown))
 
 
 def _flagged(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -145,9 +162,11 @@ def apply_outcomes(execs: DataFrame, outcomes: DataFrame, defs: DataFrame, now)
     """Ends RUNNING rows by their outcome in one pass.
 
     ``outcomes`` has ``id``, ``kind`` (complete, fail, timeout), ``error_message`` and ``result``. A
-    failure with attempts left goes back to PENDING and keeps its error message.
+    failure with attempts left goes back to PENDING and keeps its error message. Outcomes may be delivered
+    more than once; of several for one run the first by (kind, error_message, result) counts.
     """
-    wanted = outcomes.select("id", "kind", F.col("error_message").alias("_error"), F.col("result").alias("_result"))
+    once = first_by_key(outcomes.select("id", "kind", "error_message", "result"), ["id"], ["kind", "error_message", "result"])
+    wanted = once.select("id", "kind", F.col("error_message").alias("_error"), F.col("result").alias("_result"))
     # Only RUNNING rows can end, so just those meet the outcomes and the definitions; the table itself
     # is joined once more with what changed.
     ending = execs.filter(F.col("status") == RUNNING).select("id", "job_id", "handler_name", "retry_count")

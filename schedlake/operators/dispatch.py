@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.operators.joins import spread_join
+from schedlake.operators.occurrences import cron_occurrences
 from schedlake.operators.views import incomplete
 from schedlake.schemas import DEFAULT_POLL_INTERVAL_SECONDS
 
@@ -79,6 +80,11 @@ def due_at_polls(occurrences: DataFrame, polls: DataFrame,
     return near.groupBy("poll_ts", "id").agg(F.max("tick").alias("scheduled_time"))
 
 
+def reconcile_definitions(defs: DataFrame, execs: DataFrame, start, end) -> DataFrame:
+    """Ticks of the enabled definitions in ``[start, end)`` against their executions; disabled ones expect none."""
+    return reconcile(cron_occurrences(defs.filter("is_enabled"), start, end), execs)
+
+
 def reconcile(occurrences: DataFrame, execs: DataFrame) -> DataFrame:
     """Expected ticks against executions: ``matched``, ``missed`` or ``unscheduled`` per (job, time)."""
     expected = occurrences.select(F.col("id").alias("e_job"), F.col("tick").alias("e_time"))

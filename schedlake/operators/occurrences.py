@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from schedlake.functions.cron_fields import CAN_FIRE, matches_day, matches_instant, per_expression
 from schedlake.schemas import DEFAULT_POLL_INTERVAL_SECONDS, ntz
 
-# Day search widens only for rows that need it: a month, then past the longest leap-day gap
-# (29 February 2096 to 29 February 2104), then far enough for a given weekday on a leap day.
+# Day search widens only for rows that need it: a month, then past the longest leap-day gap (29 February 2096 to
+# 29 February 2104), then a cycle of the calendar, which repeats every 400 years: what does not fire within it never
+# does. Only rows that fire in a cycle, but not often enough, search on to the ends of the calendar.
 NEAR_DAYS = 32
 FAR_DAYS = 366 * 9
-LAST_DAYS = 366 * 50
+CYCLE_DAYS = 146_097
+FIRST_DAY, LAST_DAY = "date '0001-01-01'", "date '9999-12-31'"
 SHORT_WINDOW_SECONDS = 3600
 
 
@@ -65,8 +67,11 @@ def _search(parsed: DataFrame, as_of, n: int, forward: bool, extra: list[str] |
     today = f"date '{now.date()}'"
     sign = 1 if forward else -1
 
-    def search(days: int) -> str:
-        return f"slice({_days(today, f'date_add({today}, {sign * days})', sign)}, 1, {n + 1})"
+    end = LAST_DAY if forward else FIRST_DAY
+
+    def search(days: int | None) -> str:
+        to = end if days is None else f"{'least' if forward else 'greatest'}({end}, date_add({today}, {sign * days}))"
+        return f"slice({_days(today, to, sign)}, 1, {n + 1})"
 
     def nearest(values: str) -> str:
         return f"slice({values if forward else f'reverse({values})'}, 1, {n + 1})"
@@ -85,11 +90,13 @@ def _search(parsed: DataFrame, as_of, n: int, forward: bool, extra: list[str] |
     ok = f"cron_error IS NULL AND {CAN_FIRE}"
     kept = parsed.columns
     out = parsed.select(*kept, F.expr(f"CASE WHEN {ok} THEN {search(NEAR_DAYS)} END").alias("_near"))
-    # The widest search costs 18,300 day tests, so it runs only where the others fell short.
+    # The wider searches cost 146,097 day tests and more, so they run only where the others fell short.
     out = out.select(*kept, F.expr(f"IF(size(_near) > {n}, _near, CASE WHEN {ok} THEN {search(FAR_DAYS)} END)")
                      .alias("_far"))
-    out = out.select(*kept, F.expr(f"IF(size(_far) > {n}, _far, CASE WHEN {ok} THEN {search(LAST_DAYS)} END)")
-                     .alias("_days"))
+    out = out.select(*kept, F.expr(f"IF(size(_far) > {n}, _far, CASE WHEN {ok} THEN {search(CYCLE_DAYS)} END)")
+                     .alias("_cycle"))
+    out = out.select(*kept, F.expr(f"IF(size(_cycle) > {n} OR size(_cycle) = 0, _cycle, "
+                                   f"CASE WHEN {ok} THEN {search(None)} END)").alias("_days"))
     return out.selectExpr("cron_expression", "cron_error",
                           f"coalesce({ticks}, cast(array() AS array<timestamp_ntz>)) AS fires", *(extra or []))
 
@@ -114,7 +121,7 @@ def with_fires(defs: DataFrame, as_of, n: int = 2, forward: bool = True, window_
 
 
 def next_fires(defs: DataFrame, as_of, n: int = 2) -> DataFrame:
-    """The n ticks strictly after ``as_of`` as ``(id, n, tick)``."""
+    """The n ticks strictly after ``as_of`` as ``(id, n, tick)``; fewer only where the year 9999 ends the calendar."""
     fires = with_fires(defs.select("id", "cron_expression"), as_of, n)
     return fires.select("id", F.posexplode("fires").alias("_i", "tick")).select(
         "id", (F.col("_i") + 1).alias("n"), "tick")

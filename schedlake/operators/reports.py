@@ -57,6 +57,10 @@ def page_summary(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).select("total", pages.cast("bigint").alias("pages"))
 
 
+#: Width of the slices in which durations are counted.
+SLICE_MICROS = 60_000_000
+
+
 def concurrency(execs: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """Runs in progress after each start or finish, as ``(ts, running, next_ts)``.
 
@@ -84,10 +88,10 @@ def concurrency(execs: DataFrame, slice_unit: str = "hour") -> DataFrame:
         F.coalesce("_next", "_next_first").alias("next_ts"))
 
 
-def pool_load(execs: DataFrame, pool_size: int) -> DataFrame:
+def pool_load(execs: DataFrame, pool_size: int, slice_unit: str = "hour") -> DataFrame:
     """Peak concurrency and seconds spent above a pool size."""
     over = F.when(F.col("running") > pool_size, elapsed_micros("ts", "next_ts"))
-    return concurrency(execs).agg(
+    return concurrency(execs, slice_unit).agg(
         F.max("running").alias("peak"),
         (F.coalesce(F.sum(over), F.lit(0)) / F.lit(1_000_000.0)).alias("seconds_above"),
         F.count_if(F.col("running") > pool_size).alias("marks_above"))
@@ -96,24 +100,29 @@ def pool_load(execs: DataFrame, pool_size: int) -> DataFrame:
 def latency_summary(execs: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
     """Wait (created to started) and run (started to finished) times per handler.
 
-    Percentiles are exact on whole seconds: rows first collapse to a histogram per handler, which is
-    bounded by the number of distinct seconds however many rows a handler has.
+    Percentiles are exact: rows first collapse to a histogram of distinct times per handler, whose running counts are
+    taken per minute of duration and shifted by the minutes before, so that a handler with many runs is not one task.
     """
     shares = shares or {"p50_seconds": 0.5, "p95_seconds": 0.95}
     timed = execs.select("handler_name", F.explode(F.array(
         F.struct(F.lit("wait").alias("metric"), elapsed_micros("created_at", "started_at").alias("micros")),
         F.struct(F.lit("run").alias("metric"), elapsed_micros("started_at", "finished_at").alias("micros")),
     )).alias("m")).select("handler_name", "m.*").filter("micros IS NOT NULL")
-    histogram = timed.groupBy("handler_name", "metric", F.expr("micros div 1000000").alias("seconds")).agg(
-        F.count("*").alias("n"), F.sum("micros").alias("micros"), F.max("micros").alias("top"))
-    w = Window.partitionBy("handler_name", "metric")
-    ranked = histogram.withColumns({
-        "upto": F.sum("n").over(w.orderBy("seconds")), "total": F.sum("n").over(w)})
-    return ranked.groupBy("handler_name", "metric").agg(
+    histogram = timed.groupBy("handler_name", "metric", "micros").agg(F.count("*").alias("n"))
+    histogram = histogram.withColumn("_slice", F.expr(f"micros div {SLICE_MICROS}"))
+    keys = ["handler_name", "metric"]
+    slices = histogram.groupBy(*keys, "_slice").agg(F.sum("n").alias("_held"))
+    w = Window.partitionBy(*keys)
+    slices = slices.select(*keys, "_slice", F.sum("_held").over(w).alias("total"), F.coalesce(F.sum("_held").over(
+        w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_slice").orderBy("micros"))
+    ranked = histogram.withColumn("_inside", inside).join(slices, [*keys, "_slice"]).withColumn(
+        "upto", F.col("_inside") + F.col("_before"))
+    return ranked.groupBy(*keys).agg(
         F.sum("n").alias("runs"),
-        F.round(F.sum("micros") / F.sum("n") / F.lit(1e6), 6).alias("avg_seconds"),
-        (F.max("top") / F.lit(1e6)).alias("max_seconds"),
-        *[F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p)), F.col("seconds"))).alias(name)
+        F.round(F.sum(F.col("micros") * F.col("n")) / F.sum("n") / F.lit(1e6), 6).alias("avg_seconds"),
+        (F.max("micros") / F.lit(1e6)).alias("max_seconds"),
+        *[(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p)), F.col("micros"))) / F.lit(1e6)).alias(name)
           for name, p in shares.items()])
 
 

@@ -4,19 +4,38 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.functions.params import EMPTY_MAP, as_map, encode_params, merge_params, parse_trigger, unwrap
 from schedlake.operators.dispatch import resolve_handler
 from schedlake.operators.joins import spread_join
-from schedlake.schemas import EXECUTION_SCHEMA, PENDING
+from schedlake.schemas import DEFAULT_TOPIC, EXECUTION_SCHEMA, PENDING
 
 MESSAGE_KEY = ["msg_topic", "msg_partition", "msg_offset"]
+#: Ids of event executions: above all numbered ones, then 8 bits for the topic, 14 for the partition, 40 for the offset.
+EVENT_IDS, TOPIC_SHIFT, PARTITION_SHIFT = 1 << 62, 54, 40
+
+
+def event_id(topics: list[str]) -> Column:
+    """The id of a message's execution: the same however often the message is read.
+
+    ``topics`` gives each topic its number and may only be added to; at most 256. A message of another topic, or one
+    whose partition or offset does not fit, is an error.
+    """
+    if not 0 < len(topics) <= 256:
+        raise ValueError("between 1 and 256 topics")
+    slot = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("msg_topic")) - 1
+    fits = (slot >= 0) & (F.col("msg_partition") < 1 << (TOPIC_SHIFT - PARTITION_SHIFT)) & (
+        F.col("msg_offset") < 1 << PARTITION_SHIFT)
+    number = F.shiftleft(slot.cast("long"), TOPIC_SHIFT) + F.shiftleft(
+        F.col("msg_partition").cast("long"), PARTITION_SHIFT) + F.col("msg_offset")
+    return F.when(fits, F.lit(EVENT_IDS) + number).otherwise(
+        F.raise_error(F.concat(F.lit("no event id for a message of "), F.col("msg_topic"))).cast("bigint"))
 
 
 class Ingest(NamedTuple):
-    """Execution rows (without ids, with their message key) and quarantined messages with a reason."""
+    """Execution rows with their message key, and quarantined messages with a reason."""
 
     created: DataFrame
     quarantined: DataFrame
@@ -43,10 +62,10 @@ def enrich_triggers(triggers: DataFrame, defs: DataFrame, merge_when_job_id_give
         reason.alias("reason"))
 
 
-def event_rows(enriched: DataFrame) -> Ingest:
+def event_rows(enriched: DataFrame, topics: list[str]) -> Ingest:
     """Splits enriched triggers into rows to append and messages to quarantine."""
     good = enriched.filter("reason IS NULL").select(
-        F.lit(None).cast("bigint").alias("id"), "job_id", "handler_name", F.col("ts").alias("scheduled_time"),
+        event_id(topics).alias("id"), "job_id", "handler_name", F.col("ts").alias("scheduled_time"),
         F.lit(PENDING).alias("status"), "params", F.lit("event").alias("param_source"),
         F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("finished_at"),
         F.lit(0).alias("retry_count"), F.lit(None).cast("string").alias("error_message"),
@@ -55,5 +74,6 @@ def event_rows(enriched: DataFrame) -> Ingest:
     return Ingest(good.select(*EXECUTION_SCHEMA.fieldNames(), *MESSAGE_KEY), bad)
 
 
-def ingest(triggers: DataFrame, defs: DataFrame, merge_when_job_id_given: bool = False) -> Ingest:
-    return event_rows(enrich_triggers(triggers, defs, merge_when_job_id_given))
+def ingest(triggers: DataFrame, defs: DataFrame, merge_when_job_id_given: bool = False,
+           topics: list[str] | None = None) -> Ingest:
+    return event_rows(enrich_triggers(triggers, defs, merge_when_job_id_given), topics or [DEFAULT_TOPIC])

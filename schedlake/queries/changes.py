@@ -230,3 +230,47 @@ def timeout_violations(spark, sf):
     WHERE deadline < TIMESTAMP '{fx.AS_OF}'"""))
 def stuck_executions(spark, sf):
     return c.stuck(fx.executions(spark, sf), fx.definitions(spark, sf), fx.AS_OF)
+
+
+def _odd_patches(defs):
+    """Bad crons, taken and repeated names, limits, several patches of one id, and good ones."""
+    def patch(rows, **values):
+        columns = {"name": "string", "cron_expression": "string", "max_retry": "int"}
+        return rows.select("id", *[F.lit(values.get(c)).cast(t).alias(c) for c, t in columns.items()])
+
+    return (patch(defs.filter("id % 10 = 1"), cron_expression="nonsense here * *")
+            .unionByName(patch(defs.filter("id % 10 = 2"), max_retry=99))
+            .unionByName(defs.filter("id % 10 = 3").select(
+                "id", F.concat(F.lit("Supplier#"), F.lpad((F.col("id") - 2).cast("string"), 9, "0")).alias("name"),
+                F.lit(None).cast("string").alias("cron_expression"), F.lit(None).cast("int").alias("max_retry")))
+            .unionByName(patch(defs.filter("id % 10 = 4"), max_retry=1)).unionByName(patch(defs.filter("id % 10 = 4"), max_retry=2))
+            .unionByName(patch(defs.filter("id % 10 = 5"), name="the same"))
+            .unionByName(patch(defs.filter("id % 10 = 6"), max_retry=7, cron_expression="0 5 * * *")))
+
+
+@query(with_ctes("definitions", f"""SELECT * REPLACE (
+    CASE WHEN id % 10 = 6 THEN '0 5 * * *' ELSE cron_expression END AS cron_expression,
+    CAST(CASE WHEN id % 10 = 6 THEN 7 ELSE max_retry END AS INT) AS max_retry,
+    CASE WHEN id % 10 = 6 THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at) FROM definitions"""))
+def update_definitions_checked(spark, sf):
+    """Patches that break a rule change nothing."""
+    defs = fx.definitions(spark, sf)
+    return c.update_definitions(defs, _odd_patches(defs).filter("name IS NULL OR name <> 'the same'"), NOW).table
+
+
+@query(with_ctes("definitions", """SELECT id, CASE id % 10 WHEN 1 THEN 'parse_error' WHEN 2 THEN 'max_retry'
+    WHEN 4 THEN 'several_patches' WHEN 5 THEN 'name_repeated' WHEN 3 THEN 'name_taken' END AS errors
+    FROM definitions WHERE id % 10 IN (1, 2, 4, 3) OR (id % 10 = 5 AND (SELECT count(*) FROM definitions WHERE id % 10 = 5) > 1)"""))
+def update_definitions_rejected(spark, sf):
+    defs = fx.definitions(spark, sf)
+    rejected = c.update_definitions(defs, _odd_patches(defs), NOW).rejected
+    return rejected.select("id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(with_ctes("executions definitions", OUTCOMES.format(
+    kind="CASE e.id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'fail' WHEN 2 THEN 'timeout' END")))
+def apply_outcomes_repeated(spark, sf):
+    """Every outcome is delivered twice and counts once."""
+    execs = fx.executions(spark, sf)
+    outcomes = _outcomes(execs)
+    return c.apply_outcomes(execs, outcomes.unionByName(outcomes), fx.definitions(spark, sf), NOW)

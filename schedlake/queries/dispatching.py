@@ -74,9 +74,11 @@ def due_at_polls(spark, sf):
 SELECT coalesce(t.id, m.job_id) AS job_id, coalesce(t.tick, m.scheduled_time) AS scheduled_time,
     coalesce(m.executions, 0) AS executions,
     CASE WHEN m.job_id IS NULL THEN 'missed' WHEN t.id IS NULL THEN 'unscheduled' ELSE 'matched' END AS outcome
-FROM ticks t FULL OUTER JOIN made m ON t.id = m.job_id AND t.tick = m.scheduled_time"""))
+FROM (SELECT * FROM ticks WHERE id IN (SELECT id FROM definitions WHERE is_enabled)) t
+    FULL OUTER JOIN made m ON t.id = m.job_id AND t.tick = m.scheduled_time"""))
 def reconciliation(spark, sf):
-    return d.reconcile(_ticks(spark, sf), fx.executions(spark, sf))
+    defs = fx.definitions(spark, sf)
+    return d.reconcile_definitions(defs, fx.executions(spark, sf), fx.RANGE_START, fx.RANGE_END)
 
 
 # Executions before the dispatch instant: at a small scale nearly every job has something incomplete.

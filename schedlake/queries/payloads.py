@@ -79,10 +79,11 @@ merged AS (SELECT *, CASE
     ELSE concat(left(regexp_replace(base, '"id":[0-9]+', concat('"id":', event_id)), -1), ',"k":', k_json, '}')
     END AS merged_params FROM based)
 """
-CREATED_SQL = MERGED + """SELECT coalesce(job_id, resolved_id) AS job_id, handler_name, ts AS scheduled_time,
+EVENT_ID_SQL = "4611686018427387904 + CAST(msg_partition AS BIGINT) * 1099511627776 + msg_offset"
+CREATED_SQL = MERGED + f"""SELECT {EVENT_ID_SQL} AS id, coalesce(job_id, resolved_id) AS job_id, handler_name, ts AS scheduled_time,
     'PENDING' AS status, merged_params AS params, 'event' AS param_source, CAST(0 AS INT) AS retry_count,
     ts AS created_at, msg_topic, msg_partition, msg_offset FROM merged WHERE reason IS NULL"""
-CREATED = ["job_id", "handler_name", "scheduled_time", "status", "params", "param_source", "retry_count", "created_at",
+CREATED = ["id", "job_id", "handler_name", "scheduled_time", "status", "params", "param_source", "retry_count", "created_at",
            "msg_topic", "msg_partition", "msg_offset"]
 BAD_SQL = PARTS + "SELECT msg_topic, msg_partition, msg_offset, ts, value, reason FROM reasoned WHERE reason IS NOT NULL"
 

@@ -98,14 +98,13 @@ def pool_load(spark, sf):
 @query(with_ctes("executions", """WITH timed AS (
     SELECT handler_name, 'wait' AS metric, date_diff('microsecond', created_at, started_at) AS micros FROM executions
     UNION ALL SELECT handler_name, 'run', date_diff('microsecond', started_at, finished_at) FROM executions),
-ranked AS (SELECT *, micros // 1000000 AS seconds,
-    row_number() OVER (PARTITION BY handler_name, metric ORDER BY micros) AS rn,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY handler_name, metric ORDER BY micros) AS rn,
     count(*) OVER (PARTITION BY handler_name, metric) AS n FROM timed WHERE micros IS NOT NULL)
 SELECT handler_name, metric, count(*) AS runs,
     round(CAST(sum(micros) AS DOUBLE) / count(*) / 1000000.0, 6) AS avg_seconds,
     CAST(max(micros) AS DOUBLE) / 1000000.0 AS max_seconds,
-    CAST(min(seconds) FILTER (rn >= ceil(n * 0.5)) AS BIGINT) AS p50_seconds,
-    CAST(min(seconds) FILTER (rn >= ceil(n * 0.95)) AS BIGINT) AS p95_seconds
+    CAST(min(micros) FILTER (rn >= ceil(n * 0.5)) AS DOUBLE) / 1000000.0 AS p50_seconds,
+    CAST(min(micros) FILTER (rn >= ceil(n * 0.95)) AS DOUBLE) / 1000000.0 AS p95_seconds
 FROM ranked GROUP BY handler_name, metric"""))
 def latency_summary(spark, sf):
     return r.latency_summary(fx.executions(spark, sf))

@@ -9,7 +9,6 @@ from schedlake.plans.event_dispatch import ingest
 from schedlake.queries.payloads import BAD_SQL
 from schedlake.queries.registry import query
 from schedlake.session import run_folder
-from schedlake.sources.relational import bulk_write, create_tables, read_relational
 from schedlake.sources.snapshots import publish_snapshot, read_snapshot
 from schedlake.sources.tables import append_executions, change_days, read_definitions, read_executions
 from schedlake.sources.triggers import quarantine
@@ -65,28 +64,3 @@ def quarantined_triggers(spark, sf):
     folder = run_folder(spark, "quarantine")
     quarantine(ingest(fx.triggers(spark, sf), fx.definitions(spark, sf)).quarantined, folder)
     return spark.read.parquet(folder)
-
-
-def _database(spark) -> str:
-    """A SQLite file in the shared folder. It needs a mounted folder that takes file locks."""
-    import os
-
-    folder = run_folder(spark, "sqlite").removeprefix("file://").removeprefix("file:")
-    os.makedirs(folder)
-    path = f"{folder}/tables.db"
-    create_tables(path)
-    return path
-
-
-@query(with_ctes("executions", "SELECT * FROM executions"))
-def relational_executions(spark, sf):
-    path = _database(spark)
-    bulk_write(fx.executions(spark, sf), path, "job_executions")
-    return read_relational(spark, path, "job_executions")
-
-
-@query(with_ctes("definitions", "SELECT * FROM definitions"))
-def relational_definitions(spark, sf):
-    path = _database(spark)
-    bulk_write(fx.definitions(spark, sf), path, "cron_jobs")
-    return read_relational(spark, path, "cron_jobs", partitions=4)

@@ -5,13 +5,15 @@ from pyspark.sql import types as T
 
 from schedlake import fixtures as fx
 from schedlake.fixtures import with_ctes
-from schedlake.plans.event_dispatch import MESSAGE_KEY
+from schedlake.operators.changes import claim, complete
+from schedlake.plans.event_dispatch import MESSAGE_KEY, event_id
 from schedlake.queries.lifecycle import STATE_SQL, max_retry
 from schedlake.queries.payloads import BAD_SQL, CREATED, CREATED_SQL
 from schedlake.queries.registry import query
 from schedlake.queries.reports import COUNTS
-from schedlake.schemas import EXECUTION_SCHEMA
+from schedlake.schemas import DEFAULT_TOPIC, EXECUTION_SCHEMA
 from schedlake.session import run_folder
+from schedlake.sources.tables import append_executions, read_executions
 from schedlake.streaming import ingest as si
 from schedlake.streaming.state import PROVIDER, deadline_stream, state_stream
 from schedlake.streaming.stats import windowed_stats
@@ -63,10 +65,43 @@ def trigger_stream_repeated_run(spark, sf):
     """The same rows after a run on a new checkpoint that finds the messages stored."""
     folder = _ingest(spark, sf)
     si.trigger_ingest(_trigger_stream(spark, sf), fx.definitions(spark, sf), f"{folder}/good", f"{folder}/bad",
-                      f"{folder}/checkpoint2", check_stored=True).awaitTermination()
+                      f"{folder}/checkpoint2").awaitTermination()
     return si.read_ingested(spark, f"{folder}/good", KEYED_EXECUTIONS).select(*CREATED)
 
 
+HISTORY = ["id", "job_id", "handler_name", "scheduled_time", "status", "params", "param_source", "created_at"]
+
+
+@query(with_ctes("triggers definitions executions", f"""WITH created AS ({CREATED_SQL}),
+stored AS (SELECT {", ".join(HISTORY)} FROM created UNION ALL SELECT {", ".join(HISTORY)} FROM executions
+    WHERE param_source = 'cron')
+SELECT * FROM stored WHERE created_at >= TIMESTAMP '2024-01-05 00:00:00' AND created_at < TIMESTAMP '2024-01-25 12:00:00'"""))
+def ingested_history(spark, sf):
+    """Streamed and appended executions in one table, read by a date range."""
+    folder = run_folder(spark, "history")
+    append_executions(fx.executions(spark, sf).filter("param_source = 'cron'"), folder)
+    si.trigger_ingest(_trigger_stream(spark, sf), fx.definitions(spark, sf), folder, f"{folder}-bad",
+                      f"{folder}-checkpoint").awaitTermination()
+    return read_executions(spark, folder, "2024-01-05 00:00:00", "2024-01-25 12:00:00").select(*HISTORY)
+
+
+CLAIMED = 200
+CLAIM_TIME = "2024-02-01 00:00:00"
+
+
+@query(with_ctes("triggers definitions", f"""WITH created AS ({CREATED_SQL}),
+ranked AS (SELECT *, row_number() OVER (ORDER BY created_at, id) <= {CLAIMED} AS taken FROM created)
+SELECT id, CASE WHEN NOT taken THEN 'PENDING' WHEN msg_offset % 2 = 0 THEN 'SUCCESS' ELSE 'RUNNING' END AS status,
+    CASE WHEN taken THEN TIMESTAMP '{CLAIM_TIME}' END AS started_at,
+    CASE WHEN taken AND msg_offset % 2 = 0 THEN TIMESTAMP '{CLAIM_TIME}' END AS finished_at FROM ranked"""))
+def ingested_claimed(spark, sf):
+    """Claims and outcomes reach the executions that a stream has stored."""
+    stored = read_executions(spark, f"{_ingest(spark, sf)}/good")
+    claimed = claim(stored, CLAIMED, CLAIM_TIME)
+    done = claimed.filter("status = 'RUNNING' AND id % 2 = 0").select("id", F.lit("{}").alias("result"))
+    return complete(claimed, done, fx.definitions(spark, sf), CLAIM_TIME).select("id", "status", "started_at", "finished_at")
+
+
 @query(with_ctes("triggers definitions", BAD_SQL))
 def trigger_stream_quarantine(spark, sf):
     folder = _ingest(spark, sf)
@@ -78,7 +113,7 @@ def enriched_trigger_stream(spark, sf):
     stream = si.enrich_trigger_stream(_trigger_stream(spark, sf), fx.definitions(spark, sf)).drop("params_map")
     rows = run_to_end(spark, stream, "enriched").filter("reason IS NULL")
     return rows.select(
-        "job_id", "handler_name", F.col("ts").alias("scheduled_time"), F.lit("PENDING").alias("status"), "params",
+        event_id([DEFAULT_TOPIC]).alias("id"), "job_id", "handler_name", F.col("ts").alias("scheduled_time"), F.lit("PENDING").alias("status"), "params",
         F.lit("event").alias("param_source"), F.lit(0).alias("retry_count"), F.col("ts").alias("created_at"),
         *MESSAGE_KEY)
 
@@ -102,7 +137,7 @@ def state_from_stream(spark, sf):
 
 
 # Open claims walked in order; a claim is missed once a later row, or the watermark, passes its deadline.
-DEADLINES = """WITH ordered AS (SELECT execution_id, kind, date_trunc('millisecond', ts) AS ts,
+DEADLINES = """WITH ordered AS (SELECT execution_id, kind, ts,
     row_number() OVER (PARTITION BY execution_id ORDER BY ts, seq) AS rn FROM transitions),
 walk AS (
   SELECT DISTINCT execution_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS opened,
@@ -117,7 +152,7 @@ walk AS (
 late AS (SELECT execution_id, missed AS started_at FROM walk WHERE missed IS NOT NULL
   UNION ALL SELECT execution_id, opened FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY rn DESC)
     AS back FROM walk) WHERE back = 1 AND opened + INTERVAL 3600 SECOND <=
-    (SELECT date_trunc('millisecond', max(ts)) FROM transitions) - INTERVAL 10 MINUTE)
+    (SELECT max(ts) FROM transitions) - INTERVAL 10 MINUTE)
 SELECT execution_id, started_at, started_at + INTERVAL 3600 SECOND AS deadline, 'timeout' AS kind,
     'Execution timed out' AS error_message FROM late"""
 

@@ -35,6 +35,8 @@ INVALID_PARAMS = "Invalid params: "
 POOL_EXHAUSTED = "Connection pool exhausted: "
 DATABASE_ERROR = "Database error: "
 # End of fixed values.
+#: The topic of trigger messages where none is named.
+DEFAULT_TOPIC = "triggers"
 
 
 DEFINITION_SCHEMA = T.StructType([

@@ -1,142 +1,15 @@
-"""Both tables in a relational database: a Python data source for SQLite files, and JDBC options.
-
-SQLite comes with Python and needs no server; PostgreSQL and MySQL go through Spark's JDBC source once
-their driver is on the class path.
-"""
+"""Both tables in PostgreSQL or MySQL through Spark's JDBC source; the driver must be on the class path."""
 
 from __future__ import annotations
 
-import sqlite3
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-
-from schedlake.schemas import DEFINITION_SCHEMA, EXECUTION_SCHEMA
 
-# The names of the two tables.
-SCHEMAS = {"cron_jobs": DEFINITION_SCHEMA, "job_executions": EXECUTION_SCHEMA}
-# End of fixed values.
-BUSY_SECONDS = 120
 BATCH_ROWS = 1000
 
 
-def _connect(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(path, timeout=BUSY_SECONDS)
-
-
-def _to_python(value, kind: T.DataType):
-    if value is None:
-        return None
-    if isinstance(kind, T.TimestampNTZType):
-        return datetime.fromisoformat(value)
-    if isinstance(kind, T.BooleanType):
-        return bool(value)
-    return value
-
-
-def _to_sql(value):
-    if isinstance(value, datetime):
-        return value.isoformat(sep=" ")
-    return int(value) if isinstance(value, bool) else value
-
-
-class IdRange(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
-
-
-class RelationalReader(DataSourceReader):
-    """Reads one id range per task through a connection of its own."""
-
-    def __init__(self, schema: T.StructType, options: dict):
-        self._schema, self._path, self._table = schema, options["path"], options["dbtable"]
-        self._tasks = int(options.get("numpartitions", "8"))
-
-    def partitions(self):
-        with _connect(self._path) as db:
-            low, high = db.execute(f"SELECT min(id), max(id) FROM {self._table}").fetchone()
-        if low is None:
-            return [IdRange(0, -1)]
-        step = max(1, -(-(high - low + 1) // self._tasks))
-        return [IdRange(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
-
-    def read(self, partition: IdRange):
-        kinds = [f.dataType for f in self._schema.fields]
-        columns = ", ".join(self._schema.fieldNames())
-        with _connect(self._path) as db:
-            for row in db.execute(f"SELECT {columns} FROM {self._table} WHERE id BETWEEN ? AND ?",
-                                  (partition.low, partition.high)):
-                yield tuple(_to_python(v, k) for v, k in zip(row, kinds))
-
-
-class RelationalWriter(DataSourceWriter):
-    """Writes each partition as one transaction. Rows are keyed by id, so a repeated task changes nothing."""
-
-    def __init__(self, schema: T.StructType, options: dict):
-        self._names, self._path, self._table = schema.fieldNames(), options["path"], options["dbtable"]
-
-    def write(self, iterator) -> WriterCommitMessage:
-        marks = ", ".join("?" * len(self._names))
-        statement = f"INSERT OR REPLACE INTO {self._table} ({', '.join(self._names)}) VALUES ({marks})"
-        with _connect(self._path) as db:
-            batch = []
-            for row in iterator:
-                batch.append(tuple(_to_sql(v) for v in row))
-                if len(batch) == BATCH_ROWS:
-                    db.executemany(statement, batch)
-                    batch.clear()
-            db.executemany(statement, batch)
-        return WriterCommitMessage()
-
-
-class RelationalSource(DataSource):
-    """``format("relational")`` with the options ``path`` (SQLite file), ``dbtable`` and ``numPartitions``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "relational"
-
-    def schema(self) -> T.StructType:
-        return SCHEMAS[self.options["dbtable"]]
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return RelationalReader(schema, dict(self.options))
-
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return RelationalWriter(schema, dict(self.options))
-
-
-_SQL_TYPES = {T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.BooleanType: "INTEGER"}
-
-
-def create_tables(path: str) -> None:
-    """Creates the two empty tables in a SQLite file."""
-    with _connect(path) as db:
-        for table, schema in SCHEMAS.items():
-            columns = ", ".join(
-                f"{f.name} {_SQL_TYPES.get(type(f.dataType), 'TEXT')}"
-                + (" PRIMARY KEY" if f.name == "id" else "" if f.nullable else " NOT NULL") for f in schema.fields)
-            db.execute(f"CREATE TABLE IF NOT EXISTS {table} ({columns})")
-
-
-def read_relational(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
-    spark.dataSource.register(RelationalSource)
-    return spark.read.format("relational").option("path", path).option("dbtable", table).option(
-        "numPartitions", partitions).load()
-
-
-def bulk_write(df: DataFrame, path: str, table: str) -> None:
-    """Writes rows keyed by id into a table, one transaction per partition."""
-    df.sparkSession.dataSource.register(RelationalSource)
-    df.select(*SCHEMAS[table].fieldNames()).write.format("relational").mode("append").option("path", path).option(
-        "dbtable", table).save()
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, low: int, high: int, partitions: int,
               properties: dict | None = None) -> DataFrame:
-    """The same partitioned read from PostgreSQL or MySQL."""
+    """A table by ranges of its id, one per task."""
     return spark.read.jdbc(url, table, column="id", lowerBound=low, upperBound=high, numPartitions=partitions,
                            properties=properties or {})
 

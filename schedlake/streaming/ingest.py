@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from schedlake.plans.event_dispatch import MESSAGE_KEY, enrich_triggers, event_rows
+from schedlake.schemas import DEFAULT_TOPIC
+from schedlake.sources.tables import append_executions
 from schedlake.sources.triggers import quarantine
 
 
@@ -23,45 +25,38 @@ def batch_folder(dest: str, run: str, batch_id: int) -> str:
     return f"{dest}/run={run}/batch={batch_id}"
 
 
-def not_yet_stored(batch: DataFrame, dest: str, run: str, batch_id: int) -> DataFrame:
-    """Rows of a batch whose message no other batch has stored in ``dest``.
+def not_yet_stored(batch: DataFrame, dest: str) -> DataFrame:
+    """Rows of a batch whose id the history does not hold.
 
-    Offsets grow along the files, so the offset range of the batch prunes the stored table to the few
-    files that can overlap.
+    Only the day folders of the batch are listed and read, and of these only the id column.
     """
-    spark = batch.sparkSession
-    low, high = batch.agg(F.min("msg_offset"), F.max("msg_offset")).first()
-    if low is None:
+    days = [str(r[0]) for r in batch.select(F.to_date("created_at")).distinct().collect()]
+    if not days:
         return batch
-    stored = T.StructType([*batch.schema.fields, T.StructField("run", T.StringType()),
-                           T.StructField("batch", T.LongType())])
     try:
-        others = spark.read.schema(stored).parquet(dest)
+        stored = batch.sparkSession.read.schema("id long").parquet(f"{dest}/created_date={{{','.join(days)}}}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return batch
-    near = others.filter((F.col("run") != run) | (F.col("batch") != batch_id)).filter(
-        F.col("msg_offset").between(low, high)).select(*MESSAGE_KEY)
-    return batch.join(near, MESSAGE_KEY, "left_anti")
+    return batch.join(stored, "id", "left_anti")
 
 
-def exactly_once_append(batch: DataFrame, dest: str, run: str, batch_id: int, check_stored: bool = False) -> None:
-    """Appends a micro-batch once however often it is replayed.
+def exactly_once_append(batch: DataFrame, dest: str) -> None:
+    """Appends a micro-batch to the history once however often it is replayed, from whichever checkpoint.
 
-    Each batch of a run owns a folder and overwrites it, so a replay after a crash replaces its own rows.
-    With ``check_stored`` messages that another run (another checkpoint) has stored are left out too.
+    A message has the same id whenever it is read, so a replay adds only what an earlier attempt did not store. One
+    query at a time may append the messages of a topic.
     """
-    rows = not_yet_stored(batch, dest, run, batch_id) if check_stored else batch
-    rows.write.mode("overwrite").parquet(batch_folder(dest, run, batch_id))
+    append_executions(not_yet_stored(batch, dest), dest)
 
 
 def trigger_ingest(stream: DataFrame, defs: DataFrame, dest: str, bad: str, checkpoint: str,
-                   available_now: bool = True, check_stored: bool = False, **options) -> StreamingQuery:
-    """Parses, enriches and appends triggers; bad messages go to the quarantine with a reason.
+                   available_now: bool = True, topics: list[str] | None = None, **options) -> StreamingQuery:
+    """Parses, enriches and appends triggers to the history ``dest``; bad messages go to the quarantine with a reason.
 
-    The checkpoint commits offsets only after both sinks are written, and both sinks are idempotent per
-    batch, so every message lands exactly once. A run is named after its checkpoint.
+    The checkpoint commits offsets only after both sinks are written, and both sinks are idempotent, so every message
+    lands exactly once. The quarantine has a folder per batch of a run, which is named after its checkpoint.
     """
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
@@ -69,8 +64,8 @@ def trigger_ingest(stream: DataFrame, defs: DataFrame, dest: str, bad: str, chec
         # Two sinks read one batch: keep the parsed rows instead of parsing twice.
         enriched = enrich_triggers(batch, defs, **options).drop("params_map").persist()
         try:
-            parts = event_rows(enriched)
-            exactly_once_append(parts.created, dest, run, batch_id, check_stored)
+            parts = event_rows(enriched, topics or [DEFAULT_TOPIC])
+            exactly_once_append(parts.created, dest)
             quarantine(parts.quarantined, batch_folder(bad, run, batch_id), mode="overwrite")
         finally:
             enriched.unpersist()
@@ -80,8 +75,8 @@ def trigger_ingest(stream: DataFrame, defs: DataFrame, dest: str, bad: str, chec
 
 
 def read_ingested(spark: SparkSession, dest: str, schema: T.StructType) -> DataFrame:
-    """Everything ingested so far."""
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(dest)
+    """Everything ingested so far, with the message keys."""
+    return spark.read.schema(schema).parquet(dest)
 
 
 def read_quarantined(spark: SparkSession, bad: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +19,7 @@ STATE_SCHEMA = ("status string, retry_count int, started_at timestamp_ntz, finis
 OUTPUT_SCHEMA = f"execution_id long, {STATE_SCHEMA}"
 DEADLINE_SCHEMA = "execution_id long, started_at timestamp, deadline timestamp, kind string, error_message string"
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 FINISH = {"complete": "SUCCESS", "fail": "FAILED", "timeout": "TIMEOUT"}
 
 
@@ -88,28 +89,36 @@ def state_stream(transitions: DataFrame, max_retry=None) -> DataFrame:
 
 
 class DeadlineProcessor(StatefulProcessor):
-    """Sets an event-time timer per claim and fires it when no end came by then."""
+    """Sets an event-time timer per claim and fires it when no end came by then.
+
+    Times are microseconds; only the timer is in milliseconds, rounded up. Claims whose deadline the watermark has not
+    passed when the stream stops are not emitted.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._claim = handle.getValueState("claim", "started_ms long, deadline_ms long")
+        self._claim = handle.getValueState("claim", "started long, deadline long")
+
+    @staticmethod
+    def _timer(micros: int) -> int:
+        return -(-micros // 1000)
 
     def _clear(self) -> None:
         if self._claim.exists():
-            self._handle.deleteTimer(self._claim.get()[1])
+            self._handle.deleteTimer(self._timer(self._claim.get()[1]))
             self._claim.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["event_time", "seq"])
         missed = []
         for row in batch.itertuples(index=False):
-            at = int(row.event_time.timestamp() * 1000)
+            at = row.event_time.value // 1000
             if self._claim.exists() and self._claim.get()[1] < at:
                 missed.append(self._missed(key))
             if row.kind == "claim" and not self._claim.exists():
-                deadline = at + int(row.timeout_seconds) * 1000
+                deadline = at + int(row.timeout_seconds) * 1_000_000
                 self._claim.update((at, deadline))
-                self._handle.registerTimer(deadline)
+                self._handle.registerTimer(self._timer(deadline))
             elif row.kind in ("complete", "fail", "timeout", "delete"):
                 self._clear()
         yield self._frame(missed)
@@ -118,7 +127,7 @@ class DeadlineProcessor(StatefulProcessor):
         yield self._frame([self._missed(key)] if self._claim.exists() else [])
 
     def _missed(self, key) -> tuple:
-        started, deadline = (datetime.fromtimestamp(ms / 1000, timezone.utc) for ms in self._claim.get())
+        started, deadline = (EPOCH + timedelta(microseconds=us) for us in self._claim.get())
         self._clear()
         return key[0], started, deadline, "timeout", TIMEOUT_MESSAGE
 

@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from oracle import compare, connect
+from schedlake.queries import ORACLES, QUERIES
 
 JOINS = ["executions_with_definition", "detail_projection", "insert_if_absent", "cron_dispatch", "overlap_guard",
          "event_executions", "bad_triggers", "handler_resolution", "due_at_polls", "reconciliation", "apply_outcomes",
@@ -16,10 +17,10 @@ def con(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, small, name):
-    sql = oracle_sql().get(name)
-    df = queries()[name](spark, small)
+    sql = ORACLES.get(name)
+    df = QUERIES[name](spark, small)
     if sql is None:
         assert df.collect()
         return
@@ -28,7 +29,7 @@ def test_matches_sql(spark, con, small, name):
 
 @pytest.mark.parametrize("name", JOINS)
 def test_matches_sql_without_broadcast(spark, con, small, no_broadcast, name):
-    assert compare(spark, con, name, queries()[name], oracle_sql()[name], small) is None
+    assert compare(spark, con, name, QUERIES[name], ORACLES[name], small) is None
 
 
 def test_entry(spark):

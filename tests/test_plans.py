@@ -2,21 +2,21 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from schedlake.queries import QUERIES
 
 # These run a job of their own and return what they wrote.
-WRITERS = ("stream", "relational", "appended", "changed_days", "published", "stored", "quarantined", "deduplicated")
-BATCH = sorted(n for n in queries() if not any(w in n for w in WRITERS) or n == "hourly_stats")
+WRITERS = ("stream", "ingested", "appended", "changed_days", "published", "stored", "quarantined", "deduplicated")
+BATCH = sorted(n for n in QUERIES if not any(w in n for w in WRITERS) or n == "hourly_stats")
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_pairwise_join(spark, small, no_broadcast, name):
-    plan = queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def _plan(spark, small, name):
-    return queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_top_n_per_job_is_trimmed_before_the_shuffle(spark, small):

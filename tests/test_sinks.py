@@ -1,6 +1,4 @@
-"""Snapshots, appended tables, the relational source and named statements."""
-
-import sqlite3
+"""Snapshots, appended tables and named statements."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +6,7 @@ from pyspark.sql import functions as F
 from schedlake import fixtures as fx
 from schedlake.operators.changes import retry
 from schedlake.plans.named_queries import NamedQueries
-from schedlake.queries.sinks import _database
 from schedlake.session import run_folder, shared_folder
-from schedlake.sources.relational import bulk_write, read_relational
 from schedlake.sources.snapshots import publish_snapshot, read_snapshot
 from schedlake.sources.tables import append_executions, change_days, read_executions, read_stored
 
@@ -50,21 +46,6 @@ def test_only_touched_days_are_rewritten(spark, small):
     change_days(spark, folder, spark.createDataFrame([(-1,)], "id long"), lambda part: 1 / 0)
 
 
-def test_relational_rewrite_is_idempotent(spark, small):
-    path = _database(spark)
-    execs = fx.executions(spark, small)
-    bulk_write(execs, path, "job_executions")
-    bulk_write(execs.withColumn("status", F.lit("FAILED")), path, "job_executions")
-    with sqlite3.connect(path) as db:
-        assert db.execute("SELECT count(*), count(DISTINCT status) FROM job_executions").fetchone() == (1000, 1)
-    back = read_relational(spark, path, "job_executions", partitions=3)
-    assert back.rdd.getNumPartitions() == 3 and back.count() == 1000
-
-
-def test_empty_relational_table(spark):
-    assert read_relational(spark, _database(spark), "cron_jobs").count() == 0
-
-
 def test_named_statements(spark, small):
     named = NamedQueries()
     assert named.names() == ["job_history", "status_totals", "waiting_runs"]
