@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -60,8 +61,43 @@ def error_text(error: Exception) -> str:
     return str(error)
 
 
+RESULT_FIELDS = {"action": None, "success": True, "id": None, "count": None, "data": None, "error": None}
+
+
+def result_text(result: dict | None) -> str | None:
+    """JSON of a result: the known fields in order, with their defaults, then any others. It must name its action."""
+    if result is None:
+        return None
+    if not isinstance(result.get("action"), str):
+        raise ValueError("result without an action")
+    return json.dumps(RESULT_FIELDS | result, ensure_ascii=False, separators=(",", ":"))
+
+
+def _within(seconds: float, call: Callable[[], str | None]) -> tuple[bool, str | None]:
+    """Whether a call ended in time, and its value. One that hangs is left behind in a thread of its own."""
+    box: list = []
+
+    def work() -> None:
+        try:
+            box.append((call(), None))
+        except Exception as error:
+            box.append((None, error))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not box:
+        return False, None
+    value, error = box[0]
+    if error is not None:
+        raise error
+    return True, value
+
+
 def _run_batches(rows: dict[str, RowHandler]):
     def outcome(row) -> tuple:
+        if row.handler_name not in rows:
+            return row.id, "fail", f"{HANDLER_NOT_FOUND}{row.handler_name}", None, 0.0
         if row.params_error is not None:
             return row.id, "fail", row.params_error, None, 0.0
         params = json.loads(row.extras_json or "{}")
@@ -69,14 +105,11 @@ def _run_batches(rows: dict[str, RowHandler]):
                    "name": row.param_name, "value": row.param_value}
         begin = time.monotonic()
         try:
-            result = rows[row.handler_name](params)
-            text = None if result is None else json.dumps(result, ensure_ascii=False, separators=(",", ":"))
+            ended, text = _within(row.timeout_seconds, lambda: result_text(rows[row.handler_name](params)))
         except Exception as error:  # one bad run must not fail the others
             return row.id, "fail", error_text(error), None, time.monotonic() - begin
         spent = time.monotonic() - begin
-        if spent > row.timeout_seconds:
-            return row.id, "timeout", None, None, spent
-        return row.id, "complete", None, text, spent
+        return (row.id, "complete", None, text, spent) if ended else (row.id, "timeout", None, None, spent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["id", "kind", "error_message", "result", "elapsed_seconds"]
@@ -89,19 +122,15 @@ def _run_batches(rows: dict[str, RowHandler]):
 def run_handlers(pending: DataFrame, registry: Registry) -> DataFrame:
     """Runs the row handlers over pending rows (with ``timeout_seconds``) and returns their outcomes.
 
-    Unknown handlers and invalid parameters fail without reaching Python. A run longer than its timeout
-    is a ``timeout``: it is judged by its elapsed time, not interrupted.
+    Unknown handlers and invalid parameters fail. A run that is not done within its timeout is a ``timeout``, and the
+    next one starts; its thread ends with the Python worker. The order of the rows is not kept.
     """
     parsed = parse_params(pending.select("id", "handler_name", "params", "timeout_seconds"))
-    known = F.col("handler_name").isin(*registry.rows) if registry.rows else F.lit(False)
-    unknown = parsed.filter(~known).select(
-        "id", F.lit("fail").alias("kind"), F.concat(F.lit(HANDLER_NOT_FOUND), "handler_name").alias("error_message"),
-        F.lit(None).cast("string").alias("result"), F.lit(0.0).alias("elapsed_seconds"))
-    runs = parsed.filter(known).select(
+    runs = parsed.select(
         "id", "handler_name", "timeout_seconds", "param_action",
         F.col("param_id").cast("string").alias("param_id"), "param_name", "param_value",  # text keeps all digits
-        F.to_json("param_extras").alias("extras_json"), "params_error")
-    return runs.mapInPandas(_run_batches(dict(registry.rows)), OUTCOME_SCHEMA).unionByName(unknown)
+        F.to_json("param_extras").alias("extras_json"), "params_error").hint("rebalance")
+    return runs.mapInPandas(_run_batches(dict(registry.rows)), OUTCOME_SCHEMA)
 
 
 def run_table_handlers(pending: DataFrame, registry: Registry, tables: dict[str, DataFrame]) -> DataFrame:

@@ -89,15 +89,21 @@ def _fold(items: str, start: str) -> str:
     return f"aggregate({items}, {start}, (a, item) -> {_ADVANCE})"
 
 
+def with_limit(transitions: DataFrame, max_retry: Column | None) -> DataFrame:
+    """Transitions with ``max_retry``, one for each execution: that of its first row by (ts, seq)."""
+    if max_retry is None:
+        return transitions.withColumn("max_retry", F.lit(DEFAULT_MAX_RETRY))
+    limit = F.coalesce(max_retry, F.lit(DEFAULT_MAX_RETRY)).cast("int")
+    limits = transitions.groupBy("execution_id").agg(F.min_by(limit, F.struct("ts", "seq")).alias("max_retry"))
+    return transitions.drop("max_retry").join(limits, "execution_id")
+
+
 def _chunks(transitions: DataFrame, max_retry: Column | None, chunk_rows: int, slice_unit: str) -> DataFrame:
     """The log in bounded chunks: (execution_id, max_retry, hour, chunk, log). One shuffle by (execution, hour)."""
-    limit = max_retry if max_retry is not None else F.lit(DEFAULT_MAX_RETRY)
-    rows = transitions.select(
-        "execution_id", F.coalesce(limit, F.lit(DEFAULT_MAX_RETRY)).cast("int").alias("max_retry"),
-        truncate(slice_unit, "ts").alias("hour"),
+    rows = with_limit(transitions, max_retry).select(
+        "execution_id", "max_retry", truncate(slice_unit, "ts").alias("hour"),
         F.struct("ts", "seq", "kind", "error_message", "result").alias("e"))
-    place = F.row_number().over(
-        Window.partitionBy("execution_id", "max_retry", "hour").orderBy("e.ts", "e.seq"))
+    place = F.row_number().over(Window.partitionBy("execution_id", "max_retry", "hour").orderBy("e.ts", "e.seq"))
     rows = rows.withColumn("chunk", F.floor((place - 1) / F.lit(chunk_rows)).cast("int"))
     return rows.groupBy("execution_id", "max_retry", "hour", "chunk").agg(
         F.array_sort(F.collect_list("e")).alias("log"))
@@ -129,7 +135,7 @@ def current_state(transitions: DataFrame, max_retry: Column | None = None, chunk
     """The state of each execution after its log, ordered by (ts, seq).
 
     Each starts PENDING with no retries. Illegal transitions change nothing and are counted as ``ignored``.
-    ``max_retry`` is a column of ``transitions``. Deleted executions are gone. ``slice_unit`` is the time slice
+    ``max_retry`` is a column of ``transitions``; the first row of an execution sets it. Deleted executions are gone. ``slice_unit`` is the time slice
     a task orders at once; a log that packs a hot execution into few hours takes ``minute``.
     """
     hours = _items(_chunks(transitions, max_retry, chunk_rows, slice_unit), raw_rows)

@@ -49,6 +49,24 @@ def next_fires(spark, sf):
     return o.next_fires(fx.definitions(spark, sf), fx.AS_OF, 2)
 
 
+RARE = ["0 0 1 1 *", "0 0 29 2 *", "0 0 * 2 1#5"]
+MANY = 80
+
+
+@query(with_ctes("definitions", f"""WITH days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-16', DATE '9999-12-31',
+    INTERVAL 1 DAY)) AS TIMESTAMP) AS tick),
+fires AS (SELECT 0 AS k, tick FROM days WHERE month(tick) = 1 AND day(tick) = 1
+    UNION ALL SELECT 1, tick FROM days WHERE month(tick) = 2 AND day(tick) = 29
+    UNION ALL SELECT 2, tick FROM days WHERE month(tick) = 2 AND day(tick) = 29 AND dayofweek(tick) = 1),
+numbered AS (SELECT k, tick, CAST(row_number() OVER (PARTITION BY k ORDER BY tick) AS INT) AS n FROM fires)
+SELECT id, n, tick FROM definitions JOIN numbered ON k = id % 3 WHERE n <= {MANY}"""))
+def next_fires_many(spark, sf):
+    """Fires that lie centuries ahead: yearly, on leap days, and on leap days that are a fifth Monday."""
+    rare = F.element_at(F.array(*[F.lit(e) for e in RARE]), (F.col("id") % 3 + 1).cast("int"))
+    defs = fx.definitions(spark, sf).withColumn("cron_expression", rare)
+    return o.next_fires(defs, fx.AS_OF, MANY)
+
+
 @query(with_ctes("ticks", f"""SELECT id, max(tick) AS scheduled_time FROM ticks WHERE tick < TIMESTAMP '{fx.AS_OF}'
     AND tick >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 60 SECOND GROUP BY id"""))
 def due_definitions(spark, sf):

@@ -1,5 +1,7 @@
 """Python handlers over the pending table."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from schedlake import fixtures as fx
@@ -7,8 +9,9 @@ from schedlake.fixtures import with_ctes
 from schedlake.operators import handlers as h
 from schedlake.operators.changes import apply_outcomes
 from schedlake.operators.reports import error_classes
-from schedlake.operators.views import pending_fifo
+from schedlake.operators.views import pending, pending_fifo, with_definition
 from schedlake.queries.registry import query
+from schedlake.schemas import TIMEOUT_MESSAGE
 
 
 def sample_registry() -> h.Registry:
@@ -16,7 +19,7 @@ def sample_registry() -> h.Registry:
     registry = h.Registry()
 
     def echo(params: dict) -> dict:
-        return {"action": params["action"], "success": True, "count": params.get("k", 0)}
+        return {"action": params["action"], "count": params.get("k", 0)}
 
     for i in range(3):
         registry.handler(f"handler_{i}")(echo)
@@ -45,13 +48,17 @@ outcomes AS (SELECT id, CASE WHEN handler_name IN ('handler_0', 'handler_1', 'ha
         WHEN handler_name IN ('handler_6', 'handler_7') THEN concat('Handler not found: ', handler_name) END
     AS error_message,
     CASE WHEN handler_name IN ('handler_0', 'handler_1', 'handler_2')
-        THEN concat('{"action":"read","success":true,"count":', k, '}') END AS result FROM waiting)
+        THEN concat('{"action":"read","success":true,"id":null,"count":', k, ',"data":null,"error":null}') END AS result
+    FROM waiting)
 """
 
 
+def _waiting(spark, sf):
+    return with_definition(pending(fx.executions(spark, sf)), fx.definitions(spark, sf), "inner")
+
+
 def _outcomes(spark, sf):
-    waiting = pending_fifo(fx.executions(spark, sf), fx.definitions(spark, sf))
-    return h.run_handlers(waiting, sample_registry())
+    return h.run_handlers(_waiting(spark, sf), sample_registry())
 
 
 @query(with_ctes("executions definitions", HANDLED + "SELECT * FROM outcomes"))
@@ -98,3 +105,44 @@ def table_handler_results(spark, sf):
     execs = fx.executions(spark, sf)
     waiting = pending_fifo(execs, fx.definitions(spark, sf))
     return h.run_table_handlers(waiting, registry, {"history": execs}).select("id", "result")
+
+
+@query(with_ctes("executions definitions", """SELECT CASE e.handler_name WHEN 'handler_0' THEN 'Database error'
+        WHEN 'handler_1' THEN 'Connection pool exhausted' WHEN 'handler_2' THEN 'Execution timed out'
+        WHEN 'handler_3' THEN 'Invalid params' WHEN 'handler_4' THEN 'other' WHEN 'handler_5' THEN 'other'
+        ELSE 'Handler not found' END AS error_class, count(*) AS failures
+    FROM executions e JOIN definitions d ON e.job_id = d.id WHERE e.status = 'PENDING' GROUP BY 1"""))
+def all_error_classes(spark, sf):
+    """Every way to fail once: a hanging handler is cut off by its timeout, a result must name its action."""
+    registry = h.Registry()
+
+    @registry.handler("handler_0")
+    def no_table(params: dict) -> None:
+        raise h.DatabaseFailure("no such table")
+
+    @registry.handler("handler_1")
+    def crowded(params: dict) -> None:
+        raise h.PoolExhausted("no free slot")
+
+    @registry.handler("handler_2")
+    def hangs(params: dict) -> None:
+        time.sleep(3600)
+
+    @registry.handler("handler_3")
+    def never_called(params: dict) -> None:
+        raise AssertionError
+
+    @registry.handler("handler_4")
+    def broken(params: dict) -> None:
+        raise ValueError("broken")
+
+    @registry.handler("handler_5")
+    def nameless(params: dict) -> dict:
+        return {"count": 1}
+
+    rows = _waiting(spark, sf).withColumns({
+        "timeout_seconds": F.when(F.col("handler_name") == "handler_2", 0.01).otherwise(60.0),
+        "params": F.when(F.col("handler_name") == "handler_3", "[1]").otherwise(F.col("params"))})
+    outcomes = h.run_handlers(rows, registry)
+    message = F.when(F.col("kind") == "timeout", TIMEOUT_MESSAGE).otherwise(F.col("error_message"))
+    return error_classes(outcomes.withColumn("error_message", message))

@@ -71,10 +71,10 @@ def lookup_executions_by_handler(spark, sf):
 
 
 @query(with_ctes("definitions executions", """SELECT DISTINCT handler_name FROM executions
-    WHERE handler_name NOT IN (SELECT handler_name FROM definitions WHERE is_enabled AND max_retry > 2)"""))
+    WHERE handler_name NOT IN (SELECT handler_name FROM definitions WHERE is_enabled AND max_retry = 4 AND NOT allow_overlap)"""))
 def missing_handlers(spark, sf):
     keys = fx.executions(spark, sf).select("handler_name").distinct()
-    return missing(keys, fx.definitions(spark, sf).filter("is_enabled AND max_retry > 2"), "handler_name")
+    return missing(keys, fx.definitions(spark, sf).filter("is_enabled AND max_retry = 4 AND NOT allow_overlap"), "handler_name")
 
 
 @query(with_ctes("executions", "SELECT * FROM executions WHERE job_id = 8 AND status = 'FAILED'"))

@@ -41,12 +41,23 @@ STATE_SQL = with_ctes("transitions", WALK + """SELECT execution_id, status, retr
 
 
 def max_retry():
+    """The limit of an execution, as its first row says; later rows say something else."""
+    return F.when(F.col("seq") == F.col("first_seq"), F.col("execution_id") % 5).otherwise(9)
+
+
+def logs(transitions):
+    """Transitions with the number of the first row of their execution."""
+    first = transitions.groupBy("execution_id").agg(F.min_by("seq", F.struct("ts", "seq")).alias("first_seq"))
+    return transitions.join(first, "execution_id")
+
+
+def fixed_limit():
     return F.col("execution_id") % 5
 
 
 @query(STATE_SQL)
 def current_state(spark, sf):
-    return lc.current_state(fx.transitions(spark, sf), max_retry())
+    return lc.current_state(logs(fx.transitions(spark, sf)), max_retry())
 
 
 @query(with_ctes("transitions", WALK + """, pairs AS (SELECT *, (steps - 1) // 2 AS pair FROM walk
@@ -56,7 +67,7 @@ SELECT execution_id, CAST(pair + 1 AS BIGINT) AS attempt, max(ts) FILTER (step_k
     max(error_message) FILTER (step_kind IN ('fail', 'timeout')) AS error_message
 FROM pairs GROUP BY execution_id, pair""", recursive=True))
 def attempts(spark, sf):
-    return lc.attempts(fx.transitions(spark, sf), max_retry())
+    return lc.attempts(logs(fx.transitions(spark, sf)), max_retry())
 
 
 @query(with_ctes("executions definitions", """SELECT * FROM (SELECT e.id, e.job_id, e.started_at, max(coalesce(

@@ -7,7 +7,7 @@ from schedlake import fixtures as fx
 from schedlake.fixtures import with_ctes
 from schedlake.operators.changes import claim, complete
 from schedlake.plans.event_dispatch import MESSAGE_KEY, event_id
-from schedlake.queries.lifecycle import STATE_SQL, max_retry
+from schedlake.queries.lifecycle import STATE_SQL, fixed_limit
 from schedlake.queries.payloads import BAD_SQL, CREATED, CREATED_SQL
 from schedlake.queries.registry import query
 from schedlake.queries.reports import COUNTS
@@ -128,7 +128,7 @@ def deduplicated_triggers(spark, sf):
 @query(STATE_SQL)
 def state_from_stream(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    updates = run_to_end(spark, state_stream(fx.transitions_of(fx.events_stream(spark, sf)), max_retry()), "state",
+    updates = run_to_end(spark, state_stream(fx.transitions_of(fx.events_stream(spark, sf)), fixed_limit()), "state",
                          "update")
     # An execution may be touched by several micro-batches; its last update is its state.
     fields = [c for c in updates.columns if c not in ("execution_id", "batch")]
@@ -180,6 +180,29 @@ def hourly_stats_stream(spark, sf):
         "batch")
 
 
+FINAL = "window_end <= (SELECT max(created_at) FROM executions) - INTERVAL 10 MINUTE"
+
+
+@query(with_ctes("executions", f"""WITH framed AS (SELECT *, unnest([date_trunc('hour', created_at),
+    date_trunc('hour', created_at) - INTERVAL 1 HOUR]) AS window_start FROM executions)
+SELECT * FROM (SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, {COUNTS} FROM framed GROUP BY 1)
+WHERE {FINAL}"""))
+def sliding_stats_stream(spark, sf):
+    stream = _created_stream(fx.events_stream(spark, sf))
+    return run_to_end(spark, windowed_stats(stream, "2 hours", slide="1 hour"), "sliding").drop("batch")
+
+
+@query(with_ctes("executions", f"""WITH gaps AS (SELECT *, created_at >= lag(created_at) OVER (PARTITION BY status
+        ORDER BY created_at) + INTERVAL 20 MINUTE AS fresh FROM executions),
+numbered AS (SELECT *, count(*) FILTER (coalesce(fresh, true)) OVER (PARTITION BY status ORDER BY created_at
+        ROWS UNBOUNDED PRECEDING) AS sid FROM gaps)
+SELECT * FROM (SELECT min(created_at) AS window_start, max(created_at) + INTERVAL 20 MINUTE AS window_end, status, {COUNTS}
+    FROM numbered GROUP BY status, sid) WHERE {FINAL}"""))
+def session_stats_stream(spark, sf):
+    stream = _created_stream(fx.events_stream(spark, sf))
+    return run_to_end(spark, windowed_stats(stream, "1 hour", gap="20 minutes", keys=["status"]), "sessions").drop("batch")
+
+
 @query(with_ctes("executions", f"""SELECT date_trunc('hour', created_at) AS window_start,
     date_trunc('hour', created_at) + INTERVAL 1 HOUR AS window_end, param_source, {COUNTS}
     FROM executions GROUP BY 1, 2, 3"""))

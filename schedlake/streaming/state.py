@@ -56,19 +56,19 @@ class LifecycleProcessor(StatefulProcessor):
     """Keeps the state of one execution and emits it after each micro-batch that touches it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", STATE_SCHEMA)
+        self._state = handle.getValueState("state", f"{STATE_SCHEMA}, max_retry int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self._state.get() if self._state.exists() else None
-        state = dict(zip(STATE_FIELDS, stored)) if stored else dict(
+        state = dict(zip([*STATE_FIELDS, "max_retry"], stored)) if stored else dict(
             status="PENDING", retry_count=0, started_at=None, finished_at=None, error_message=None, result=None,
             applied=0, ignored=0)
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
         for row in batch.itertuples(index=False):
-            advance(state, row.kind, row.ts.to_pydatetime(), _none(row.error_message), _none(row.result),
-                    int(row.max_retry))
+            limit = state.setdefault("max_retry", int(row.max_retry))  # the first row of an execution sets it
+            advance(state, row.kind, row.ts.to_pydatetime(), _none(row.error_message), _none(row.result), limit)
         values = tuple(_none(state[f]) for f in STATE_FIELDS)
-        self._state.update(values)
+        self._state.update((*values, state["max_retry"]))
         yield pd.DataFrame([(key[0], *values)], columns=["execution_id", *STATE_FIELDS])
 
     def close(self) -> None:
