@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from schedlake.llm.shared import small_batches
+from schedlake.llm.shared import small_batches, written
 from schedlake.llm.tokens import encoder, vocabulary_file
 
 STRIPE_BYTES = 8 << 20
 FILE_BYTES = 24 << 20
 ROW_INDEX_STRIDE = 1000
+MOST_FILES = 100_000
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
     "orc.row.index.stride": str(ROW_INDEX_STRIDE), "compression": "zstd",
@@ -27,7 +28,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, base = encoder(vocabulary).encode, 0
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 4 << 20):
             ids = encode(batch.column(1).to_pylist())
             ends = np.cumsum([0] + [len(x) // 4 for x in ids])
             values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
@@ -65,13 +66,14 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
     """``doc_id, start, ids``; ``start`` counts the ids of all documents before it, over all files.
 
     Stripes are read by different tasks. ``where`` on ``doc_id`` reaches the file reader, which skips stripes and row
-    groups by their statistics and Bloom filters. Totals of the files come from one column; one row per file is
-    gathered in one task for the running total, one for each 24 MB of text.
+    groups by their statistics and Bloom filters. Totals of the files come from two narrow columns; one row per file is
+    gathered for the running total. That table is sent to the readers, unless there are more files than ``MOST_FILES``.
     """
     files = spark.read.orc(path)
     place = F.col("_metadata.file_name").alias("file")
     last = files.select(place, (F.col("start") + F.col("n_tokens")).alias("end")).groupBy("file").agg(F.max("end").alias("held"))
-    base = last.select("file", F.expr("sum(held) OVER (ORDER BY file) - held").alias("base"))
+    base = written(last.select("file", F.expr("sum(held) OVER (ORDER BY file) - held").alias("base")), "file-totals")
+    base = F.broadcast(base) if base.count() <= MOST_FILES else base
     rows = files.select("doc_id", "start", "ids", place)
     rows = rows if where is None else rows.where(where)
     return rows.join(base, "file").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "ids")
