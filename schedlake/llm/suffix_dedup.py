@@ -87,11 +87,13 @@ def _grouped(strings: DataFrame, groups: int) -> DataFrame:
 def _contents(contents: DataFrame, level: int = 0) -> DataFrame:
     """``c1, c2, first, last`` of ``key, c1, c2, at, data, w``; groups that are too large are cut by longer fingerprints.
 
-    At the last length a string is one window, or a run of windows with one fingerprint, and is counted by content.
+    At the last length a string is one window, or a run of equal ones, and its first window is counted by content.
     """
     if level == len(LENGTHS) - 1:
-        total = contents.groupBy("data").agg(F.sum("w").alias("total")).where("total > 1")
-        return contents.join(total, "data").select(
+        rows = contents.withColumn("window", F.substring("data", 1, WINDOW))
+        times = F.sum(F.col("w") * (F.length("data") - (WINDOW - 1)))
+        total = rows.groupBy("window").agg(times.alias("total")).where("total > 1").select("window")
+        return rows.join(total, "window").select(
             "c1", "c2", F.col("at").alias("first"), (F.col("at") + F.length("data") - WINDOW).alias("last"))
     sizes = written(contents.groupBy("key").agg(F.sum(F.length("data")).alias("held")), "content-sizes")
     total = sizes.agg(F.sum("held")).first()[0] or 0
