@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from schedlake import fixtures as fx
 from schedlake.fixtures import with_ctes
-from schedlake.operators.changes import retry, toggle_definitions
+from schedlake.operators.changes import delete_executions, retry, toggle_definitions
 from schedlake.plans.event_dispatch import ingest
 from schedlake.queries.payloads import BAD_SQL
 from schedlake.queries.registry import query
 from schedlake.session import run_folder
 from schedlake.sources.snapshots import publish_snapshot, read_snapshot
-from schedlake.sources.tables import append_executions, change_days, read_definitions, read_executions
+from schedlake.sources.tables import append_executions, change_days, read_definitions, read_executions, retain_days
 from schedlake.sources.triggers import quarantine
 
 HIT = "status = 'TIMEOUT' AND day(created_at) < 8"
@@ -40,14 +40,35 @@ def changed_days(spark, sf):
     return read_executions(spark, folder)
 
 
+@query(with_ctes("executions", f"""SELECT * FROM executions WHERE NOT (created_at < TIMESTAMP '{fx.SINCE}'
+    AND status IN ('SUCCESS', 'FAILED', 'TIMEOUT'))"""))
+def retained_days(spark, sf):
+    folder = run_folder(spark, "executions")
+    append_executions(fx.executions(spark, sf), folder)
+    retain_days(spark, folder, fx.SINCE)
+    return read_executions(spark, folder)
+
+
+@query(with_ctes("executions", """SELECT * FROM executions WHERE NOT (day(created_at) IN (3, 4)
+    OR (day(created_at) = 9 AND status = 'FAILED'))"""))
+def deleted_days(spark, sf):
+    """Deletes that leave two days empty and rewrite a third."""
+    folder = run_folder(spark, "executions")
+    execs = fx.executions(spark, sf)
+    append_executions(execs, folder)
+    ids = execs.filter("day(created_at) IN (3, 4) OR (day(created_at) = 9 AND status = 'FAILED')").select("id")
+    change_days(spark, folder, ids, lambda part: delete_executions(part, ids).table)
+    return read_executions(spark, folder)
+
+
 @query(with_ctes("definitions", f"""SELECT * REPLACE (
     CASE WHEN max_retry = 4 THEN NOT is_enabled ELSE is_enabled END AS is_enabled,
     CASE WHEN max_retry = 4 THEN TIMESTAMP '{fx.AS_OF}' ELSE updated_at END AS updated_at) FROM definitions"""))
 def published_definitions(spark, sf):
     folder = run_folder(spark, "definitions")
-    publish_snapshot(fx.definitions(spark, sf), folder)
+    version = publish_snapshot(fx.definitions(spark, sf), folder)
     first = read_snapshot(spark, folder)
-    publish_snapshot(toggle_definitions(first, first.filter("max_retry = 4"), fx.AS_OF).table, folder)
+    publish_snapshot(toggle_definitions(first, first.filter("max_retry = 4"), fx.AS_OF).table, folder, based_on=version)
     return read_snapshot(spark, folder)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from schedlake.schemas import DEFINITION_SCHEMA, EXECUTION_COLUMNS, EXECUTION_SCHEMA, ntz
+from schedlake.schemas import DEFINITION_SCHEMA, EXECUTION_COLUMNS, EXECUTION_SCHEMA, INCOMPLETE, TERMINAL, ntz
 
 
 def typed_definitions(df: DataFrame) -> DataFrame:
@@ -51,16 +52,48 @@ def append_executions(df: DataFrame, dest: str) -> None:
     _laid_out(df).write.mode("append").partitionBy("created_date").parquet(dest)
 
 
-def change_days(spark: SparkSession, dest: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-    """Applies a change that keeps every row (claim, outcomes, retry, reset) by rewriting only the days
-    that hold the given ids; the rest of the history is not read beyond its id column.
+def drop_days(spark: SparkSession, dest: str, days: list[date]) -> None:
+    """Removes whole day folders of a history, and nothing else; days that are not there are passed over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for day in days:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{dest}/created_date={day.isoformat()}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def _days_with(rows: DataFrame) -> list[date]:
+    """Their number is bounded by the calendar."""
+    return sorted(r.created_date for r in rows.select("created_date").distinct().collect())
 
-    The days to rewrite are a list bounded by the calendar. They are replaced when the job commits.
-    """
+
+def rewrite_days(spark: SparkSession, dest: str, days: list[date], change: Callable[[DataFrame], DataFrame]) -> None:
+    """Applies a change to the rows of some days. Each day is replaced when the job commits; days that the change
+    leaves empty are dropped then. Files of other days are not touched."""
+    if not days:
+        return
+    part = read_stored(spark, dest).filter(F.col("created_date").isin(days)).select(*EXECUTION_COLUMNS)
+    kept = change(part)
+    left = _days_with(kept.select(F.to_date("created_at").alias("created_date")))
+    if left:
+        _laid_out(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "created_date").parquet(dest)
+    drop_days(spark, dest, [d for d in days if d not in left])
+
+
+def change_days(spark: SparkSession, dest: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Applies a change (claim, outcomes, retry, reset, delete) by rewriting only the days that hold the given
+    ids; the rest of the history is not read beyond its id column."""
     stored = read_stored(spark, dest)
     hit = stored.select("id", "created_date").join(ids.select("id"), "id", "left_semi")
-    days = [r.created_date for r in hit.select("created_date").distinct().collect()]
-    if days:
-        part = stored.filter(F.col("created_date").isin(days)).select(*EXECUTION_COLUMNS)
-        _laid_out(change(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "created_date").parquet(dest)
+    rewrite_days(spark, dest, _days_with(hit), change)
+
+
+def retain_days(spark: SparkSession, dest: str, before) -> None:
+    """Drops the terminal rows created before an instant. Days that hold nothing else are dropped without being read;
+    only days with waiting or running rows, and the day of the instant, are rewritten."""
+    old = read_stored(spark, dest).filter(F.col("created_date") <= ntz(before).cast("date"))
+    days = _days_with(old)
+    mixed = set(_days_with(old.filter(
+        F.col("status").isin(*INCOMPLETE) | (F.col("created_date") == ntz(before).cast("date")))))
+    drop_days(spark, dest, [d for d in days if d not in mixed])
+    gone = (F.col("created_at") < ntz(before)) & F.col("status").isin(*TERMINAL)
+    rewrite_days(spark, dest, sorted(mixed), lambda part: part.filter(~gone))

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from schedlake import fixtures as fx
-from schedlake.operators.changes import retry
+from schedlake.operators.changes import retain, retry
 from schedlake.plans.named_queries import NamedQueries
 from schedlake.session import run_folder, shared_folder
-from schedlake.sources.snapshots import publish_snapshot, read_snapshot
-from schedlake.sources.tables import append_executions, change_days, read_executions, read_stored
+from schedlake.sources.snapshots import Conflict, publish_snapshot, read_snapshot
+from schedlake.sources.tables import append_executions, change_days, read_executions, read_stored, retain_days
 
 
 def test_snapshot_of_itself(spark, small):
@@ -46,6 +46,35 @@ def test_only_touched_days_are_rewritten(spark, small):
     change_days(spark, folder, spark.createDataFrame([(-1,)], "id long"), lambda part: 1 / 0)
 
 
+def test_retention_drops_whole_days(spark, small):
+    folder = run_folder(spark, "retain")
+    execs = fx.executions(spark, small)
+    done = execs.withColumn("status", F.expr("IF(day(created_at) < 6, 'SUCCESS', status)"))
+    append_executions(done, folder)
+
+    def files():
+        rows = read_stored(spark, folder).select("created_date", F.input_file_name().alias("f")).distinct().collect()
+        return {(str(r[0]), r[1]) for r in rows}
+
+    before = files()
+    retain_days(spark, folder, "2024-01-08 12:00:00")
+    after = files()
+    assert not {f for f in after if f[0] < "2024-01-06"}
+    assert {f for f in before if f[0] > "2024-01-08"} == {f for f in after if f[0] > "2024-01-08"}
+    wanted = retain(done, "2024-01-08 12:00:00")
+    assert sorted(map(str, read_executions(spark, folder).collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_a_stale_snapshot_is_refused(spark, small):
+    folder = run_folder(spark, "stale")
+    defs = fx.definitions(spark, small)
+    first = publish_snapshot(defs, folder)
+    publish_snapshot(defs.filter("id > 5"), folder, based_on=first)
+    with pytest.raises(Conflict):
+        publish_snapshot(defs, folder, based_on=first)
+    assert read_snapshot(spark, folder).count() == 5
+
+
 def test_named_statements(spark, small):
     named = NamedQueries()
     assert named.names() == ["job_history", "status_totals", "waiting_runs"]
