@@ -80,6 +80,15 @@ def due_at_polls(occurrences: DataFrame, polls: DataFrame,
     return near.groupBy("poll_ts", "id").agg(F.max("tick").alias("scheduled_time"))
 
 
+def due_definitions_at_polls(defs: DataFrame, polls: DataFrame, start, end,
+                             window_seconds: int = DEFAULT_POLL_INTERVAL_SECONDS) -> DataFrame:
+    """:func:`due_at_polls` of the ticks in ``[start, end)``, of which only the polled minutes are produced."""
+    first = F.date_trunc("minute", F.expr(f"poll_ts - interval {window_seconds} seconds")).cast("timestamp_ntz")
+    last = F.date_trunc("minute", "poll_ts").cast("timestamp_ntz")
+    minutes = polls.select(F.explode(F.sequence(first, last, F.expr("interval 1 minute"))).alias("minute")).distinct()
+    return due_at_polls(cron_occurrences(defs, start, end, minutes), polls, window_seconds)
+
+
 def reconcile_definitions(defs: DataFrame, execs: DataFrame, start, end) -> DataFrame:
     """Ticks of the enabled definitions in ``[start, end)`` against their executions; disabled ones expect none."""
     return reconcile(cron_occurrences(defs.filter("is_enabled"), start, end), execs)

@@ -29,12 +29,13 @@ def _days(first: str, last: str, step: int = 1) -> str:
     return f"filter(sequence({first}, {last}, interval {step} day), d -> {matches_day('d')})"
 
 
-def cron_occurrences(defs: DataFrame, start, end) -> DataFrame:
+def cron_occurrences(defs: DataFrame, start, end, minutes: DataFrame | None = None) -> DataFrame:
     """Every tick in ``[start, end)`` as ``(id, tick)``.
 
     Days are filtered, once per distinct expression, before any time of day is produced. The (id, day)
     rows are spread over the cluster before the wide explodes, so a dense expression or one that many
-    definitions share does not sit in one task.
+    definitions share does not sit in one task. With ``minutes``, a column ``minute`` of distinct minutes, only
+    ticks within these are produced; the others are left out before they are opened.
     """
     start, end = _instant(start), _instant(end)
     last_day = max(start, end - timedelta(microseconds=1)).date()
@@ -48,6 +49,11 @@ def cron_occurrences(defs: DataFrame, start, end) -> DataFrame:
     hours = per_day.selectExpr("id", "_offsets", "_day", "explode(_hours) AS _h").selectExpr(
         "id", "_offsets", "cast(_day AS timestamp_ntz) + _h AS _hour")
     hours = hours.filter(f"_hour < {hi} AND _hour > {lo} - interval 1 hour")
+    if minutes is not None:
+        wanted = minutes.groupBy(F.date_trunc("hour", "minute").cast("timestamp_ntz").alias("_wanted")).agg(
+            F.collect_set(F.minute("minute")).alias("_minutes"))  # at most 60 an hour
+        hours = hours.join(wanted, F.col("_hour") == F.col("_wanted")).selectExpr(
+            "id", "_hour", "filter(_offsets, o -> array_contains(_minutes, extract(MINUTE FROM o))) AS _offsets")
     if any(t.minute or t.second or t.microsecond for t in (start, end)):
         # Only the hours that the range cuts test each tick. A lambda would take the explode out of generated
         # code, so it stays in a projection of its own.

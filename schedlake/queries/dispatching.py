@@ -66,7 +66,7 @@ def handler_resolution(spark, sf):
 @query(with_ctes("ticks polls", """SELECT p.poll_ts, t.id, max(t.tick) AS scheduled_time FROM polls p
     JOIN ticks t ON t.tick < p.poll_ts AND t.tick >= p.poll_ts - INTERVAL 60 SECOND GROUP BY p.poll_ts, t.id"""))
 def due_at_polls(spark, sf):
-    return d.due_at_polls(_ticks(spark, sf), fx.polls(spark, sf))
+    return d.due_definitions_at_polls(fx.definitions(spark, sf), fx.polls(spark, sf), fx.RANGE_START, fx.RANGE_END)
 
 
 @query(with_ctes("ticks executions", """WITH made AS (SELECT job_id, scheduled_time, count(*) AS executions

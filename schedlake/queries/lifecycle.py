@@ -57,16 +57,29 @@ def fixed_limit():
 
 @query(STATE_SQL)
 def current_state(spark, sf):
-    return lc.current_state(logs(fx.transitions(spark, sf)), max_retry())
+    return lc.current_state(fx.transitions(spark, sf), fixed_limit())
 
 
-@query(with_ctes("transitions", WALK + """, pairs AS (SELECT *, (steps - 1) // 2 AS pair FROM walk
+ATTEMPTS_SQL = with_ctes("transitions", WALK + """, pairs AS (SELECT *, (steps - 1) // 2 AS pair FROM walk
     WHERE step_kind IS NOT NULL)
 SELECT execution_id, CAST(pair + 1 AS BIGINT) AS attempt, max(ts) FILTER (step_kind = 'claim') AS claimed_at,
     max(ts) FILTER (step_kind <> 'claim') AS ended_at, max(step_kind) FILTER (step_kind <> 'claim') AS outcome,
     max(error_message) FILTER (step_kind IN ('fail', 'timeout')) AS error_message
-FROM pairs GROUP BY execution_id, pair""", recursive=True))
+FROM pairs GROUP BY execution_id, pair""", recursive=True)
+
+
+@query(ATTEMPTS_SQL)
 def attempts(spark, sf):
+    return lc.attempts(fx.transitions(spark, sf), fixed_limit())
+
+
+@query(STATE_SQL)
+def current_state_of_changing_limits(spark, sf):
+    return lc.current_state(logs(fx.transitions(spark, sf)), max_retry())
+
+
+@query(ATTEMPTS_SQL)
+def attempts_of_changing_limits(spark, sf):
     return lc.attempts(logs(fx.transitions(spark, sf)), max_retry())
 
 
