@@ -106,3 +106,35 @@ def previous_fire_of_occurrences(spark, sf):
 def execution_clock(spark, sf):
     return fx.executions(spark, sf).select("id", truncate_seconds("created_at").alias("created_second"),
                                            elapsed_seconds("created_at", "finished_at").alias("total_seconds"))
+
+
+#: Expressions beyond the twelve kinds of the fixture, each with the minutes it fires in and the seconds after them.
+GRAMMAR = [
+    ("0 0 L * *", "hour(t) = 0 AND minute(t) = 0 AND CAST(t AS DATE) = last_day(t)", 0),
+    ("0 9 * * 1#2", "hour(t) = 9 AND minute(t) = 0 AND dayofweek(t) = 1 AND day(t) BETWEEN 8 AND 14", 0),
+    ("0 18 * * L5", "hour(t) = 18 AND minute(t) = 0 AND dayofweek(t) = 5 AND day(t) > day(last_day(t)) - 7", 0),
+    ("@daily", "hour(t) = 0 AND minute(t) = 0", 0),
+    ("0 0 * * FRI-MON", "hour(t) = 0 AND minute(t) = 0 AND dayofweek(t) IN (5, 6, 0, 1)", 0),
+    ("5/20 * * * *", "minute(t) IN (5, 25, 45)", 0),
+    ("*/10 * * * * 30", "minute(t) % 10 = 0", 30),
+    ("0 0 29 2 *", "hour(t) = 0 AND minute(t) = 0 AND month(t) = 2 AND day(t) = 29", 0),
+    ("0 0 * * 7", "hour(t) = 0 AND minute(t) = 0 AND dayofweek(t) = 0", 0),
+    ("@weekly", "hour(t) = 0 AND minute(t) = 0 AND dayofweek(t) = 0", 0),
+    ("0 12 1-7 * 1", "hour(t) = 12 AND minute(t) = 0 AND (day(t) <= 7 OR dayofweek(t) = 1)", 0),
+    ("@hourly", "minute(t) = 0", 0),
+]
+GRAMMAR_RANGE = ("2024-01-20 00:00:00", "2024-03-05 00:00:00")
+GRAMMAR_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS k, t + INTERVAL {seconds} SECOND AS tick FROM minutes WHERE {test}"
+    for k, (_, test, seconds) in enumerate(GRAMMAR))
+
+
+@query(with_ctes("definitions", f"""WITH minutes AS (SELECT unnest(generate_series(TIMESTAMP '{GRAMMAR_RANGE[0]}',
+    TIMESTAMP '{GRAMMAR_RANGE[1]}' - INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS t),
+fires AS ({GRAMMAR_SQL})
+SELECT id, tick FROM definitions JOIN fires ON k = id % {len(GRAMMAR)}"""))
+def cron_grammar(spark, sf):
+    """Last days, numbered and last weekdays, aliases, wraps, steps with a start, seconds and leap days."""
+    chosen = F.element_at(F.array(*[F.lit(e) for e, _, _ in GRAMMAR]), (F.col("id") % len(GRAMMAR) + 1).cast("int"))
+    defs = fx.definitions(spark, sf).withColumn("cron_expression", chosen)
+    return o.cron_occurrences(defs, *GRAMMAR_RANGE)
