@@ -22,12 +22,16 @@ PIVOTS = 16
 #: Members this close to their nearest pivot live in its region. With the distance of a link added it stays below 1,
 #: where unrelated sets lie. ``SLACK`` covers rounding.
 CORE, SLACK = 0.5, 1e-9
-#: Regions up to this size are compared member by member.
+#: Regions up to this size are compared member by member, where members share a rare shingle.
 LEAF = 192
 #: Members and shingles of a family that one task joins; larger ones are split by tables first.
-TASK_MEMBERS, TASK_SHINGLES = 4096, 4_000_000
-#: Levels of distributed splitting; what is then still too large is compared in pairs of blocks.
+TASK_MEMBERS, TASK_SHINGLES = 32_768, 4_000_000
+#: Holders of a shingle up to which shared shingles are counted for pairs.
+FEW = 48
+#: Levels of splitting, in a task and as tables; what is then still too large is probed, or compared in pairs of blocks.
 LEVELS = 3
+#: Shingles of a level's pivots that are sent to all tasks; beyond, members are joined to them by region.
+MOST_PIVOT_SHINGLES = 1_000_000
 #: Sets of candidates whose keys are sent to the scans instead of shuffling the texts.
 BROADCAST_ROWS = 500_000
 
@@ -47,36 +51,53 @@ def spare(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100).cast("int")
 
 
+def spread(n: Column) -> Column:
+    """Shingles in a prefix beyond the spare ones: more for small sets, which cost little; never falling in ``n``."""
+    return F.greatest(F.lit(1), F.floor(n / 20), F.least(F.floor(n / 4), F.lit(50))).cast("int")
+
+
 def needed(n: Column, percent: int) -> Column:
     """Shingles that linked sets share within their prefixes, see ``prefix``; for the smallest partner of ``n``."""
-    least = F.floor((n * percent + 99) / 100)
-    return F.greatest(F.lit(1), F.floor(least / 20)).cast("int")
+    return spread(F.floor((n * percent + 99) / 100))
 
 
 def prefix(shingle_set: Column, percent: int) -> Column:
-    """The first ``spare + n / 20`` shingles by hash: linked sets share at least ``needed`` of them."""
+    """The first ``spare + spread`` shingles by hash: linked sets share at least ``needed`` of them."""
     n = F.size(shingle_set)
-    length = spare(n, percent) + F.greatest(F.lit(1), F.floor(n / 20)).cast("int")
+    length = spare(n, percent) + spread(n)
     return F.transform(F.slice(shingle_set, F.lit(1), length), lambda x: F.shiftrightunsigned(x, 16))
 
 
 def _families(rows: DataFrame, percent: int) -> DataFrame:
-    """``rid, family`` of the sets that share a shingle of their rarest prefix with another one.
+    """``rid, family`` of the sets that may be linked to another one; every link lies within a family.
 
     ``rows`` has one row per distinct set: ``rid, n, p`` (its prefix). Shingles that no other prefix has come first in
     the order, then rarer before more frequent ones. A set keeps the first ``len(p) - needed + 1``; by the prefix
     argument linked sets have one of these in common. A set all of whose kept shingles are its own is linked to nothing.
+    The holders of a kept shingle with more than ``FEW`` of them are one family, if they hold enough frequent ones.
+    Otherwise shared shingles are counted for pairs, of which a set has at most ``FEW`` for each shingle, and pairs that
+    share too few are no links.
     """
     each = rows.select("rid", F.explode("p").alias("x"))
-    shared = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"), F.min("rid").alias("leader")).where("df > 1")
+    shared = each.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = written(each.join(shared, "x"), "shared-shingles")
-    counts = held.groupBy("rid").agg(F.count(F.lit(1)).alias("held"))
-    room = rows.select("rid", (F.size("p") - needed(F.col("n"), percent) + 1).alias("keep"), F.size("p").alias("len")).join(
-        counts, "rid").select("rid", (F.col("keep") - (F.col("len") - F.col("held"))).alias("room")).where("room > 0")
-    ranked = held.join(room, "rid").withColumn("k", F.row_number().over(W.partitionBy("rid").orderBy("df", "x")))
-    kept = written(ranked.where("k <= room").select("rid", "x"), "kept-shingles")
-    leaders = kept.groupBy("x").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = kept.join(leaders, "x").select(F.col("rid").alias("a"), F.col("leader").alias("b"))
+    counts = held.groupBy("rid").agg(F.count(F.lit(1)).alias("held"), F.count(F.when(F.col("df") > FEW, 1)).alias("often"))
+    least = needed(F.col("n"), percent)
+    able = rows.select("rid", least.alias("needed"), (F.size("p") - least + 1).alias("keep"), F.size("p").alias("len")).join(
+        counts, "rid").select("rid", "needed", "often", (F.col("keep") - (F.col("len") - F.col("held"))).alias("room"))
+    able = written(able.where("room > 0"), "possible-members")
+    ranked = held.join(able, "rid").withColumn("k", F.row_number().over(W.partitionBy("rid").orderBy("df", "x")))
+    # a pair without a counted shingle shares frequent ones only, so both sets hold enough of them
+    many = ranked.where((F.col("k") <= F.col("room")) & (F.col("df") > FEW) & (F.col("often") >= F.col("needed")))
+    often = written(many.select("rid", "x"), "frequent-shingles")
+    leaders = often.groupBy("x").agg(F.min("rid").alias("leader"))
+    edges = often.join(leaders, "x").select(F.col("rid").alias("a"), F.col("leader").alias("b"))
+    holders = held.where(F.col("df") <= FEW).join(able, "rid").groupBy("x").agg(
+        F.sort_array(F.collect_list(F.struct("rid", "needed", "often"))).alias("h")).where(F.size("h") > 1)
+    one = holders.select("h", F.posexplode("h").alias("i", "a"))
+    pairs = one.select("a", F.explode(F.slice("h", F.col("i") + 2, FEW)).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    enough = F.col("c") + F.least("a.often", "b.often") >= F.greatest("a.needed", "b.needed")
+    edges = edges.union(pairs.where(enough).select("a.rid", "b.rid"))
     return components(edges).select(F.col("node").alias("rid"), F.col("component").alias("family"))
 
 
@@ -118,17 +139,45 @@ class Space:
         """Finds the links among ``members``, up to known connections."""
         if (self.root[members] == self.root[members[0]]).all():
             return
-        if len(members) <= LEAF or level > 12:
-            for i in members:
-                others = members[self.root[members] != self.root[i]]
-                if len(others):
-                    self.compare(i, others, percent)
+        if len(members) <= LEAF or level > LEVELS:
+            self.probe(members, percent)
             return
         pivots = np.random.default_rng(level).choice(members, PIVOTS, replace=False)
         far = np.stack([self.compare(p, members, percent) for p in pivots])
-        for inside in voronoi(far, 1 - percent / 100):
-            grown = inside.sum() > 0.9 * len(members)  # these pivots tell too little apart
-            self.join(members[inside], percent, 99 if grown else level + 1)
+        regions = list(voronoi(far, 1 - percent / 100))
+        if sum(inside.sum() for inside in regions) > 2 * len(members):  # these pivots tell too little apart
+            self.probe(members, percent)
+            return
+        for inside in regions:
+            self.join(members[inside], percent, level + 1)
+
+
+    def probe(self, members: np.ndarray, percent: int) -> None:
+        """Compares members that share one of their rarest shingles here, of which a link needs one."""
+        sizes = self.sizes[members]
+        owner = np.repeat(np.arange(len(members)), sizes)
+        ends = np.cumsum(sizes)
+        token = self.tokens[np.repeat(self.starts[members] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        times = np.bincount(token)
+        order = np.lexsort((token, times[token], owner))
+        rank = np.arange(len(order)) - np.repeat(ends - sizes, sizes)
+        kept = (rank <= np.repeat(sizes - -(-sizes * percent // 100), sizes)) & (times[token[order]] > 1)
+        token, owner = token[order][kept], owner[order][kept]
+        by_token = np.lexsort((owner, token))
+        held = owner[by_token]
+        begin, end = np.searchsorted(token[by_token], token, "left"), np.searchsorted(token[by_token], token, "right")
+        first = np.searchsorted(owner, np.arange(len(members) + 1))
+        for i in range(len(members)):
+            lists = [held[a:b] for a, b in zip(begin[first[i]:first[i + 1]], end[first[i]:first[i + 1]]) if b - a > 1]
+            if not lists:
+                continue
+            found = np.unique(np.concatenate(lists))
+            found = found[found > i]
+            alike = (100 * sizes[found] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[found])
+            others = members[found[alike]]
+            others = others[self.root[others] != self.root[members[i]]]
+            if len(others):
+                self.compare(members[i], others, percent)
 
 
 def voronoi(far: np.ndarray, reach: float) -> Iterator[np.ndarray]:
@@ -187,15 +236,19 @@ def _split(regions: DataFrame, sizes: DataFrame, percent: int, level: int, pivot
     reach = 1 - percent / 100
     drawn = regions.select("region", "rid", "s").join(sizes.select("region", "members"), "region").where(
         F.pmod(F.xxhash64("rid", F.lit(level)), F.col("members")) < 4 * pivots)
-    chosen = drawn.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct(F.col("rid").alias("p"), F.col("s").alias("ps")))), 1, pivots).alias("pivots"))
+    chosen = written(drawn.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(
+        F.struct(F.col("rid").alias("p"), F.col("s").alias("ps")))), 1, pivots).alias("pivots")), "pivots")
 
     def distance(p: Column) -> Column:
         return bind(F.size(F.array_intersect("s", p["ps"])), lambda both: F.struct(
             (1 - both / (F.size("s") + F.size(p["ps"]) - both)).alias("d"), p["p"].alias("p"),
             (100 * both >= percent * (F.size("s") + F.size(p["ps"]) - both)).alias("linked")))
 
-    far = written(regions.join(chosen, "region", "left").select("region", "rid", "s", F.sort_array(F.transform(
+    tasks = int(max(16, (sizes.agg(F.sum("held")).first()[0] or 0) // 50_000))  # the work lies in the comparisons
+    spread = regions.repartition(tasks, "rid")
+    size = F.aggregate("pivots", F.lit(0).cast("long"), lambda a, p: a + F.size(p["ps"]))
+    small = (chosen.agg(F.sum(size)).first()[0] or 0) <= MOST_PIVOT_SHINGLES
+    far = written(spread.join(F.broadcast(chosen) if small else chosen, "region", "left").select("region", "rid", "s", F.sort_array(F.transform(
         F.coalesce("pivots", F.array().cast(chosen.schema["pivots"].dataType)), distance)).alias("far")), "distances")
     links = far.select(F.col("rid").alias("a"), F.explode("far").alias("f")).where("f.linked").select("a", F.col("f.p").alias("b"))
     near = F.get("far", F.lit(0))
@@ -236,6 +289,9 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         stars, split = _split(rest, large, percent, level)
         found.append(stars)
         regions = written(split, "regions")
+        if regions.count() > 2 * (large.agg(F.sum("members")).first()[0] or 0):  # these pivots tell too little apart
+            found.append(_local_links(_blocks(rest, large), percent))
+            break
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
