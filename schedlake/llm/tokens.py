@@ -16,6 +16,7 @@ PLAIN = "\t\n\r\x20-\x7e¡-¬®-ɏ‐-―‘-„•…€"
 #: Distinct chunks that a worker remembers; beyond, it starts anew.
 REMEMBERED = 800_000
 END = 0
+MARKS = ".,;:!?\n"
 
 
 class Encoder:
@@ -31,6 +32,7 @@ class Encoder:
         self.odd = re.compile(f"[^{PLAIN}]").search
         self.chunks = re.compile(r"(?= [^\s])").split
         self.known: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -43,6 +45,24 @@ class Encoder:
             return [first, *[chunk[1:] for chunk in rest]]
         return text.split(" ")
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Remembers the ids of chunks after a space. Letters never share a piece with the marks that follow them, so
+        a word with marks at its end takes the ids of the word and those of the marks."""
+        whole, marked = set(), []
+        for chunk in chunks:
+            word = chunk.rstrip(MARKS)
+            if len(word) < len(chunk) and word.isalpha():
+                marked.append((chunk, word, chunk[len(word):]))
+                if word not in self.known:
+                    whole.add(word)
+            else:
+                whole.add(chunk)
+        ordered = list(whole)
+        self.known.update(zip(ordered, self._whole([" " + chunk for chunk in ordered])))
+        ends = list({end for _, _, end in marked} - self.ends.keys())
+        self.ends.update(zip(ends, self._whole(ends)))
+        self.known.update((chunk, self.known[word] + self.ends[end]) for chunk, word, end in marked)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and a final end id, as little-endian unsigned 32-bit integers; null is empty."""
         out: list[bytes] = [b""] * len(texts)
@@ -54,11 +74,11 @@ class Encoder:
         for i, ids in zip(odd + heads, whole):
             out[i] = ids
         seen = set().union(*[chunks[1:] for chunks in cut.values()]) if cut else set()
-        fresh = list(seen.difference(self.known))
+        fresh = seen.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list(seen)
-        self.known.update(zip(fresh, self._whole([" " + chunk for chunk in fresh])))
+            self.known, self.ends = {}, {}
+            fresh = seen
+        self._learn(fresh)
         known = self.known.__getitem__
         end = array("I", [END]).tobytes()
         for i, chunks in cut.items():
