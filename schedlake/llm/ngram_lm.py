@@ -23,7 +23,7 @@ from schedlake.llm.elias_fano import Trie
 from schedlake.llm.shared import small_batches, written
 
 #: Text of one chunk.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 #: Distinct bigrams, summed over chunks, that one shard answers.
 SHARD_BIGRAMS = 1_500_000
 #: Weight of the unigram model in each context, as a number of tokens.
@@ -76,6 +76,13 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, train binary, sizes binary, words binary, tokens binary")
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dicts, one in memory at a time: a row is a whole chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def chunk_of(row: dict) -> Chunk:
     return Chunk(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], "<i4"),
                  np.frombuffer(row["sizes"], "<i4"), np.frombuffer(row["train"], np.uint8).astype(bool))
@@ -116,26 +123,25 @@ def _in_order(local: np.ndarray, words: np.ndarray) -> np.ndarray:
 def questions(rows: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
     """``shard, chunk, contexts, counts, degrees, successors, times``, one row per chunk and shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = chunk_of(row)
-                first, second, times, _ = bigrams(chunk)
-                counts = np.bincount(first, times, len(chunk.words)).astype(np.uint32)  # a word is followed as often as it occurs
-                columns: list[list] = [[] for _ in range(7)]
-                for s, local, own in dealt(chunk, first, second, shards, hot):
-                    local = _in_order(local, chunk.words)
-                    degrees = np.zeros(len(chunk.words), np.uint32)
-                    np.add.at(degrees, first[own], 1)
-                    successors = chunk.words[second[own]] >> WORD_BITS
-                    packed = (successors & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (successors >> np.uint64(32)).astype(np.uint8).tobytes()
-                    for column, value in zip(columns, (
-                            s, row["chunk"], chunk.words[local].tobytes(), counts[local].tobytes(), degrees[local].tobytes(),
-                            packed, times[own].tobytes())):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()),
-                     *[pa.array(c, pa.binary()) for c in columns[2:]]],
-                    names=["shard", "chunk", "contexts", "counts", "degrees", "successors", "times"])
+        for row in one_by_one(batches):
+            chunk = chunk_of(row)
+            first, second, times, _ = bigrams(chunk)
+            counts = np.bincount(first, times, len(chunk.words)).astype(np.uint32)  # a word is followed as often as it occurs
+            columns: list[list] = [[] for _ in range(7)]
+            for s, local, own in dealt(chunk, first, second, shards, hot):
+                local = _in_order(local, chunk.words)
+                degrees = np.zeros(len(chunk.words), np.uint32)
+                np.add.at(degrees, first[own], 1)
+                successors = chunk.words[second[own]] >> WORD_BITS
+                packed = (successors & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (successors >> np.uint64(32)).astype(np.uint8).tobytes()
+                for column, value in zip(columns, (
+                        s, row["chunk"], chunk.words[local].tobytes(), counts[local].tobytes(), degrees[local].tobytes(),
+                        packed, times[own].tobytes())):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()),
+                 *[pa.array(c, pa.binary()) for c in columns[2:]]],
+                names=["shard", "chunk", "contexts", "counts", "degrees", "successors", "times"])
 
     return rows.mapInArrow(run, "shard int, chunk long, contexts binary, counts binary, degrees binary, successors binary, times binary")
 
@@ -213,14 +219,13 @@ def _scores(shards: int, hot: np.ndarray, train_tokens: int, train_texts: int, d
 def hot_contexts(rows: DataFrame, shards: int) -> np.ndarray:
     """Fingerprints of the contexts that take much of a chunk; at most ``shards`` of them, the most frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], "<i4")
-                times = np.bincount(tokens, minlength=len(words))
-                times[BEGIN], times[END] = times[END], 0
-                much = np.flatnonzero(times > HOT_SHARE * max(len(tokens), 1))
-                yield pa.RecordBatch.from_arrays([pa.array(words[much].view(np.int64)), pa.array(times[much], pa.int64())],
-                                                 names=["word", "n"])
+        for row in one_by_one(batches):
+            words, tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], "<i4")
+            times = np.bincount(tokens, minlength=len(words))
+            times[BEGIN], times[END] = times[END], 0
+            much = np.flatnonzero(times > HOT_SHARE * max(len(tokens), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(words[much].view(np.int64)), pa.array(times[much], pa.int64())],
+                                             names=["word", "n"])
 
     found = rows.select("words", "tokens").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return np.array([r["word"] for r in found.orderBy(F.desc("n"), "word").limit(shards).collect()], np.int64).view(np.uint64)
