@@ -38,7 +38,7 @@ LOOSE = {
 #: What a text must hold to be searched at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 DIGIT = r"[0-9]"
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Gazetteers: top-level domains and country calling codes in wide use.
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|it|uk|nl|eu|us|ca|ch|at|be|pl|pt|se|example"

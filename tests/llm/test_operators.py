@@ -188,6 +188,15 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_in(empty).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "from 0.0.0.0 to 192.168.00.1", "255.0.256.1", "000.00.0.0", "0.0.0 1.0.0.256", "0" * 4000 + ".0.0.0", "8.8.8.8"]
+    got = pii.find_in(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        base = [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"] if s["base"]]
+        assert base == brute.base_spans(texts[r["doc_id"]])
+    assert sum(s["kind"] == pii.KINDS.index("ip") for r in got for s in r["spans"] if s["base"]) == 6
+
+
 def test_reliabilities_follow_the_votes():
     good, bad = (0, True, 1, 1, 1, 0, 1, 0), (3, False, 0, 0, 0, -1, -1, 0)
     truth = pii.reliabilities([(good, 900), (bad, 100)])
