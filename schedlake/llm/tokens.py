@@ -23,12 +23,14 @@ class Encoder:
     """Cuts texts at the spaces before words and asks the library once for each distinct chunk.
 
     A space that something other than white space follows always begins a piece, whatever stands before it, so the ids
-    of a text are those of its chunks in order.
+    of a text are those of its chunks in order. ``literal`` reads the names of special tokens in a text as plain
+    characters; otherwise, as the library does by default, they are single ids, and such texts go to it as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (literal and t.special)]
         self.odd = re.compile(f"[^{PLAIN}]").search
         self.chunks = re.compile(r"(?= [^\s])").split
         self.known: dict[str, bytes] = {}
@@ -66,7 +68,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and a final end id, as little-endian unsigned 32-bit integers; null is empty."""
         out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if t and self.odd(t)]
+        odd = [i for i, t in enumerate(texts) if t and (self.odd(t) or any(a in t for a in self.added))]
         alone = set(odd)
         cut = {i: self._cut(t) for i, t in enumerate(texts) if t and i not in alone}
         heads = list(cut)
@@ -88,9 +90,9 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One per Python worker, so that tasks share what it remembers."""
+    """One per Python worker, so that tasks share what it remembers; its ids are the library's own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, literal=False)
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:

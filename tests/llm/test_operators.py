@@ -289,6 +289,23 @@ def test_tokens_equal_the_library(monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == reference_ids(texts)
 
 
+def test_special_tokens_as_the_library_reads_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary_file())  # untouched
+    rows = [(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|> b  c"), (4, "plain <|endoftext| > text")]
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
+    assert 50256 in ids[1]
+    got = tokens.encoder(tokens.vocabulary_file()).encode([t for _, t in rows])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == list(ids.values())
+    want = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(docs, path, files=2)
+    same(token_files.checksums(token_files.read_tokens(spark, path)).select("doc_id", "n_tokens", "ids_crc32").collect(), want)
+    same(packing.pack(packing.written_pieces(docs)).select("doc_id", "length", "ids_crc32").collect(), want)
+
+
 @pytest.mark.parametrize("capacity", [2048, 64])
 def test_packing(docs, empty, capacity):
     rows = plain(docs)
