@@ -50,6 +50,17 @@ def overlap_guard(spark, sf):
     return d.overlap_guard(due_rows, execs).select("id", "scheduled_time")
 
 
+@query(with_ctes("ticks executions", f"""WITH due AS (SELECT d.id, d.allow_overlap, t.tick AS scheduled_time
+    FROM definitions d JOIN ticks t ON t.id = d.id WHERE t.tick < TIMESTAMP '{fx.AS_OF}'
+    AND t.tick >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 2 DAY),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY scheduled_time) AS rn FROM due)
+SELECT id, scheduled_time FROM ranked r WHERE allow_overlap OR (rn = 1 AND id NOT IN (
+    SELECT job_id FROM executions WHERE job_id IS NOT NULL AND status IN ('PENDING', 'RUNNING')))"""))
+def overlap_guard_whole_history(spark, sf):
+    due_rows = due(fx.definitions(spark, sf), fx.AS_OF, 2 * 86400, catch_up=True)
+    return d.overlap_guard(due_rows, fx.executions(spark, sf)).select("id", "scheduled_time")
+
+
 @query(with_ctes("triggers definitions", """WITH owners AS (SELECT handler_name, min(id) AS id FROM definitions
     GROUP BY handler_name), parsed AS (SELECT msg_partition, msg_offset,
     CASE WHEN value LIKE '{%' THEN coalesce(json_extract_string(value, '$.handler_name'),

@@ -103,3 +103,12 @@ def test_exhausted_runs_fail_and_others_wait_again(spark):
     timed = {r.id: (r.status, r.error_message) for r in changes.time_out(execs, execs.select("id"), defs, t).collect()}
     assert timed[3] == ("TIMEOUT", "Execution timed out") and timed[1] == ("PENDING", "Execution timed out")
     assert changes.fail(execs, failures, defs, t).columns == EXECUTION_COLUMNS
+
+
+def test_guard_over_the_whole_history(spark, small):
+    from schedlake.queries import QUERIES
+
+    quiet = {r.id for r in fx.definitions(spark, small).filter("NOT allow_overlap").collect()}
+    busy = {r.job_id for r in fx.executions(spark, small).filter("status IN ('PENDING', 'RUNNING')").collect()}
+    got = {r.id for r in QUERIES["overlap_guard_whole_history"](spark, small).collect()}
+    assert got & quiet and not got & quiet & busy
