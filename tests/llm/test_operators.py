@@ -133,6 +133,23 @@ def test_licenses(spark, monkeypatch, block):
     assert licenses.licenses(docs, templates=[]).agg(F.sum("n_matches")).first()[0] == 0
 
 
+def test_licenses_inside_texts(spark):
+    import textwrap
+
+    texts = dict(licenses.full_texts())
+    headers = dict(licenses.HEADERS)
+    around = "Some words about the weather before it.\n{}\nAnd others that follow in the same file"
+    rows = [("MIT", texts["MIT"].split("\n\n")[0]), ("BSD-3-Clause", texts["BSD-3-Clause"]), ("GPL-3.0", headers["GPL-3.0"]),
+            ("Apache-2.0", headers["Apache-2.0"]), ("AGPL-3.0", headers["AGPL-3.0"]), ("GPL-2.0", texts["GPL-2.0"]),
+            ("MIT", texts["MIT"]), ("CC-BY-4.0", dict(licenses.NOTICES)["CC-BY-4.0"])]
+    made = [(i, around.format("\n".join("# " + x for x in textwrap.wrap(t, 50)))) for i, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(made + [(99, around)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.licenses(docs).collect()}
+    for i, (name, _) in enumerate(rows):
+        assert (got[i]["license"], got[i]["dice"] > 0.95) == (name, True), (got[i], name)
+    assert got[99]["n_matches"] == 0
+
+
 @pytest.mark.parametrize("members,leaf,pivots", [(4096, 192, 16), (2, 2, 2)])
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
 def test_jaccard_join(spark, docs, empty, monkeypatch, members, leaf, pivots, n, percent):
