@@ -25,25 +25,26 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     vocabulary = vocabulary or vocabulary_file()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(vocabulary).encode, [0] * (capacity + 1)
+        encode, seen = encoder(vocabulary).encode_with_end, np.zeros(capacity + 1, np.int64)
         for batch in small_batches(batches, "text", 4 << 20):
-            source, number, start, length, nth, ids = [], [], [], [], [], []
-            for i, tokens in enumerate(encode(batch.column(1).to_pylist())):
-                n = len(tokens) // 4
-                at, size = 0, n % capacity or min(n, capacity)
-                piece = 0
-                while at < n:
-                    source.append(i)
-                    number.append(piece)
-                    start.append(at)
-                    length.append(size)
-                    nth.append(seen[size])
-                    seen[size] += 1
-                    ids.append(tokens[4 * at:4 * (at + size)])
-                    at, size, piece = at + size, capacity, piece + 1
+            ids, places = encode(batch.column(1))
+            tokens = np.diff(places)
+            parts = -(-tokens // capacity)
+            source = np.repeat(np.arange(len(tokens)), parts)
+            piece = np.arange(len(source)) - np.repeat(np.cumsum(parts) - parts, parts)
+            first = np.where(tokens % capacity == 0, np.minimum(tokens, capacity), tokens % capacity)[source]
+            start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+            length = np.where(piece == 0, first, capacity)
+            order = np.argsort(length, kind="stable")
+            lengths, begin, times = np.unique(length[order], return_index=True, return_counts=True)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - np.repeat(begin, times) + np.repeat(seen[lengths], times)
+            seen[lengths] += times
+            ends = pa.array(np.append(places[source] + start, places[-1]) * 4, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(source, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(nth, pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column(0).take(pa.array(source)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(nth),
+                 pa.Array.from_buffers(pa.binary(), len(source), [None, ends.buffers()[1], pa.py_buffer(ids)])],
                 names=["doc_id", "piece", "start", "length", "nth", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from schedlake.llm.shared import small_batches, written
@@ -23,29 +24,29 @@ OPTIONS = {
 
 
 def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` in the order of each partition's rows; ``start`` counts ids within the partition."""
+    """``doc_id, part, start, n_tokens, ids`` in the order of each partition's rows; ``start`` counts ids within the
+    partition, whose number is ``part``."""
     vocabulary = vocabulary or vocabulary_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = encoder(vocabulary).encode, 0
+        encode, base, part = encoder(vocabulary).encode_with_end, 0, TaskContext.get().partitionId()
         for batch in small_batches(batches, "text", 4 << 20):
-            ids = encode(batch.column(1).to_pylist())
-            ends = np.cumsum([0] + [len(x) // 4 for x in ids])
-            values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+            ids, places = encode(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                names=["doc_id", "start", "n_tokens", "ids"])
-            base += int(ends[-1])
+                [batch.column(0), pa.array(np.full(len(batch), part, np.int32)), pa.array(base + places[:-1], pa.int64()),
+                 pa.array(np.diff(places), pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids.view(np.int32)))],
+                names=["doc_id", "part", "start", "n_tokens", "ids"])
+            base += int(places[-1])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, start long, n_tokens long, ids array<int>")
+        run, f"doc_id {kind}, part int, start long, n_tokens long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", files: int | None = None,
                  vocabulary: str | None = None, stripe_bytes: int = STRIPE_BYTES) -> None:
-    """Writes all rows in ascending order of ``doc_id`` over files whose names sort alike; nulls come first.
+    """Writes all rows in ascending order of ``doc_id`` over numbered files; nulls come first.
 
     Texts are dealt out by ranges of (id, hash of the text) before they are encoded, so encoding runs once and in all
     tasks, and an id that repeats is no single task. Rows that repeat are written each. A null text is the end id alone.
@@ -66,17 +67,17 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
     """``doc_id, start, ids``; ``start`` counts the ids of all documents before it, over all files.
 
     Stripes are read by different tasks. ``where`` on ``doc_id`` reaches the file reader, which skips stripes and row
-    groups by their statistics and Bloom filters. Totals of the files come from two narrow columns; one row per file is
-    gathered for the running total. That table is sent to the readers, unless there are more files than ``MOST_FILES``.
+    groups by their statistics and Bloom filters. Totals of the files come from narrow columns; one row per file is
+    gathered for the running total, in the order of the numbers that the rows carry, so that names do not matter. That
+    table is sent to the readers, unless there are more files than ``MOST_FILES``.
     """
     files = spark.read.orc(path)
-    place = F.col("_metadata.file_name").alias("file")
-    last = files.select(place, (F.col("start") + F.col("n_tokens")).alias("end")).groupBy("file").agg(F.max("end").alias("held"))
-    base = written(last.select("file", F.expr("sum(held) OVER (ORDER BY file) - held").alias("base")), "file-totals")
+    last = files.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("held"))
+    base = written(last.select("part", F.expr("sum(held) OVER (ORDER BY part) - held").alias("base")), "file-totals")
     base = F.broadcast(base) if base.count() <= MOST_FILES else base
-    rows = files.select("doc_id", "start", "ids", place)
+    rows = files.select("doc_id", "part", "start", "ids")
     rows = rows if where is None else rows.where(where)
-    return rows.join(base, "file").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "ids")
+    return rows.join(base, "part", "left").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,21 +290,33 @@ def test_runs_hold_each_window_once_and_equal_windows_share_a_key():
         assert n > 1 or len({found[i][s:s + 200] for s in range(a, b + 1)}) == b - a + 1
 
 
-def reference_ids(texts):
+def reference_ids(texts, literal=False):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokens.vocabulary_file())
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = literal
     return [[*e.ids, 0] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def test_tokens_equal_the_library(monkeypatch):
+def encoded(encoder, texts):
+    ids, places = encoder.encode_with_end(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(places, places[1:])]
+
+
+@pytest.mark.parametrize("literal", [False, True])
+def test_tokens_equal_the_library(monkeypatch, literal):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     rng = np.random.default_rng(4)
     parts = [" ", " ", "\n", "\t", "\r", "a", "B", "é", "1", "²", ",", "'s", "'ll", "!?", "  ", "日本", "🙂", "\x00", "\x1c", "\x85", "<|endoftext|>", "½", "—"]
-    texts = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(3000)] + [t for _, t, _ in brute.texts()]
-    got = tokens.Encoder(tokens.vocabulary_file()).encode(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == reference_ids(texts)
+    common = [" ", " ", "\n", "a", "Bc", "é", "1", ",", "'s", ".", "  ", "“"]
+    texts = ["".join(rng.choice(p, rng.integers(0, 25))) for p in (parts, common) for _ in range(3000)]
+    texts += [None, *(t for _, t, _ in brute.texts())]
+    encoder = tokens.Encoder(tokens.vocabulary_file(), literal)
+    assert encoded(encoder, texts) == reference_ids(texts, literal) == encoded(encoder, texts)
+    assert encoded(encoder, []) == [] and encoded(encoder, [None, ""]) == [[0], [0]]
+    sliced = pa.array(["x", "a b", None, "c"]).slice(1, 3)
+    assert encoded(encoder, sliced.to_pylist()) == [x for x in reference_ids(["a b", "", "c"], literal)]
+    assert encoder.encode(sliced)[1].tolist() == [0, 2, 2, 3]
 
 
 def test_special_tokens_as_the_library_reads_them(spark, tmp_path):
@@ -313,8 +326,7 @@ def test_special_tokens_as_the_library_reads_them(spark, tmp_path):
     rows = [(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|> b  c"), (4, "plain <|endoftext| > text")]
     ids = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
     assert 50256 in ids[1]
-    got = tokens.encoder(tokens.vocabulary_file()).encode([t for _, t in rows])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == list(ids.values())
+    assert encoded(tokens.encoder(tokens.vocabulary_file()), [t for _, t in rows]) == list(ids.values())
     want = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     path = str(tmp_path / "tokens")
