@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schedlake.llm import decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, suffix_dedup, token_files, url_filter
-from schedlake.llm.shared import documents
+from schedlake.llm import decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, runs, suffix_dedup, token_files, url_filter
+from schedlake.llm.shared import bind, documents, split_words
 from schedlake.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,32 @@ def op8_suffix_dedup(spark, sf_dir):
 @query()
 def op7_language_model(spark, sf_dir):
     return ngram_lm.score(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def made_periodic(doc_id, text):
+    """The contract's texts of ``op12``: where a document's number says so, the words from a place on repeat the first few
+    of them. A null id changes nothing."""
+    h = F.crc32(doc_id.cast("string"))
+
+    def repeated(words):
+        n, g = F.size(words).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(
+            words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), bind(split_words(text), repeated)).otherwise(text)
+
+
+@query()
+def op12_periodic_runs(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = runs.collapse(docs.withColumn("text", made_periodic(F.col("doc_id"), F.col("text"))), carry=("doc_id",))
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shortness"), r["start"], r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("top", top).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"),
+        (-F.col("top.shortness")).alias("length"), F.col("top.period").alias("period"),
+        F.expr("(-1000 * top.shortness) div top.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
