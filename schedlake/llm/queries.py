@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schedlake.llm import decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, runs, suffix_dedup, token_files, url_filter
+from schedlake.llm import decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, runs, suffix_dedup, token_files, url_filter, warc
 from schedlake.llm.shared import bind, documents, split_words
 from schedlake.session import run_folder
 
@@ -230,3 +230,24 @@ def op12_periodic_runs(spark, sf_dir):
         F.expr("(-1000 * top.shortness) div top.period").alias("exponent_milli"),
         F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query(f"""
+WITH known AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (
+  SELECT payload_digest, max(page_id) AS last FROM known WHERE payload_bytes >= {warc.LEAST_REVISIT} GROUP BY payload_digest HAVING count(*) > 1),
+marked AS (
+  SELECT known.*, CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+  FROM known LEFT JOIN last USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM marked
+""")
+def op13_warc_normaliser(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    archives = warc.write_archives(warc.with_revisits(pages), run_folder(spark, "warc-streams"))
+    folder = run_folder(spark, "warc")
+    warc.normalise(archives, folder)
+    index = warc.read_index(spark, folder).where(F.col("record_type").isin("response", "revisit"))
+    number = [F.nullif(F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1), F.lit("")).cast("long").alias(name)
+              for c, name in (("record_id", "page_id"), ("refers_to", "refers_to"))]
+    return warc.read_records(index, payload=False).select(number[0], "payload_bytes", "payload_digest", "record_type", number[1])
