@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from schedlake.llm import decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, runs, suffix_dedup, token_files, url_filter, warc
-from schedlake.llm.shared import bind, documents, split_words
+from schedlake.llm import alignment, decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, runs, suffix_dedup, token_files, url_filter, warc
+from schedlake.llm.shared import bind, documents, split_words, written
 from schedlake.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,11 @@ def op13_warc_normaliser(spark, sf_dir):
     number = [F.nullif(F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1), F.lit("")).cast("long").alias(name)
               for c, name in (("record_id", "page_id"), ("refers_to", "refers_to"))]
     return warc.read_records(index, payload=False).select(number[0], "payload_bytes", "payload_digest", "record_type", number[1])
+
+
+@query()
+def op11_token_alignment(spark, sf_dir):
+    aligned = alignment.align(documents(spark, sf_dir, "doc_id", "text"), carry=("doc_id",))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = written(aligned.select("row.doc_id", "n_a", "n_b", "n_groups", digest, "links"), "aligned")
+    return alignment.with_counts(aligned, alignment.link_counts(aligned))
