@@ -8,6 +8,7 @@ table that tells, for every state it may be entered in, the state it leaves behi
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,11 +90,24 @@ def _fold(items: str, start: str) -> str:
     return f"aggregate({items}, {start}, (a, item) -> {_ADVANCE})"
 
 
+def _of_execution(transitions: DataFrame, column: Column) -> bool:
+    """Whether a column follows from the execution's id alone, and so is the same on all its rows."""
+    try:
+        return bool(transitions.select("execution_id").select(column).schema)
+    except AnalysisException:
+        return False
+
+
 def with_limit(transitions: DataFrame, max_retry: Column | None) -> DataFrame:
-    """Transitions with ``max_retry``, one for each execution: that of its first row by (ts, seq)."""
+    """Transitions with ``max_retry``, one for each execution: that of its first row by (ts, seq).
+
+    A limit that follows from the execution's id needs no look at its first row.
+    """
     if max_retry is None:
         return transitions.withColumn("max_retry", F.lit(DEFAULT_MAX_RETRY))
     limit = F.coalesce(max_retry, F.lit(DEFAULT_MAX_RETRY)).cast("int")
+    if _of_execution(transitions, limit):
+        return transitions.withColumn("max_retry", limit)
     limits = transitions.groupBy("execution_id").agg(F.min_by(limit, F.struct("ts", "seq")).alias("max_retry"))
     return transitions.drop("max_retry").join(limits, "execution_id")
 

@@ -1,5 +1,6 @@
 """Python handlers over the pending table."""
 
+import json
 import time
 
 from pyspark.sql import functions as F
@@ -89,6 +90,59 @@ def handled_executions(spark, sf):
     return done.select("id", "status", "retry_count", "result", "error_message")
 
 
+BATCHED = """WITH waiting AS (SELECT e.id, e.handler_name, CAST(json_extract_string(e.params, '$.k') AS INT) AS k
+    FROM executions e JOIN definitions d ON e.job_id = d.id WHERE e.status = 'PENDING')
+SELECT id, CASE WHEN handler_name IN ('handler_0', 'handler_1', 'handler_2') THEN 'complete'
+        WHEN handler_name = 'handler_3' AND k % 7 <> 0 THEN 'complete' WHEN handler_name = 'handler_4' AND k % 5 <> 0
+        THEN 'complete' WHEN handler_name = 'handler_5' AND id % 100 <> 1 THEN 'complete'
+        WHEN handler_name = 'handler_5' THEN 'timeout' ELSE 'fail' END AS kind,
+    CASE WHEN handler_name = 'handler_3' AND k % 7 = 0 THEN concat('cannot use ', k)
+        WHEN handler_name = 'handler_4' AND k % 5 = 0 THEN concat('Database error: no row ', k)
+        WHEN handler_name IN ('handler_6', 'handler_7') THEN concat('Handler not found: ', handler_name) END AS error_message,
+    CASE WHEN handler_name IN ('handler_0', 'handler_1', 'handler_2') OR handler_name = 'handler_3' AND k % 7 <> 0
+        OR handler_name = 'handler_4' AND k % 5 <> 0
+        THEN concat('{"action":"read","success":true,"id":null,"count":', k, ',"data":null,"error":null}') END AS result
+FROM waiting"""
+
+
+@query(with_ctes("executions definitions", BATCHED))
+def batch_handler_outcomes(spark, sf):
+    """Handlers for batches of rows: one that names its bad rows, one that fails as a whole for any, one that hangs."""
+    registry = h.Registry()
+
+    def counts(rows):
+        return [json.loads(x)["k"] for x in rows.column("extras").to_pylist()]
+
+    def echo(rows):
+        return [{"action": a, "count": k} for a, k in zip(rows.column("action").to_pylist(), counts(rows))]
+
+    for i in range(3):
+        registry.batch_handler(f"handler_{i}")(echo)
+
+    @registry.batch_handler("handler_3")
+    def broken(rows):
+        for k in counts(rows):
+            if k % 7 == 0:
+                raise ValueError(f"cannot use {k}")
+        return echo(rows)
+
+    @registry.batch_handler("handler_4")
+    def choosy(rows):
+        return [h.DatabaseFailure(f"no row {k}") if k % 5 == 0 else r for k, r in zip(counts(rows), echo(rows))]
+
+    @registry.batch_handler("handler_5")
+    def hangs(rows):
+        if "hang" in rows.column("value").to_pylist():
+            time.sleep(3600)
+        return [None] * len(rows)
+
+    slow = (F.col("handler_name") == "handler_5") & (F.col("id") % 100 == 1)
+    rows = _waiting(spark, sf).withColumns({
+        "params": F.when(slow, F.lit('{"value":"hang"}')).otherwise(F.col("params")),
+        "timeout_seconds": F.when(F.col("handler_name") == "handler_5", 0.05).otherwise(60.0)})
+    return h.run_handlers(rows, registry).drop("elapsed_seconds")
+
+
 @query(with_ctes("executions definitions", """SELECT e.id, concat('{"action":"report","count":', n.n, '}') AS result
     FROM executions e JOIN definitions d ON e.job_id = d.id
     JOIN (SELECT job_id, count(*) AS n FROM executions WHERE status = 'SUCCESS' GROUP BY job_id) n

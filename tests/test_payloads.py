@@ -1,7 +1,10 @@
 """JSON parameters, merging, results, triggers, handlers."""
 
 import json
+import threading
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,10 +99,76 @@ def test_handlers_are_isolated(spark):
             (5, "ok", "[]", 60), (6, "slow", None, 0)]
     df = spark.createDataFrame(rows, "id long, handler_name string, params string, timeout_seconds int")
     got = {r.id: r for r in h.run_handlers(df, registry).collect()}
-    assert got[1].kind == "complete" and json.loads(got[1].result) == {"action": "read", "id": big, "extra": "é"}
+    assert got[1].kind == "complete" and json.loads(got[1].result) == {
+        "action": "read", "success": True, "id": big, "count": None, "data": None, "error": None, "extra": "é"}
     assert (got[2].kind, got[2].error_message) == ("fail", "Database error: lost")
     assert got[3].kind == "fail" and "serializable" in got[3].error_message
     assert got[4].error_message == "Handler not found: who"
     assert got[5].error_message == "Invalid params: not a JSON object"
     assert got[6].kind == "timeout"
     assert registry.names() == ["db", "odd", "ok", "slow"]
+
+
+def test_batch_handlers_are_bisected(spark):
+    registry = h.Registry()
+
+    @registry.batch_handler("whole")
+    def whole(rows):
+        if 13 in rows.column("id").to_pylist():
+            raise ValueError("13")
+        return [{"action": "w", "count": len(rows)}] * len(rows)
+
+    @registry.batch_handler("short")
+    def short(rows):
+        return []
+
+    @registry.batch_handler("arrow")
+    def arrow(rows):
+        return pa.array([{"action": "a", "data": v} for v in rows.column("value").to_pylist()])
+
+    @registry.batch_handler("mixed")
+    def mixed(rows):
+        kinds = [h.PoolExhausted("no"), {"count": 1}, {"action": object()}, None, {"action": "m"}]
+        return [kinds[i] for i in rows.column("id").to_pylist()]
+
+    @registry.batch_handler("slow")
+    def slow(rows):
+        try:
+            time.sleep(3600 if 7 in rows.column("id").to_pylist() else 0)
+        except Exception:
+            raise AssertionError("a handler cannot hold on to its time")
+        return [None] * len(rows)
+
+    rows = [(i, "whole", f'{{"id":{i}}}', 9) for i in range(40)] + [(100 + i, "slow", f'{{"id":{i}}}', None if i == 3 else 1) for i in range(10)]
+    rows += [(200, "short", None, 9), (201, "short", None, 9), (300, "arrow", '{"value":"é"}', 9), (301, "arrow", None, 9)]
+    rows += [(400 + i, "mixed", f'{{"id":{i}}}', 9) for i in range(5)] + [(500, "whole", "[]", 9)]
+    df = spark.createDataFrame(rows, "id long, handler_name string, params string, timeout_seconds int").coalesce(1)
+    got = {r.id: r for r in h.run_handlers(df, registry).collect()}
+    assert len(got) == len(rows) and (got[13].kind, got[13].error_message) == ("fail", "13")
+    assert all(got[i].kind == "complete" and json.loads(got[i].result)["action"] == "w" for i in range(40) if i != 13)
+    assert [i for i in range(100, 110) if got[i].kind == "timeout"] == [107] and got[106].kind == "complete" and got[106].result is None
+    assert {got[i].error_message for i in (200, 201)} == {"0 results for 1 rows"}
+    assert [json.loads(got[i].result)["data"] for i in (300, 301)] == ["é", None]
+    assert [got[400 + i].kind for i in range(5)] == ["fail", "fail", "fail", "complete", "complete"]
+    assert got[400].error_message == "Connection pool exhausted: no" and got[401].error_message == "result without an action"
+    assert got[500].error_message == "Invalid params: not a JSON object"
+    assert registry.names() == ["arrow", "mixed", "short", "slow", "whole"]
+
+
+def test_calls_are_ended_in_any_thread():
+    def stuck():
+        time.sleep(0.2)
+
+    def threaded(box):
+        with h.Watchdog() as dog:
+            box.extend([dog.signals, dog.within(0.01, stuck), dog.within(5, lambda: 3)])
+
+    with h.Watchdog() as dog:
+        assert dog.signals and dog.within(0.01, stuck) == (False, None) and dog.within(5, lambda: 3) == (True, 3)
+        with pytest.raises(KeyError):
+            dog.within(5, lambda: {}["x"])
+    box = []
+    thread = threading.Thread(target=threaded, args=(box,))
+    thread.start()
+    thread.join()
+    assert box == [False, (False, None), (True, 3)]
