@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -13,13 +14,13 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 from schedlake.llm.shared import small_batches, written
-from schedlake.llm.tokens import LETTER, MARK, SPACE, ChunkMemory, Encoder, encoder, gathered, text_bytes, vocabulary_file
+from schedlake.llm.tokens import LETTER, MARK, SPACE, ChunkMemory, Encoder, gathered, text_bytes, vocabulary_file
 
 PIECE_SPACE = "▁"
-#: Distinct windows and id pairs that a worker holds; beyond, it starts anew, or hands the counts on.
+#: Distinct chunks of either side that a worker remembers, and id pairs that it counts before it hands them on.
 REMEMBERED, PAIRS_HELD = 200_000, 1_000_000
-#: Windows of more bytes are not remembered. Bytes of text that are aligned at once.
-LONGEST, BATCH_BYTES = 256, 2 << 20
+#: Bytes of text that are aligned at once; each distinct window in them is aligned once.
+BATCH_BYTES = 2 << 20
 #: Distinct id pairs whose counts are sent to all tasks, at 16 bytes each; more are joined.
 BROADCAST_PAIRS = 2_000_000
 #: An id pair is one number: the first id times this, plus the second.
@@ -41,7 +42,7 @@ class PieceEncoder:
         pieces = [np.frombuffer(p.replace(PIECE_SPACE, " ").encode(), np.uint8) for p in plain]
         self.at_space = not any((_spaces(p)).any() for p in pieces)
         self.at_mark = not any((LETTER[p[:-1]] & MARK[p[1:]] & (p[1:] != SPACE)).any() for p in pieces)
-        self.memory = ChunkMemory(self._learn)
+        self.memory = ChunkMemory(self._learn, REMEMBERED)
         self.before = self.library.encode("a")
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
@@ -50,7 +51,7 @@ class PieceEncoder:
         texts = [c.decode() for c in chunks]
         led = [len(t) > 1 and t[0] == " " for t in texts]
         found = self.library.encode([t[1:] if own else "a" + t for t, own in zip(texts, led)], num_threads=1)
-        return [np.array(ids if own else ids[len(self.before):], "<u4").tobytes() for own, ids in zip(led, found)]
+        return [array("I", ids if own else ids[len(self.before):]).tobytes() for own, ids in zip(led, found)]
 
     def cuts(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
         begin = np.zeros(len(data) + 1, bool)
@@ -95,7 +96,6 @@ class Side:
 
     def __init__(self, pieces: list[bytes]):
         self.sizes = np.array([len(p) for p in pieces], np.int64)
-        self.size_list = self.sizes.tolist()
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
         self.spaced = np.array([p[:1] == b" " for p in pieces])
 
@@ -114,39 +114,36 @@ class Aligner:
     def __init__(self, first: Encoder, second: PieceEncoder):
         self.first, self.second = first, second
         self.a, self.b = Side(byte_level_pieces(first)), Side(sentence_pieces(second))
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def _window(self, key: bytes) -> tuple[bytes, bytes]:
-        """The groups of a window as text, each with a semicolon after it, and its linked pairs."""
-        n, *ids = np.frombuffer(key, "<i4").tolist()
-        a, b = ids[:n], ids[n:]
-        i = j = from_i = from_j = 0
-        end_a, end_b = self.a.size_list[a[0]], self.b.size_list[b[0]]
-        groups, pairs = [], []
-        while True:
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[from_i:i + 1]))}|{','.join(map(str, b[from_j:j + 1]))};")
-                pairs.append(a[i] * SECOND + b[j])
-                i, j = i + 1, j + 1
-                if i == n:
-                    return "".join(groups).encode(), np.array(pairs, "<i8").tobytes()
-                from_i, from_j = i, j
-                end_a, end_b = end_a + self.a.size_list[a[i]], end_b + self.b.size_list[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += self.a.size_list[a[i]]
-            else:
-                j += 1
-                end_b += self.b.size_list[b[j]]
-
-    def _windows(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
-        fresh = [k for k in keys if k not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, fresh = {}, keys
-        new = {k: self._window(k) for k in fresh}
-        out = [self.known[k] if k in self.known else new[k] for k in keys]
-        self.known.update((k, found) for k, found in new.items() if len(k) <= LONGEST)
-        return out
+        # ids as text, each with a comma after it and then with what ends its side of a group
+        written_out = [f"{i}{end}".encode() for side, last in ((self.a, "|"), (self.b, ";")) for i in range(len(side.sizes)) for end in (",", last)]
+        self.text_sizes = np.array([len(x) for x in written_out], np.int64)
+        self.text = np.frombuffer(b"".join(written_out), np.uint8)
+
+    def _aligned(self, windows: pa.BinaryArray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Of windows, which hold a count and so many ids of the first side, then those of the second: the groups as text,
+        each with a semicolon after it, and the linked pairs, both as ragged tables with a row per window."""
+        _, places, data = windows.buffers()
+        at = np.frombuffer(places, np.int32)[windows.offset:windows.offset + len(windows) + 1] // 4
+        ids = np.frombuffer(data, np.int32) if len(windows) else np.zeros(0, np.int32)
+        n_a = ids[at[:-1]].astype(np.int64)
+        n = np.diff(at) - 1
+        place = np.arange(at[-1]) - np.repeat(at[:-1], n + 1)
+        first = place <= np.repeat(n_a, n + 1)
+        a, b = ids[first & (place > 0)], ids[~first]
+        end_a, end_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        ends = np.zeros((2, (end_a[-1] if len(a) else 0) + 1), bool)
+        ends[0, end_a] = ends[1, end_b] = True
+        last_a, last_b = ends[1, end_a], ends[0, end_b]
+        # groups in order, in each the ids of the first side before those of the second
+        till_a, till_b = np.append(0, np.flatnonzero(last_a) + 1), np.append(0, np.flatnonzero(last_b) + 1)
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + till_b[np.cumsum(last_a) - last_a]] = 2 * a + last_a
+        codes[np.arange(len(b)) + till_a[np.cumsum(last_b) - last_b + 1]] = 2 * (len(self.a.sizes) + b) + last_b
+        text, text_ends = gathered(codes, self.text_sizes, self.text)
+        of_window = np.append(0, np.cumsum(n))
+        groups = np.append(0, np.cumsum(last_a))[np.append(0, np.cumsum(n_a))]
+        pairs = a[last_a].astype(np.int64) * SECOND + b[last_b]
+        return (np.diff(text_ends[of_window]), text), (np.diff(groups), pairs)
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The ids of both sides for all texts and where each text's begin; none where either side does not spell it."""
@@ -180,12 +177,10 @@ class Aligner:
         keys[np.arange(len(a)) + np.repeat(np.arange(windows) + 1 + first_b[:-1], size_a)] = a
         keys[np.arange(len(b)) + np.repeat(np.arange(windows) + 1 + first_a[1:], size_b)] = b
         coded = pa.Array.from_buffers(pa.binary(), windows, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(keys)]).dictionary_encode()
-        found = self._windows(coded.dictionary.to_pylist())
         codes, of_text = coded.indices.to_numpy(), np.searchsorted(first_a, at_a)
         out = []
-        for k, width in ((0, 1), (1, 8)):
-            sizes = np.array([len(f[k]) // width for f in found], np.int64)
-            values, ends = gathered(codes, sizes, np.frombuffer(b"".join(f[k] for f in found), "<i8" if k else np.uint8))
+        for sizes, table in self._aligned(coded.dictionary):
+            values, ends = gathered(codes, sizes, table)
             out += [values, ends[of_text]]
         text, text_at, pairs, pairs_at = out
         keep = np.ones(len(text), bool)
@@ -199,7 +194,7 @@ class Aligner:
 def aligner(first: str, second: str) -> Aligner:
     """One per Python worker, so that tasks share what it remembers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Aligner(encoder(first, literal=True), PieceEncoder(second))
+    return Aligner(Encoder(first, literal=True, remembered=REMEMBERED), PieceEncoder(second))
 
 
 def align(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = None, first: str | None = None,

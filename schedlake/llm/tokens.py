@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable
 from functools import cache
 
@@ -65,17 +66,20 @@ def gathered(codes: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[
 class ChunkMemory:
     """Ids of distinct chunks, as ``learn`` gives them for those not met before."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list[bytes]]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[bytes]], list[bytes]], most: int):
+        self.learn, self.most = learn, most
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, chunks: list[bytes]) -> list[bytes]:
-        fresh = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, fresh = {}, chunks
-        new = dict(zip(fresh, self.learn(fresh)))
-        out = [self.known[c] if c in self.known else new[c] for c in chunks]
-        self.known.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST)
+        out = list(map(self.known.get, chunks))
+        places = [i for i, ids in enumerate(out) if ids is None]
+        fresh = [chunks[i] for i in places]
+        if len(self.known) + len(fresh) > self.most:
+            self.known = {}
+        for i, chunk, ids in zip(places, fresh, self.learn(fresh)):
+            out[i] = ids
+            if len(chunk) <= LONGEST:
+                self.known[chunk] = ids
         return out
 
     def encode(self, data: np.ndarray, places: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,15 +102,15 @@ class Encoder:
     a whole.
     """
 
-    def __init__(self, path: str, literal: bool = True):
+    def __init__(self, path: str, literal: bool = True, remembered: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (literal and t.special)]
-        self.memory = ChunkMemory(self._learn)
+        self.memory = ChunkMemory(self._learn, remembered or REMEMBERED)
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def odd(self, texts: pa.Array) -> np.ndarray:
         """The numbers of the texts that must not be cut."""
@@ -134,10 +138,10 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, literal: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One per Python worker, so that tasks share what it remembers; its ids are the library's own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, literal)
+    return Encoder(path, literal=False)
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:

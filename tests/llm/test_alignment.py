@@ -74,7 +74,7 @@ def random_texts(n):
 
 
 def test_pieces_equal_the_library(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    monkeypatch.setattr(alignment, "REMEMBERED", 60)
     texts = [t for t in random_texts(3000) + ODD + [t or "" for _, t, _ in brute.texts()] if t and "▁" not in t]
     own = alignment.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
     assert own.at_space and own.at_mark
