@@ -18,9 +18,11 @@ from schedlake.llm.tokens import LETTER, MARK, SPACE, ChunkMemory, Encoder, gath
 
 PIECE_SPACE = "▁"
 #: Distinct chunks of either side that a worker remembers, and id pairs that it counts before it hands them on.
-REMEMBERED, PAIRS_HELD = 200_000, 1_000_000
+REMEMBERED, PAIRS_HELD = 120_000, 1_000_000
 #: Bytes of text that are aligned at once; each distinct window in them is aligned once.
 BATCH_BYTES = 2 << 20
+#: Links that are counted or looked up at once.
+LINKS_AT_ONCE = 1 << 20
 #: Distinct id pairs whose counts are sent to all tasks, at 16 bytes each; more are joined.
 BROADCAST_PAIRS = 2_000_000
 #: An id pair is one number: the first id times this, plus the second.
@@ -224,12 +226,21 @@ def align(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = N
         run, f"row {kind}, n_a long, n_b long, n_groups long, groups string, links array<long>")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, with about ``LINKS_AT_ONCE`` links a batch; ``links`` is the last column."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(ends // LINKS_AT_ONCE, prepend=0))
+        for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+            yield batch.slice(a, b - a)
+
+
 def link_counts(aligned: DataFrame) -> DataFrame:
     """``pair, n, best`` over all rows of ``links``: how often each pair is linked, and whether no pair with the same
     second id is linked more often. Tasks add up what they hold before anything is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             fresh, times = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
             pairs, place = np.unique(np.concatenate([pairs, fresh]), return_inverse=True)
             n = np.bincount(place, np.concatenate([n, times]), len(pairs)).astype(np.int64)
@@ -260,7 +271,7 @@ def with_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             links = batch.column(len(others))
             ends = np.append(0, np.cumsum(pc.list_value_length(links).to_numpy()))
             place = np.searchsorted(pairs, links.flatten().to_numpy())
