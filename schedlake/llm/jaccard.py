@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from schedlake.llm.graph import components
-from schedlake.llm.shared import bind, lower_ascii, split_words, written
+from schedlake.llm.shared import Scratch, bind, lower_ascii, split_words, written
 
 SHINGLE, PERCENT = 4, 85
 PIVOTS = 16
@@ -306,44 +306,69 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     set are one member of the join and share the result. Null, empty and blank texts have an empty set and are linked
     with nothing, not even each other. Only two columns are read. An empty table gives no rows.
     """
-    seen, found = _grouped(docs, doc_id, text, n, percent, F.lit(0))
-    return seen.select("id", "h1", "h2", "n").join(found, ["h1", "h2", "n"], "left").select(
-        F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        seen, found = _grouped(docs, doc_id, text, n, percent)
+        joined = seen.select("id", "h1", "h2", "n").join(found, ["h1", "h2", "n"], "left")
+        return scratch.outlive(joined.select(
+            F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")), "similar")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without those that links reach from another one: the smallest id of each group stays.
 
-    Of rows with equal ids one stays, and ids come before nulls. Rows without words all stay.
+    Of rows with equal ids one stays, and ids come before nulls. Rows without words all stay. The join carries ids and
+    hashes only; rows are looked at again at the end, and only those that repeat as a whole are shuffled then, or all
+    of them where too many go to be sent to the tasks.
     """
-    seen, found = _grouped(docs, doc_id, text, n, percent, F.struct("*"))
-    groups = seen.where("n > 0").select("rid", "id", "h1", "h2", "n").join(found, ["h1", "h2", "n"])
-    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    stay = groups.groupBy("group").agg(F.min(order).alias("stay")).select("group", F.col("stay.rid").alias("stay"))
-    gone = written(groups.select("rid", "group").join(stay, "group").where("rid <> stay").select("rid"), "repeated-rows")
-    return seen.select("rid", "row").join(gone, "rid", "left_anti").select("row.*")
+    spark, key = docs.sparkSession, ["__id", "__none", "__t1", "__t2"]
+    with Scratch(spark) as scratch:
+        seen, found = _grouped(docs, doc_id, text, n, percent)
+        groups = seen.where("n > 0").select("rid", "id", "t1", "t2", "h1", "h2", "n").join(found, ["h1", "h2", "n"])
+        order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("rid").alias("rid"))
+        stay = groups.groupBy("group").agg(F.min(order).alias("stay")).select("group", F.col("stay.rid").alias("stay"))
+        marked = groups.join(stay, "group").select(
+            *_key(F.col("id"), F.col("t1"), F.col("t2")), (F.col("rid") == F.col("stay")).alias("stays"))
+        marked = marked.groupBy(*key).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+        marked = scratch.outlive(marked.where("NOT stays OR times > 1").select(*key, "stays"), "repeated-rows")
+    small = marked.count() <= BROADCAST_ROWS
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), *_key(F.col(doc_id), F.xxhash64(whole), F.xxhash64(F.lit(1), whole)))
+    rows = rows.join(F.broadcast(marked) if small else marked, key, "left")
+    alone = rows.where("stays IS NULL").select("row")
+    one = rows.where("stays").groupBy(*key).agg(F.first("row").alias("row")).select("row")
+    return alone.union(one).select("row.*")
+
+
+def _key(doc_id: Column, t1: Column, t2: Column) -> list[Column]:
+    """An id that may be null, and a text, as columns that can be joined."""
+    return [F.coalesce(doc_id.cast("string"), F.lit("")).alias("__id"), doc_id.isNull().alias("__none"), t1.alias("__t1"), t2.alias("__t2")]
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, row: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows ``rid, row, id, h1, h2, n`` as a table, and ``h1, h2, n, group, component_id`` of their distinct sets."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``rid, id, t1, t2, h1, h2, n`` as a table, and ``h1, h2, n, group, component_id`` of their distinct sets."""
+    spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(row.alias("row"), F.col(doc_id).alias("id"), F.xxhash64(whole).alias("t1"),
+    keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole).alias("t1"),
                         F.xxhash64(F.lit(1), whole).alias("t2"), whole.alias("text"))
-    sets = keyed.select("row", "id", "t1", "t2", bind(shingles(F.col("text"), n), lambda s: F.struct(
+    sets = keyed.select("id", "t1", "t2", bind(shingles(F.col("text"), n), lambda s: F.struct(
         F.size(s).alias("n"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), prefix(s, percent).alias("p"))).alias("s"))
-    seen = written(sets.select("row", "id", "t1", "t2", "s.*").withColumn("rid", F.monotonically_increasing_id()), "shingle-prefixes")
-    classes = written(seen.where("n > 0").groupBy("h1", "h2", "n").agg(
-        F.min("rid").alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "set-classes")
-    extra = seen.select("rid", "h1", "h2", "n").join(classes.where("copies > 1"), ["h1", "h2", "n"]).where("rid <> first")
-    rows = seen.where("n > 0").select("rid", "n", "p").join(extra.select("rid"), "rid", "left_anti")
-    families = written(_families(rows, percent), "families")
+    with Scratch(spark) as prefixes:
+        seen = written(sets.select("id", "t1", "t2", "s.*").withColumn("rid", F.monotonically_increasing_id()), "shingle-prefixes")
+        rows = seen.where("n > 0").groupBy("h1", "h2", "n").agg(
+            F.min("rid").alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        classes = prefixes.outlive(rows, "set-classes")
+        extra = seen.select("rid", "h1", "h2", "n").join(classes.where("copies > 1"), ["h1", "h2", "n"]).where("rid <> first")
+        rows = seen.where("n > 0").select("rid", "n", "p").join(extra.select("rid"), "rid", "left_anti")
+        families = prefixes.outlive(_families(rows, percent), "families")
+        seen = prefixes.outlive(seen.drop("p"), "shingle-sets")
     wanted = written(seen.select("rid", "t1", "t2").join(families, "rid"), "wanted-texts")
     small = wanted.count() <= BROADCAST_ROWS  # beyond, the texts are shuffled once
     texts = keyed.select("t1", "t2", "text").join(F.broadcast(wanted) if small else wanted, ["t1", "t2"])
     texts = texts.groupBy("rid", "family").agg(F.first("text").alias("text"))  # one of each group of copies
-    members = written(texts.select("rid", "family", shingles(F.col("text"), n).alias("s")), "members")
-    linked = components(links(members, percent))
+    with Scratch(spark) as regions:
+        members = written(texts.select("rid", "family", shingles(F.col("text"), n).alias("s")), "members")
+        linked = regions.outlive(components(links(members, percent)), "linked")
     named = classes.join(linked, F.col("first") == F.col("node"), "left").select(
         "h1", "h2", "n", "least", F.coalesce("component", "first").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))

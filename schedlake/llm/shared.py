@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,11 +20,66 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+#: Spark then drops an execution's shuffle files at its end, not when the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Drops the tables that ``written`` made inside it, once nothing reads them any more.
+
+    ``with Scratch(spark)`` drops them at its end; what must stay is written by ``outlive``. ``recording`` only takes
+    down their names, and ``drop`` comes later.
+    """
+
+    open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    @contextmanager
+    def recording(self) -> Iterator[Scratch]:
+        Scratch.open.append(self)
+        try:
+            yield self
+        finally:
+            Scratch.open.remove(self)
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch.open.remove(self)
+        self.drop()
+
+    def outlive(self, df: DataFrame, name: str) -> DataFrame:
+        """``written``, as if outside."""
+        place = Scratch.open.index(self)
+        Scratch.open.remove(self)
+        try:
+            return written(df, name)
+        finally:
+            Scratch.open.insert(place, self)
+
+    def drop(self, spark: SparkSession | None = None) -> None:
+        """Empties the folders, through Spark as any store allows."""
+        for folder in self.folders:
+            (spark or self.spark).range(0).write.mode("overwrite").parquet(folder)
+        self.folders = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and still there when executors are lost."""
     spark = df.sparkSession
     folder = run_folder(spark, name)
-    df.write.parquet(folder)
+    if Scratch.open:
+        Scratch.open[-1].folders.append(folder)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
