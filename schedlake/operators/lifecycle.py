@@ -8,7 +8,6 @@ table that tells, for every state it may be entered in, the state it leaves behi
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,31 +89,23 @@ def _fold(items: str, start: str) -> str:
     return f"aggregate({items}, {start}, (a, item) -> {_ADVANCE})"
 
 
-def _of_execution(transitions: DataFrame, column: Column) -> bool:
-    """Whether a column follows from the execution's id alone, and so is the same on all its rows."""
-    try:
-        return bool(transitions.select("execution_id").select(column).schema)
-    except AnalysisException:
-        return False
-
-
-def with_limit(transitions: DataFrame, max_retry: Column | None) -> DataFrame:
+def with_limit(transitions: DataFrame, max_retry: Column | None, limit_by_id: bool = False) -> DataFrame:
     """Transitions with ``max_retry``, one for each execution: that of its first row by (ts, seq).
 
-    A limit that follows from the execution's id needs no look at its first row.
+    A limit that follows from the execution's id (``limit_by_id``) needs no look at the first row.
     """
     if max_retry is None:
         return transitions.withColumn("max_retry", F.lit(DEFAULT_MAX_RETRY))
     limit = F.coalesce(max_retry, F.lit(DEFAULT_MAX_RETRY)).cast("int")
-    if _of_execution(transitions, limit):
+    if limit_by_id:
         return transitions.withColumn("max_retry", limit)
     limits = transitions.groupBy("execution_id").agg(F.min_by(limit, F.struct("ts", "seq")).alias("max_retry"))
     return transitions.drop("max_retry").join(limits, "execution_id")
 
 
-def _chunks(transitions: DataFrame, max_retry: Column | None, chunk_rows: int, slice_unit: str) -> DataFrame:
+def _chunks(limited: DataFrame, chunk_rows: int, slice_unit: str) -> DataFrame:
     """The log in bounded chunks: (execution_id, max_retry, hour, chunk, log). One shuffle by (execution, hour)."""
-    rows = with_limit(transitions, max_retry).select(
+    rows = limited.select(
         "execution_id", "max_retry", truncate(slice_unit, "ts").alias("hour"),
         F.struct("ts", "seq", "kind", "error_message", "result").alias("e"))
     place = F.row_number().over(Window.partitionBy("execution_id", "max_retry", "hour").orderBy("e.ts", "e.seq"))
@@ -144,15 +135,48 @@ def _by_execution(hours: DataFrame) -> DataFrame:
         (l, r) -> CASE WHEN l.hour < r.hour THEN -1 WHEN l.hour > r.hour THEN 1 ELSE 0 END)""").alias("hs"))
 
 
+STATES_SCHEMA = f"execution_id bigint, max_retry int, state {STATE_TYPE}, n bigint, last timestamp_ntz"
+
+
+def advance(states: DataFrame, rows: DataFrame, chunk_rows: int = CHUNK_ROWS, raw_rows: int = RAW_ROWS,
+            slice_unit: str = "hour") -> DataFrame:
+    """``states`` after later rows of the log: the rows become items first, and each state is then taken through its
+    execution's items. ``n`` counts an execution's rows, ``last`` is the slice of its last one.
+
+    Executions without a state start anew, with the limit of their first row; those without rows keep their state.
+    """
+    limit = F.coalesce("max_retry", F.lit(DEFAULT_MAX_RETRY)).cast("int")
+    limits = rows.groupBy("execution_id").agg(F.min_by(limit, F.struct("ts", "seq")).alias("_first"))
+    known = states.select("execution_id", F.col("max_retry").alias("_known"))
+    limits = limits.join(known, "execution_id", "left").select("execution_id", F.coalesce("_known", "_first").alias("max_retry"))
+    hours = _by_execution(_items(_chunks(rows.drop("max_retry").join(limits, "execution_id"), chunk_rows, slice_unit), raw_rows))
+    old = states.select("execution_id", F.col("max_retry").alias("_old_limit"), "state", F.col("n").alias("_n"), F.col("last").alias("_last"))
+    joined = old.join(hours.withColumnRenamed("max_retry", "_new_limit"), "execution_id", "full").withColumn(
+        "max_retry", F.coalesce("_old_limit", "_new_limit"))
+    folded = f"IF(hs IS NULL, state, {_fold('hs.item', f'coalesce(state, {START})')})"
+    return joined.select(
+        "execution_id", "max_retry", F.expr(folded).alias("state"),
+        F.expr("coalesce(_n, 0L) + coalesce(aggregate(hs.item.n, 0L, (x, y) -> x + y), 0L)").alias("n"),
+        F.expr("coalesce(element_at(hs, -1).hour, _last)").alias("last"))
+
+
+def state_columns(states: DataFrame) -> DataFrame:
+    """States as ``current_state`` gives them."""
+    return states.where("state.status <> 'DELETED'").select(
+        "execution_id", "state.status", "state.retry_count", "state.started_at", "state.finished_at", "state.error_message",
+        "state.result", "state.applied", (F.col("n") - F.col("state.applied")).alias("ignored"))
+
+
 def current_state(transitions: DataFrame, max_retry: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-                  raw_rows: int = RAW_ROWS, slice_unit: str = "hour") -> DataFrame:
+                  raw_rows: int = RAW_ROWS, slice_unit: str = "hour", limit_by_id: bool = False) -> DataFrame:
     """The state of each execution after its log, ordered by (ts, seq).
 
     Each starts PENDING with no retries. Illegal transitions change nothing and are counted as ``ignored``.
-    ``max_retry`` is a column of ``transitions``; the first row of an execution sets it. Deleted executions are gone. ``slice_unit`` is the time slice
-    a task orders at once; a log that packs a hot execution into few hours takes ``minute``.
+    ``max_retry`` is a column of ``transitions``; the first row of an execution sets it, unless it follows from the id
+    anyhow (``limit_by_id``), which saves two shuffles. Deleted executions are gone. ``slice_unit`` is the time slice a
+    task orders at once; a log that packs a hot execution into few hours takes ``minute``.
     """
-    hours = _items(_chunks(transitions, max_retry, chunk_rows, slice_unit), raw_rows)
+    hours = _items(_chunks(with_limit(transitions, max_retry, limit_by_id), chunk_rows, slice_unit), raw_rows)
     # The test inside the explode folds once; a filter on the folded status would fold a second time.
     rows = "aggregate(hs.item.n, 0L, (x, y) -> x + y)"
     state = _by_execution(hours).select("execution_id", F.expr(rows).alias("rows"), F.explode(F.expr(
@@ -170,14 +194,14 @@ def _seen(items: str, start: str) -> str:
 
 
 def accepted_steps(transitions: DataFrame, max_retry: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-                   raw_rows: int = RAW_ROWS, slice_unit: str = "hour") -> DataFrame:
+                   raw_rows: int = RAW_ROWS, slice_unit: str = "hour", limit_by_id: bool = False) -> DataFrame:
     """The accepted claims and ends of each execution as ``(execution_id, step, ts, kind, error_message)``.
 
     ``step`` counts from 0. The states before each hour, then before each chunk, are worked out from the
     items alone; every chunk is then replayed on its own.
     """
     key = ["execution_id", "max_retry", "hour"]
-    chunks = _chunks(transitions, max_retry, chunk_rows, slice_unit)
+    chunks = _chunks(with_limit(transitions, max_retry, limit_by_id), chunk_rows, slice_unit)
     hours = _items(chunks, raw_rows)
     before_hour = _by_execution(hours).select(
         "execution_id", "max_retry", F.explode(F.arrays_zip(
@@ -196,12 +220,12 @@ def accepted_steps(transitions: DataFrame, max_retry: Column | None = None, chun
 
 
 def attempts(transitions: DataFrame, max_retry: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-             raw_rows: int = RAW_ROWS, slice_unit: str = "hour") -> DataFrame:
+             raw_rows: int = RAW_ROWS, slice_unit: str = "hour", limit_by_id: bool = False) -> DataFrame:
     """Every attempt of each execution: number, start, end, outcome (NULL while running) and error.
 
     Accepted claims and ends alternate, so an attempt is a pair of steps: a group of at most two rows.
     """
-    steps = accepted_steps(transitions, max_retry, chunk_rows, raw_rows, slice_unit)
+    steps = accepted_steps(transitions, max_retry, chunk_rows, raw_rows, slice_unit, limit_by_id)
     is_claim = F.col("kind") == "claim"
     return steps.groupBy("execution_id", F.floor(F.col("step") / 2).alias("_pair")).agg(
         F.max(F.when(is_claim, F.col("ts"))).alias("claimed_at"),

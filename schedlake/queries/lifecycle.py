@@ -40,6 +40,13 @@ STATE_SQL = with_ctes("transitions", WALK + """SELECT execution_id, status, retr
     QUALIFY row_number() OVER (PARTITION BY execution_id ORDER BY rn DESC) = 1""", recursive=True)
 
 
+#: The same for a log where every 97th row deletes its execution.
+EDITED = "edited AS (SELECT * REPLACE (CASE WHEN seq % 97 = 0 THEN 'delete' ELSE kind END AS kind) FROM transitions),"
+STATE_WITH_DELETES_SQL = STATE_SQL.replace("ordered AS (", EDITED + "\nordered AS (", 1).replace(
+    "AS rn FROM transitions)", "AS rn FROM edited)").replace(
+    "AS nresult, CASE", "AS nresult, CASE WHEN w.status <> 'DELETED' AND o.kind = 'delete' THEN 'DELETED'") + " AND status <> 'DELETED'"
+
+
 def max_retry():
     """The limit of an execution, as its first row says; later rows say something else."""
     return F.when(F.col("seq") == F.col("first_seq"), F.col("execution_id") % 5).otherwise(9)
@@ -57,7 +64,7 @@ def fixed_limit():
 
 @query(STATE_SQL)
 def current_state(spark, sf):
-    return lc.current_state(fx.transitions(spark, sf), fixed_limit())
+    return lc.current_state(fx.transitions(spark, sf), fixed_limit(), limit_by_id=True)
 
 
 ATTEMPTS_SQL = with_ctes("transitions", WALK + """, pairs AS (SELECT *, (steps - 1) // 2 AS pair FROM walk
@@ -70,7 +77,7 @@ FROM pairs GROUP BY execution_id, pair""", recursive=True)
 
 @query(ATTEMPTS_SQL)
 def attempts(spark, sf):
-    return lc.attempts(fx.transitions(spark, sf), fixed_limit())
+    return lc.attempts(fx.transitions(spark, sf), fixed_limit(), limit_by_id=True)
 
 
 @query(STATE_SQL)

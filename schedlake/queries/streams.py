@@ -7,13 +7,14 @@ from schedlake import fixtures as fx
 from schedlake.fixtures import with_ctes
 from schedlake.operators.changes import claim, complete
 from schedlake.plans.event_dispatch import MESSAGE_KEY, event_id
-from schedlake.queries.lifecycle import STATE_SQL, fixed_limit
+from schedlake.queries.lifecycle import STATE_SQL, STATE_WITH_DELETES_SQL, fixed_limit
 from schedlake.queries.payloads import BAD_SQL, CREATED, CREATED_SQL
 from schedlake.queries.registry import query
 from schedlake.queries.reports import COUNTS
 from schedlake.schemas import DEFAULT_TOPIC, EXECUTION_SCHEMA
 from schedlake.session import run_folder
 from schedlake.sources.tables import append_executions, read_executions
+from schedlake.streaming import folding
 from schedlake.streaming import ingest as si
 from schedlake.streaming.state import PROVIDER, deadline_stream, state_stream
 from schedlake.streaming.stats import windowed_stats
@@ -136,6 +137,37 @@ def state_from_stream(spark, sf):
         "execution_id", "s.*")
 
 
+PARTS = 4
+
+
+def stream_of_parts(spark, df, part, parts: int):
+    """A table as a stream with a micro-batch for each number in ``part``, in that order."""
+    folder = run_folder(spark, "parts")
+    numbered = df.withColumn("_part", part).persist()
+    for i in range(parts):
+        numbered.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    numbered.unpersist()
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def folded(spark, transitions, **options) -> str:
+    """Folds transitions in micro-batches of eight days that overlap by up to six minutes."""
+    moved = F.timestamp_add("MINUTE", F.col("seq") % 7, F.col("ts"))
+    part = F.least(F.floor((F.dayofyear(moved) - 1) / 8), F.lit(PARTS - 1))
+    stream = stream_of_parts(spark, transitions, part, PARTS)
+    folder = run_folder(spark, "folded")
+    folding.fold_stream(stream, folder, f"{folder}-checkpoint", fixed_limit(), **options).awaitTermination()
+    return folder
+
+
+@query(STATE_WITH_DELETES_SQL)
+def folded_state_from_stream(spark, sf):
+    """A log out of order, with deletes, in micro-batches that are folded before they meet the stored states."""
+    kind = F.when(F.col("seq") % 97 == 0, "delete").otherwise(F.col("kind"))
+    folder = folded(spark, fx.transitions(spark, sf).withColumn("kind", kind), keep_for="400 days")
+    return folding.folded_state(spark, folder)
+
+
 # Open claims walked in order; a claim is missed once a later row, or the watermark, passes its deadline.
 DEADLINES = """WITH ordered AS (SELECT execution_id, kind, ts,
     row_number() OVER (PARTITION BY execution_id ORDER BY ts, seq) AS rn FROM transitions),
