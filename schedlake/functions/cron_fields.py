@@ -169,14 +169,3 @@ def matches_day(day: str) -> str:
         array_contains(nth_dows, (dayofweek({day}) - 1) * 10 + (day({day}) + 6) div 7)
         OR (array_contains(nth_dows, (dayofweek({day}) - 1) * 10) AND date_add({day}, 7) > last_day({day})))))"""
     return f"""(array_contains(months, month({day})) AND IF(dom_star OR dow_star, {dom} AND {dow}, {dom} OR {dow}))"""
-
-
-def matches_instant(tick: str) -> str:
-    """SQL test whether a whole-second instant fits every parsed field of its row."""
-    return f"""(array_contains(seconds, cast(second({tick}) AS INT)) AND array_contains(minutes, minute({tick}))
-        AND array_contains(hours, hour({tick})) AND {matches_day(f'cast({tick} AS DATE)')})"""
-
-
-# False only for month/day pairs that no calendar has, such as 31 February.
-CAN_FIRE = """(NOT (dom_star OR dow_star) OR exists(months, m -> exists(doms, d ->
-    d <= element_at(array(31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), m))))"""

@@ -7,17 +7,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from schedlake.functions.cron_fields import CAN_FIRE, matches_day, matches_instant, per_expression
+from schedlake.functions.calendar import LAST_INSTANT, PLAN_COLUMNS, calendar_plan, fires_until, literal, nth_fire
+from schedlake.functions.cron_fields import matches_day, per_expression
 from schedlake.schemas import DEFAULT_POLL_INTERVAL_SECONDS, ntz
 
-# Day search widens only for rows that need it: a month, then past the longest leap-day gap (29 February 2096 to
-# 29 February 2104), then a cycle of the calendar, which repeats every 400 years: what does not fire within it never
-# does. Only rows that fire in a cycle, but not often enough, search on to the ends of the calendar.
-NEAR_DAYS = 32
-FAR_DAYS = 366 * 9
-CYCLE_DAYS = 146_097
-FIRST_DAY, LAST_DAY = "date '0001-01-01'", "date '9999-12-31'"
-SHORT_WINDOW_SECONDS = 3600
+#: Ranks that one array holds when a range of them is opened; longer ranges are opened in two steps.
+RANKS = 256
 
 
 def _instant(value) -> datetime:
@@ -62,75 +57,70 @@ def cron_occurrences(defs: DataFrame, start, end, minutes: DataFrame | None = No
     return hours.selectExpr("id", "_hour", "explode(_offsets) AS _o").selectExpr("id", "_hour + _o AS tick")
 
 
-def _search(parsed: DataFrame, as_of, n: int, forward: bool, extra: list[str] | None = None) -> DataFrame:
-    """Parsed expressions with ``cron_error``, ``fires`` and further SQL columns, all worked out inside the row.
+def _ranks(instants: dict[str, datetime], defs: DataFrame) -> DataFrame:
+    """Definitions with the columns of ``calendar_plan`` and the number of fires until each instant, counted once per
+    distinct expression. Rows that cannot be read, or never fire, have zeros."""
+    def count(parsed: DataFrame) -> DataFrame:
+        plan = calendar_plan(parsed)
+        alive = "cron_error IS NULL AND cycle_days > 0"
+        counts = [f"CASE WHEN {alive} THEN {fires_until(literal(t))} ELSE 0L END AS {name}" for name, t in instants.items()]
+        return plan.selectExpr("cron_expression", "cron_error", *PLAN_COLUMNS, *counts)
 
-    At each level (day, hour, minute) only the n + 1 nearest candidates are opened; the first may hold
-    no tick, each further one holds at least one.
+    return per_expression(defs, count)
+
+
+def _just_before(instant: datetime) -> datetime:
+    return instant - timedelta(microseconds=1)
+
+
+def _opened(ranked: DataFrame, first: str, last: str, keep: list[str]) -> DataFrame:
+    """``keep``, ``rank`` and ``tick`` for the fires of the ranks ``first`` to ``last``, two SQL columns.
+
+    A range is opened in stretches of ``RANKS`` that are spread over the cluster, so no array grows with it.
     """
-    now = _instant(as_of)
-    at = f"timestamp_ntz '{now}'"
-    today = f"date '{now.date()}'"
-    sign = 1 if forward else -1
-
-    end = LAST_DAY if forward else FIRST_DAY
-
-    def search(days: int | None) -> str:
-        to = end if days is None else f"{'least' if forward else 'greatest'}({end}, date_add({today}, {sign * days}))"
-        return f"slice({_days(today, to, sign)}, 1, {n + 1})"
-
-    def nearest(values: str) -> str:
-        return f"slice({values if forward else f'reverse({values})'}, 1, {n + 1})"
-
-    def reaches(unit: str, begin: str) -> str:
-        return f"timestampadd({unit}, 1, {begin}) > {at}" if forward else f"{begin} < {at}"
-
-    side = ">" if forward else "<"
-    hours = nearest(f"filter(transform(hours, h -> timestampadd(HOUR, h, cast(d AS timestamp_ntz))), "
-                    f"b -> {reaches('HOUR', 'b')})")
-    minutes = nearest(f"filter(transform(minutes, m -> timestampadd(MINUTE, m, hh)), b -> {reaches('MINUTE', 'b')})")
-    seconds = nearest(f"filter(transform(seconds, s -> timestampadd(SECOND, s, mm)), t -> t {side} {at})")
-    ticks = f"""slice(flatten(transform(_days, d -> flatten(transform({hours}, hh ->
-        flatten(transform({minutes}, mm -> {seconds})))))), 1, {n})"""
-
-    ok = f"cron_error IS NULL AND {CAN_FIRE}"
-    kept = parsed.columns
-    out = parsed.select(*kept, F.expr(f"CASE WHEN {ok} THEN {search(NEAR_DAYS)} END").alias("_near"))
-    # The wider searches cost 146,097 day tests and more, so they run only where the others fell short.
-    out = out.select(*kept, F.expr(f"IF(size(_near) > {n}, _near, CASE WHEN {ok} THEN {search(FAR_DAYS)} END)")
-                     .alias("_far"))
-    out = out.select(*kept, F.expr(f"IF(size(_far) > {n}, _far, CASE WHEN {ok} THEN {search(CYCLE_DAYS)} END)")
-                     .alias("_cycle"))
-    out = out.select(*kept, F.expr(f"IF(size(_cycle) > {n} OR size(_cycle) = 0, _cycle, "
-                                   f"CASE WHEN {ok} THEN {search(None)} END)").alias("_days"))
-    return out.selectExpr("cron_expression", "cron_error",
-                          f"coalesce({ticks}, cast(array() AS array<timestamp_ntz>)) AS fires", *(extra or []))
-
-
-def _window_ticks(now: datetime, seconds: int) -> str:
-    """SQL array of the ticks in the window before an instant, tested second by second."""
-    begin = now - timedelta(seconds=seconds)
-    first = begin if begin.microsecond == 0 else begin.replace(microsecond=0) + timedelta(seconds=1)
-    last = now.replace(microsecond=0) if now.microsecond else now - timedelta(seconds=1)
-    window = f"sequence(timestamp_ntz '{first}', timestamp_ntz '{last}', interval 1 second)"
-    return f"CASE WHEN cron_error IS NULL THEN filter({window}, t -> {matches_instant('t')}) END"
+    some = ranked.filter(f"{last} >= {first}")
+    names = dict.fromkeys([*keep, *PLAN_COLUMNS])
+    each = some.selectExpr(*names, f"{first} AS _first", f"{last} AS _last").selectExpr(
+        *names, "_first", "_last", f"explode(sequence(0L, (_last - _first) div {RANKS * RANKS})) AS _far").selectExpr(
+        *names, "_last", f"""explode(sequence(_first + _far * {RANKS * RANKS},
+            least(_last, _first + (_far + 1) * {RANKS * RANKS} - 1), {RANKS}L)) AS _begin""")
+    return each.selectExpr(*names, f"explode(sequence(_begin, least(_last, _begin + {RANKS - 1}))) AS rank").selectExpr(
+        *keep, "rank", f"{nth_fire('rank')} AS tick")
 
 
 def with_fires(defs: DataFrame, as_of, n: int = 2, forward: bool = True, window_seconds: int | None = None) -> DataFrame:
     """Definitions with ``cron_error`` and an array ``fires``: up to n ticks strictly after ``as_of``
-    (strictly before it with ``forward=False``), nearest first.
+    (strictly before it with ``forward=False``), nearest first; n is small, ``next_fires`` takes any.
 
-    With ``window_seconds`` also an array ``ticks`` of those in the window before ``as_of``.
+    With ``window_seconds`` also ``latest``, the last tick in the window before ``as_of``, and ``window_first`` and
+    ``window_last``, the ranks of all of them.
     """
-    extra = [] if window_seconds is None else [f"{_window_ticks(_instant(as_of), window_seconds)} AS ticks"]
-    return per_expression(defs, lambda parsed: _search(parsed, as_of, n, forward, extra))
+    now = _instant(as_of)
+    instants = {"_last": LAST_INSTANT, "_now": now if forward else _just_before(now), "window_last": _just_before(now)}
+    if window_seconds is not None:
+        instants["_window"] = _just_before(now - timedelta(seconds=window_seconds))
+
+    def fires(parsed: DataFrame) -> DataFrame:
+        plan = calendar_plan(parsed)
+        alive = "cron_error IS NULL AND cycle_days > 0"
+        out = plan.selectExpr("*", *[
+            f"CASE WHEN {alive} THEN {fires_until(literal(t))} ELSE 0L END AS {name}" for name, t in instants.items()])
+        ranks = (f"filter(sequence(_now + 1, _now + {n}), r -> r <= _last)" if forward
+                 else f"filter(sequence(_now, _now - {n - 1}), r -> r >= 1)")
+        columns = [f"transform({ranks}, r -> {nth_fire('r')}) AS fires"]
+        if window_seconds is not None:
+            columns += ["_window + 1 AS window_first", "window_last",
+                        f"CASE WHEN window_last > _window THEN {nth_fire('window_last')} END AS latest", *PLAN_COLUMNS]
+        return out.selectExpr("cron_expression", "cron_error", *columns)
+
+    return per_expression(defs, fires)
 
 
 def next_fires(defs: DataFrame, as_of, n: int = 2) -> DataFrame:
     """The n ticks strictly after ``as_of`` as ``(id, n, tick)``; fewer only where the year 9999 ends the calendar."""
-    fires = with_fires(defs.select("id", "cron_expression"), as_of, n)
-    return fires.select("id", F.posexplode("fires").alias("_i", "tick")).select(
-        "id", (F.col("_i") + 1).alias("n"), "tick")
+    ranked = _ranks({"_now": _instant(as_of), "_end": LAST_INSTANT}, defs.select("id", "cron_expression"))
+    ticks = _opened(ranked, "_now + 1", f"least(_end, _now + {n})", ["id", "_now"])
+    return ticks.selectExpr("id", "cast(rank - _now AS INT) AS n", "tick")
 
 
 def prev_fire(defs: DataFrame, as_of) -> DataFrame:
@@ -139,25 +129,29 @@ def prev_fire(defs: DataFrame, as_of) -> DataFrame:
         "id", F.explode("fires").alias("tick"))
 
 
+def fire_counts(defs: DataFrame, start, end) -> DataFrame:
+    """Definitions with the number of their ticks in ``[start, end)`` as ``fires`` and the first of them as
+    ``first_tick``, counted without opening any."""
+    instants = {"_before": _just_before(_instant(start)), "_last": _just_before(_instant(end))}
+    ranked = _ranks(instants, defs)
+    return ranked.selectExpr(*[f"`{c}`" for c in defs.columns], "_last - _before AS fires",
+                             f"CASE WHEN _last > _before THEN {nth_fire('_before + 1')} END AS first_tick")
+
+
 def due(defs: DataFrame, as_of, poll_interval: int = DEFAULT_POLL_INTERVAL_SECONDS,
         catch_up: bool = False) -> DataFrame:
     """Definitions due at ``as_of`` with their ``scheduled_time``.
 
-    The latest tick within the poll interval, or with ``catch_up`` every tick in it. Windows up to an
-    hour are tested second by second, once per distinct expression; longer ones expand occurrences.
+    The latest tick within the poll interval, or with ``catch_up`` every tick in it.
     """
-    now = _instant(as_of)
-    if poll_interval <= SHORT_WINDOW_SECONDS:
-        ticks = _window_ticks(now, poll_interval)
-        found = per_expression(defs, lambda parsed: parsed.selectExpr("cron_expression", f"{ticks} AS _ticks"))
-        if catch_up:
-            return found.select(*defs.columns, F.explode("_ticks").alias("scheduled_time"))
-        return found.filter("size(_ticks) > 0").select(
-            *defs.columns, F.element_at("_ticks", -1).alias("scheduled_time"))
-    ticks = cron_occurrences(defs, now - timedelta(seconds=poll_interval), now)
-    if not catch_up:
-        ticks = ticks.groupBy("id").agg(F.max("tick").alias("tick"))
-    return defs.join(ticks.withColumnRenamed("tick", "scheduled_time"), "id")
+    return due_of(with_fires(defs, as_of, 1, window_seconds=poll_interval), defs.columns, catch_up)
+
+
+def due_of(searched: DataFrame, columns: list[str], catch_up: bool = False) -> DataFrame:
+    """``due`` for definitions that ``with_fires`` has searched with a window."""
+    if catch_up:
+        return _opened(searched, "window_first", "window_last", columns).drop("rank").withColumnRenamed("tick", "scheduled_time")
+    return searched.filter("latest IS NOT NULL").select(*columns, F.col("latest").alias("scheduled_time"))
 
 
 def fire_gaps(occurrences: DataFrame) -> DataFrame:
@@ -179,11 +173,12 @@ def previous_fire(occurrences: DataFrame, as_of) -> DataFrame:
 
 
 def upcoming(defs: DataFrame, as_of, horizon_seconds: int, keys: list[str]) -> DataFrame:
-    """Forecast per group: enabled definitions' earliest next fire and number of fires in the horizon."""
+    """Forecast per group: enabled definitions' earliest next fire and number of fires in the horizon.
+
+    Fires are counted, not opened, so the horizon may be any.
+    """
     start = _instant(as_of) + timedelta(microseconds=1)
-    enabled = defs.filter("is_enabled")
-    ticks = cron_occurrences(enabled, start, start + timedelta(seconds=horizon_seconds))
-    per_job = ticks.groupBy("id").agg(F.min("tick").alias("first_tick"), F.count("*").alias("fires"))
-    return enabled.select("id", *keys).join(per_job, "id").groupBy(*keys).agg(
+    counted = fire_counts(defs.filter("is_enabled"), start, start + timedelta(seconds=horizon_seconds))
+    return counted.filter("fires > 0").groupBy(*keys).agg(
         F.min("first_tick").alias("next_tick"), F.sum("fires").alias("fire_count"),
         F.count("*").alias("job_count"))

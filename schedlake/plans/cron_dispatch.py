@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.operators.dispatch import insert_if_absent, overlap_guard
-from schedlake.operators.occurrences import SHORT_WINDOW_SECONDS, due, with_fires
+from schedlake.operators.occurrences import due_of, with_fires
 from schedlake.operators.validate import cron_verdict
 from schedlake.operators.views import incomplete
 from schedlake.schemas import (
@@ -40,18 +40,10 @@ def dispatch(defs: DataFrame, execs: DataFrame, as_of, poll_interval: int = DEFA
     """
     now = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
     active = defs.filter("is_enabled")
-    short = poll_interval <= SHORT_WINDOW_SECONDS
-    # The check and, for a short window, the due ticks come from one search per distinct expression.
-    checked = with_fires(active, as_of, 2, window_seconds=poll_interval if short else None).selectExpr(
-        *defs.columns, *cron_verdict(min_interval), *(["ticks"] if short else []))
-    valid = checked.filter("reason IS NULL")
-    if not short:
-        ready = due(valid.select(*defs.columns), as_of, poll_interval, catch_up)
-    elif catch_up:
-        ready = valid.select(*defs.columns, F.explode("ticks").alias("scheduled_time"))
-    else:
-        ready = valid.filter("size(ticks) > 0").select(
-            *defs.columns, F.element_at("ticks", -1).alias("scheduled_time"))
+    # The check and the due ticks come from one search per distinct expression.
+    searched = with_fires(active, as_of, 2, window_seconds=poll_interval)
+    checked = searched.selectExpr("*", *cron_verdict(min_interval))
+    ready = due_of(checked.filter("reason IS NULL"), defs.columns, catch_up)
     runnable = overlap_guard(ready, incomplete(execs))
     window = execs.filter((F.col("scheduled_time") >= ntz(now - timedelta(seconds=poll_interval)))
                           & (F.col("scheduled_time") < ntz(now)))

@@ -67,6 +67,34 @@ def next_fires_many(spark, sf):
     return o.next_fires(defs, fx.AS_OF, MANY)
 
 
+#: Fires that lie close together, far more of them than a day holds.
+DENSE = 10_000
+
+
+@query(with_ctes("definitions", f"""WITH minutes AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-15 09:01:00', TIMESTAMP '2024-09-01', INTERVAL 1 MINUTE)) AS t),
+fires AS (SELECT 0 AS p, t FROM minutes WHERE minute(t) % 15 = 0 UNION ALL SELECT 1, t FROM minutes),
+numbered AS (SELECT p, t AS tick, CAST(row_number() OVER (PARTITION BY p ORDER BY t) AS INT) AS n FROM fires)
+SELECT id, n, tick FROM definitions JOIN numbered ON p = CASE (id - 1) % 12 WHEN 0 THEN 0 WHEN 9 THEN 1 END
+WHERE n <= {DENSE} AND id % 10 < 5"""))
+def next_fires_dense(spark, sf):
+    """Ten thousand fires each of the definitions that fire every minute or quarter of an hour."""
+    often = "(id - 1) % 12 IN (0, 9) AND id % 10 < 5"
+    return o.next_fires(fx.definitions(spark, sf).filter(often), fx.AS_OF, DENSE)
+
+
+YEAR_END = "2025-01-15 09:00:30"
+
+
+@query(with_ctes("definitions", f"""WITH minutes AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-15 09:01:00',
+    TIMESTAMP '{YEAR_END}', INTERVAL 1 MINUTE)) AS t),
+{fx.CTE["kind_ticks"].replace("SELECT k, t", "year_ticks AS (SELECT k, count(*) AS n, min(t) AS t", 1)} GROUP BY k)
+SELECT handler_name, min(t) AS next_tick, CAST(sum(n) AS BIGINT) AS fire_count, count(*) AS job_count
+FROM definitions JOIN year_ticks ON k = (id - 1) % 12 WHERE is_enabled GROUP BY handler_name"""))
+def upcoming_by_year(spark, sf):
+    """The forecast for a year, counted without opening its fires."""
+    return o.upcoming(fx.definitions(spark, sf), fx.AS_OF, 366 * 86400, ["handler_name"])
+
+
 @query(with_ctes("ticks", f"""SELECT id, max(tick) AS scheduled_time FROM ticks WHERE tick < TIMESTAMP '{fx.AS_OF}'
     AND tick >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 60 SECOND GROUP BY id"""))
 def due_definitions(spark, sf):

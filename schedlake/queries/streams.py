@@ -16,6 +16,7 @@ from schedlake.session import run_folder
 from schedlake.sources.tables import append_executions, read_executions
 from schedlake.streaming import folding
 from schedlake.streaming import ingest as si
+from schedlake.streaming.deadlines import deadlines_by_definition as by_definition
 from schedlake.streaming.state import PROVIDER, deadline_stream, state_stream
 from schedlake.streaming.stats import windowed_stats
 
@@ -197,6 +198,25 @@ def deadlines_from_stream(spark, sf):
         {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "deadline")})
 
 
+LONGEST = 600
+
+
+@query(with_ctes("executions definitions", f"""WITH started AS (SELECT e.id, e.started_at, e.finished_at,
+    e.started_at + INTERVAL 1 SECOND * least(coalesce(d.timeout_seconds, 3600), {LONGEST}) AS deadline
+    FROM executions e LEFT JOIN definitions d ON d.id = e.job_id WHERE e.started_at IS NOT NULL),
+mark AS (SELECT least(max(started_at), max(finished_at)) - INTERVAL 10 MINUTE AS top FROM started)
+SELECT id AS execution_id, started_at, deadline, 'timeout' AS kind, 'Execution timed out' AS error_message
+FROM started, mark WHERE started_at + INTERVAL {LONGEST} SECOND < top
+    AND NOT coalesce(finished_at BETWEEN started_at AND deadline, false)"""))
+def deadlines_by_definition(spark, sf):
+    """Runs and ends as two streams over the history, joined in event time; no limit here is longer than ten minutes."""
+    parts = F.least(F.floor((F.dayofyear("created_at") - 1) / 8), F.lit(PARTS - 1))
+    execs = stream_of_parts(spark, fx.executions(spark, sf), parts, PARTS)
+    stream = by_definition(execs.select("id", "job_id", "started_at"), execs.select("id", "finished_at"),
+                           fx.definitions(spark, sf), longest=LONGEST)
+    return run_to_end(spark, stream, "by-definition").drop("batch")
+
+
 def _created_stream(events):
     status = F.expr("""CASE event_type WHEN 'view' THEN 'SUCCESS' WHEN 'purchase' THEN 'RUNNING' WHEN 'click'
         THEN 'PENDING' WHEN 'error' THEN 'FAILED' ELSE 'TIMEOUT' END""")

@@ -127,3 +127,24 @@ def test_trigger_file_stream_schema(spark, small):
     fx.triggers(spark, small).write.parquet(folder)
     assert read_trigger_files(spark, folder, 1).schema.fieldNames() == TRIGGER_SCHEMA.fieldNames()
     assert kafka_options("b:9092", "t", max_offsets=10)["maxOffsetsPerTrigger"] == "10"
+
+
+def test_deadlines_follow_definitions(spark):
+    from schedlake.queries.streams import run_to_end, stream_of_parts
+    from schedlake.streaming.deadlines import deadlines_by_definition
+
+    t = datetime(2024, 5, 1)
+    at = lambda minutes: t + timedelta(minutes=minutes)
+    defs = spark.createDataFrame([(1, 120), (2, None), (3, 86400)], "id long, timeout_seconds int")
+    started = [(10, 1, at(0), 0), (11, 1, at(1), 0), (12, 2, at(2), 0), (13, 9, at(2), 0), (14, None, at(3), 0), (15, 3, at(3), 0),
+               (16, 1, at(4), 1), (16, 1, at(20), 1), (17, 1, None, 1), (18, 1, at(30), 1), (19, 1, at(700), 2), (20, 1, at(800), 2)]
+    ended = [(10, at(2), 0), (11, at(3.1), 0), (12, at(61), 1), (13, at(63), 1), (14, at(63.5), 1), (15, at(62.9), 1), (16, at(21), 1),
+             (18, at(29), 1), (99, at(40), 1), (19, None, 2), (98, at(800), 2)]
+    runs = spark.createDataFrame(started, "id long, job_id long, started_at timestamp_ntz, part int")
+    ends = spark.createDataFrame(ended, "id long, finished_at timestamp_ntz, part int")
+    stream = deadlines_by_definition(stream_of_parts(spark, runs, F.col("part"), 3), stream_of_parts(spark, ends, F.col("part"), 3),
+                                     defs, longest=3600)
+    got = {(r.execution_id, r.started_at, r.deadline) for r in run_to_end(spark, stream, "deadlines").collect()}
+    # 12 ends within the default hour; 13 and 14 end after it; 15's limit counts for an hour; 18 ends before it starts
+    assert got == {(11, at(1), at(3)), (13, at(2), at(62)), (14, at(3), at(63)), (16, at(4), at(6)), (18, at(30), at(32)),
+                   (19, at(700), at(702))}
