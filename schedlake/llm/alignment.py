@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from schedlake.llm.shared import small_batches, written
+from schedlake.llm.shared import ARROW_ROWS, setting, small_batches, written
 from schedlake.llm.tokens import LETTER, MARK, SPACE, ChunkMemory, Encoder, gathered, text_bytes, vocabulary_file
 
 PIECE_SPACE = "▁"
@@ -21,8 +21,8 @@ PIECE_SPACE = "▁"
 REMEMBERED, PAIRS_HELD = 120_000, 1_000_000
 #: Bytes of text that are aligned at once; each distinct window in them is aligned once.
 BATCH_BYTES = 2 << 20
-#: Links that are counted or looked up at once.
-LINKS_AT_ONCE = 1 << 20
+#: Links that are counted or looked up at once, and rows of links that Spark hands to Python at once.
+LINKS_AT_ONCE, ROWS_AT_ONCE = 1 << 20, "500"
 #: Distinct id pairs whose counts are sent to all tasks, at 16 bytes each; more are joined.
 BROADCAST_PAIRS = 2_000_000
 #: An id pair is one number: the first id times this, plus the second.
@@ -250,7 +250,8 @@ def link_counts(aligned: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
     held = aligned.select("links").mapInArrow(count, "pair long, n long")
-    counts = written(held.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    with setting(aligned.sparkSession, ARROW_ROWS, ROWS_AT_ONCE):
+        counts = written(held.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     most = counts.groupBy(F.pmod("pair", F.lit(SECOND)).alias("second")).agg(F.max("n").alias("most"))
     joined = counts.withColumn("second", F.pmod("pair", F.lit(SECOND))).join(most, "second")
     return written(joined.select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pair-counts")
@@ -281,7 +282,8 @@ def with_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in aligned.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", n_links long, n_best long, count_sum long"
-    return aligned.select(*others, "links").mapInArrow(look_up, schema)
+    with setting(aligned.sparkSession, ARROW_ROWS, ROWS_AT_ONCE):
+        return written(aligned.select(*others, "links").mapInArrow(look_up, schema), "alignment-counts")
 
 
 def _joined(aligned: DataFrame, counts: DataFrame, others: list[str]) -> DataFrame:

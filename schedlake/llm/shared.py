@@ -24,6 +24,24 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows that Spark hands to Python at once.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session's setting for as long as something is run."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """Drops the tables that ``written`` made inside it, once nothing reads them any more.
 
@@ -74,12 +92,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = run_folder(spark, name)
     if Scratch.open:
         Scratch.open[-1].folders.append(folder)
-    before = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    with setting(spark, DROP_SHUFFLES, "true"):
         df.write.parquet(folder)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
