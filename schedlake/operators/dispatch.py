@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.operators.joins import spread_join
-from schedlake.operators.occurrences import cron_occurrences
+from schedlake.operators.occurrences import cron_occurrences, day_digests, time_hash
 from schedlake.operators.views import incomplete
 from schedlake.schemas import DEFAULT_POLL_INTERVAL_SECONDS
 
@@ -107,6 +107,31 @@ def reconcile(occurrences: DataFrame, execs: DataFrame) -> DataFrame:
                        F.coalesce("executions", F.lit(0)).alias("executions"), outcome.alias("outcome"))
 
 
+def differing_days(defs: DataFrame, made: DataFrame, start, end) -> DataFrame:
+    """``id, day`` where the executions of a definition may differ from its ticks in ``[start, end)``.
+
+    Both sides are compared by count and combined hash per (job, day). Days that the range cuts always count as different.
+    """
+    micros = "(unix_micros(cast(scheduled_time AS TIMESTAMP)) - unix_micros(cast(to_date(scheduled_time) AS TIMESTAMP)))"
+    found = made.groupBy(F.col("job_id").alias("id"), F.to_date("scheduled_time").alias("day")).agg(
+        F.count("*").alias("found"), F.expr(f"bit_xor({time_hash(micros)})").alias("found_digest"))
+    both = day_digests(defs, start, end).join(found, ["id", "day"], "full_outer")
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+    cut = (F.col("day").cast("timestamp_ntz") < first) | (F.date_add("day", 1).cast("timestamp_ntz") > last)
+    same = F.col("n").eqNullSafe(F.col("found")) & F.col("digest").eqNullSafe(F.col("found_digest"))
+    return both.filter(~same | cut).select("id", "day")
+
+
+def reconcile_differences(defs: DataFrame, execs: DataFrame, start, end) -> DataFrame:
+    """What ``reconcile_definitions`` gives, without the matched rows: only days that differ are opened."""
+    enabled = defs.filter("is_enabled")
+    jobs = execs.filter("job_id IS NOT NULL")
+    days = differing_days(enabled, jobs.select(*KEY).distinct(), start, end)
+    rows = jobs.withColumn("_day", F.to_date("scheduled_time")).join(
+        days.select(F.col("id").alias("job_id"), F.col("day").alias("_day")), ["job_id", "_day"], "left_semi")
+    return reconcile(cron_occurrences(enabled, start, end, days=days), rows).filter("outcome <> 'matched'")
+
+
 def union_sources(cron_rows: DataFrame, event_rows: DataFrame) -> DataFrame:
     """Both dispatchers feed one table; ``param_source`` tells the origin."""
     return cron_rows.withColumn("param_source", F.lit("cron")).unionByName(

@@ -24,13 +24,14 @@ def _days(first: str, last: str, step: int = 1) -> str:
     return f"filter(sequence({first}, {last}, interval {step} day), d -> {matches_day('d')})"
 
 
-def cron_occurrences(defs: DataFrame, start, end, minutes: DataFrame | None = None) -> DataFrame:
+def cron_occurrences(defs: DataFrame, start, end, minutes: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
     """Every tick in ``[start, end)`` as ``(id, tick)``.
 
     Days are filtered, once per distinct expression, before any time of day is produced. The (id, day)
     rows are spread over the cluster before the wide explodes, so a dense expression or one that many
     definitions share does not sit in one task. With ``minutes``, a column ``minute`` of distinct minutes, only
-    ticks within these are produced; the others are left out before they are opened.
+    ticks within these are produced; the others are left out before they are opened. With ``days``, rows ``id, day``,
+    only those of these days.
     """
     start, end = _instant(start), _instant(end)
     last_day = max(start, end - timedelta(microseconds=1)).date()
@@ -40,7 +41,10 @@ def cron_occurrences(defs: DataFrame, start, end, minutes: DataFrame | None = No
         f"{_days(f"date '{start.date()}'", f"date '{last_day}'")} AS _days",
         "transform(hours, h -> make_dt_interval(0, h, 0, 0)) AS _hours",
         "flatten(transform(minutes, m -> transform(seconds, s -> make_dt_interval(0, 0, m, s)))) AS _offsets"))
-    per_day = planned.select("id", "_hours", "_offsets", F.explode("_days").alias("_day")).repartition("id", "_day")
+    per_day = planned.select("id", "_hours", "_offsets", F.explode("_days").alias("_day"))
+    if days is not None:
+        per_day = per_day.join(days.select("id", F.col("day").alias("_day")), ["id", "_day"], "left_semi")
+    per_day = per_day.repartition("id", "_day")
     hours = per_day.selectExpr("id", "_offsets", "_day", "explode(_hours) AS _h").selectExpr(
         "id", "_offsets", "cast(_day AS timestamp_ntz) + _h AS _hour")
     hours = hours.filter(f"_hour < {hi} AND _hour > {lo} - interval 1 hour")
@@ -57,6 +61,23 @@ def cron_occurrences(defs: DataFrame, start, end, minutes: DataFrame | None = No
     return hours.selectExpr("id", "_hour", "explode(_offsets) AS _o").selectExpr("id", "_hour + _o AS tick")
 
 
+def day_digests(defs: DataFrame, start, end) -> DataFrame:
+    """``id, day, n, digest``: how many ticks a definition has on each whole day that begins in ``[start, end)``, and their
+    combined hash. Both are the same on all its days, so they are worked out once per distinct expression."""
+    start, end = _instant(start), _instant(end)
+    digest = f"""aggregate(hours, 0L, (a, h) -> a ^ aggregate(minutes, 0L, (b, m) -> b ^ aggregate(seconds, 0L,
+        (c, s) -> c ^ {time_hash('(h * 3600 + m * 60 + s) * 1000000L')})))"""
+    planned = per_expression(defs.select("id", "cron_expression"), lambda parsed: parsed.selectExpr(
+        "cron_expression", f"{_days(f"date '{start.date()}'", f"date '{max(start, _just_before(end)).date()}'")} AS _days",
+        "cast(size(hours) AS BIGINT) * size(minutes) * size(seconds) AS n", f"{digest} AS digest"))
+    return planned.select("id", F.explode("_days").alias("day"), "n", "digest")
+
+
+def time_hash(micros: str) -> str:
+    """SQL hash of a time of day."""
+    return f"xxhash64(cast({micros} AS BIGINT))"
+
+
 def _ranks(instants: dict[str, datetime], defs: DataFrame) -> DataFrame:
     """Definitions with the columns of ``calendar_plan`` and the number of fires until each instant, counted once per
     distinct expression. Rows that cannot be read, or never fire, have zeros."""
