@@ -9,6 +9,7 @@ from schedlake.plans.event_dispatch import ingest
 from schedlake.queries.payloads import BAD_SQL
 from schedlake.queries.registry import query
 from schedlake.session import run_folder
+from schedlake.sources.day_index import append_indexed, cascade_days, change_indexed_days, history_page
 from schedlake.sources.snapshots import publish_snapshot, read_snapshot
 from schedlake.sources.tables import append_executions, change_days, read_definitions, read_executions, retain_days
 from schedlake.sources.triggers import quarantine
@@ -61,6 +62,46 @@ def deleted_days(spark, sf):
     return read_executions(spark, folder)
 
 
+def _indexed(spark, sf):
+    folder = run_folder(spark, "executions")
+    execs = fx.executions(spark, sf)
+    append_indexed(execs.filter("param_source = 'cron'"), folder)
+    append_indexed(execs.filter("param_source = 'event'"), folder)
+    return folder
+
+
+@query(with_ctes("executions", "SELECT * FROM executions WHERE job_id IS NULL OR job_id % 10 <> 3"))
+def cascaded_days(spark, sf):
+    """The runs of deleted definitions leave a stored history, in the days that its index names."""
+    folder = _indexed(spark, sf)
+    cascade_days(spark, folder, fx.definitions(spark, sf).filter("id % 10 = 3").select("id"))
+    return read_executions(spark, folder)
+
+
+@query(with_ctes("executions", "SELECT * FROM executions WHERE NOT (id BETWEEN 300 AND 420 OR id % 997 = 0)"))
+def changed_indexed_days(spark, sf):
+    """Deletes by id that open the days of their id ranges only."""
+    folder = _indexed(spark, sf)
+    ids = fx.executions(spark, sf).filter("id BETWEEN 300 AND 420 OR id % 997 = 0").select("id")
+    change_indexed_days(spark, folder, ids, lambda part: delete_executions(part, ids).table)
+    return read_executions(spark, folder)
+
+
+DEEP_PAGE = 9
+
+
+@query(with_ctes("executions", f"SELECT * FROM executions ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET {100 * (DEEP_PAGE - 1)}"))
+def deep_page(spark, sf):
+    """A page of a stored history far from its end."""
+    return history_page(spark, _indexed(spark, sf), DEEP_PAGE, 100)
+
+
+@query(with_ctes("executions", """SELECT * FROM executions WHERE status = 'FAILED'
+    ORDER BY created_at DESC, id DESC LIMIT 40 OFFSET 80"""))
+def deep_page_of_status(spark, sf):
+    return history_page(spark, _indexed(spark, sf), 3, 40, status="FAILED")
+
+
 @query(with_ctes("definitions", f"""SELECT * REPLACE (
     CASE WHEN max_retry = 4 THEN NOT is_enabled ELSE is_enabled END AS is_enabled,
     CASE WHEN max_retry = 4 THEN TIMESTAMP '{fx.AS_OF}' ELSE updated_at END AS updated_at) FROM definitions"""))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,10 +42,15 @@ def read_executions(spark: SparkSession, src: str, from_date=None, to_date=None)
     return rows.select(*EXECUTION_COLUMNS)
 
 
+def day_of() -> Column:
+    """The day folder of an execution."""
+    return F.to_date("created_at")
+
+
 def _laid_out(df: DataFrame) -> DataFrame:
     """Rows by day in files of even size (adaptive rebalancing splits a busy day and joins quiet ones),
     sorted by status and job inside a file so that readers skip row groups."""
-    dated = df.withColumn("created_date", F.to_date("created_at"))
+    dated = df.withColumn("created_date", day_of())
     return dated.hint("rebalance", "created_date").sortWithinPartitions("created_date", "status", "job_id")
 
 
@@ -53,11 +60,15 @@ def append_executions(df: DataFrame, dest: str) -> None:
 
 
 def drop_days(spark: SparkSession, dest: str, days: list[date]) -> None:
-    """Removes whole day folders of a history, and nothing else; days that are not there are passed over."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for day in days:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{dest}/created_date={day.isoformat()}")
-        folder.getFileSystem(conf).delete(folder, True)
+    """Removes whole day folders of a history, and nothing else; days that are not there are passed over.
+
+    The files' own addresses name the store they lie in; one folder a day comes to the driver.
+    """
+    held = read_stored(spark, dest).filter(F.col("created_date").isin(days))
+    folder = F.regexp_extract("_metadata.file_path", "^(.*/created_date=[^/]+)/[^/]+$", 1)
+    for row in held.select(folder.alias("folder")).distinct().collect():
+        store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", row.folder))
+        store.delete_dir(path)
 
 
 def _days_with(rows: DataFrame) -> list[date]:
@@ -72,7 +83,7 @@ def rewrite_days(spark: SparkSession, dest: str, days: list[date], change: Calla
         return
     part = read_stored(spark, dest).filter(F.col("created_date").isin(days)).select(*EXECUTION_COLUMNS)
     kept = change(part)
-    left = _days_with(kept.select(F.to_date("created_at").alias("created_date")))
+    left = _days_with(kept.select(day_of().alias("created_date")))
     if left:
         _laid_out(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "created_date").parquet(dest)
