@@ -8,7 +8,6 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
@@ -145,4 +144,7 @@ def encoder(path: str) -> Encoder:
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary's place; operators take others as a parameter, and then do without this package."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
