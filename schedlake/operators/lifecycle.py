@@ -16,6 +16,7 @@ from schedlake.schemas import DEFAULT_MAX_RETRY, TIMEOUT_MESSAGE
 
 CHUNK_ROWS = 4096
 RAW_ROWS = 64
+STRETCH = 64
 ENTRY_STATUSES = "array('PENDING', 'RUNNING', 'FAILED', 'TIMEOUT', 'SUCCESS')"
 LOG_TYPE = "array<struct<ts: timestamp_ntz, seq: bigint, kind: string, error_message: string, result: string>>"
 STATE_TYPE = """struct<status: string, retry_count: int, started_at: timestamp_ntz, finished_at: timestamp_ntz,
@@ -114,19 +115,24 @@ def _chunks(limited: DataFrame, chunk_rows: int, slice_unit: str) -> DataFrame:
         F.array_sort(F.collect_list("e")).alias("log"))
 
 
+def _gathered(parts: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Per key the items of its parts in the order of ``place``, and one item for them all."""
+    # Only the place may order the items: entries of a table need not be comparable.
+    rows = parts.groupBy(*keys).agg(F.expr(f"""array_sort(collect_list(struct({place}, item)),
+        (l, r) -> CASE WHEN l.{place} < r.{place} THEN -1 WHEN l.{place} > r.{place} THEN 1 ELSE 0 END)""").alias("parts"))
+    rows = rows.select(*keys, F.col(f"parts.{place}").alias("places"), F.col("parts.item").alias("items"))
+    whole = f"""IF(size(items) = 1, items[0], named_struct('n', aggregate(items.n, 0L, (x, y) -> x + y),
+        'log', {_NO_LOG}, 'table', transform({_ENTRIES}, x -> {_fold('items', 'x')})))"""
+    return rows.withColumn("item", F.expr(whole))
+
+
 def _items(chunks: DataFrame, raw_rows: int) -> DataFrame:
     """Per (execution, hour) the ordered items of its chunks and one item for the whole hour."""
     table = f"transform({_ENTRIES}, x -> aggregate(log, x, {_STEP}))"
     item = f"""IF(size(log) <= {raw_rows}, named_struct('n', cast(size(log) AS BIGINT), 'log', log, 'table', {_NO_TABLE}),
         named_struct('n', cast(size(log) AS BIGINT), 'log', {_NO_LOG}, 'table', {table}))"""
-    hours = chunks.select("execution_id", "max_retry", "hour", F.struct("chunk", F.expr(item).alias("item")).alias("c"))
-    # Only the chunk number may order the items: entries of a table need not be comparable.
-    hours = hours.groupBy("execution_id", "max_retry", "hour").agg(F.expr("""array_sort(collect_list(c),
-        (l, r) -> CASE WHEN l.chunk < r.chunk THEN -1 WHEN l.chunk > r.chunk THEN 1 ELSE 0 END)""").alias("cs"))
-    hours = hours.select("execution_id", "max_retry", "hour", F.expr("cs.item").alias("items"))
-    whole = f"""IF(size(items) = 1, items[0], named_struct('n', aggregate(items.n, 0L, (x, y) -> x + y),
-        'log', {_NO_LOG}, 'table', transform({_ENTRIES}, x -> {_fold('items', 'x')})))"""
-    return hours.withColumn("item", F.expr(whole))
+    parts = chunks.select("execution_id", "max_retry", "hour", "chunk", F.expr(item).alias("item"))
+    return _gathered(parts, ["execution_id", "max_retry", "hour"], "chunk")
 
 
 def _by_execution(hours: DataFrame) -> DataFrame:
@@ -193,29 +199,41 @@ def _seen(items: str, start: str) -> str:
         z -> z.before)"""
 
 
+def _entered(parts: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """``keys, place, entry``: the state before each part of gathered ones, from that before their first (``entry``)."""
+    return parts.select(*keys, F.explode(F.arrays_zip(F.col("places").alias("place"), F.expr(_seen("items", "entry")).alias("entry"))).alias("z")).select(
+        *keys, F.col("z.place").alias(place), "z.entry")
+
+
 def accepted_steps(transitions: DataFrame, max_retry: Column | None = None, chunk_rows: int = CHUNK_ROWS,
                    raw_rows: int = RAW_ROWS, slice_unit: str = "hour", limit_by_id: bool = False) -> DataFrame:
     """The accepted claims and ends of each execution as ``(execution_id, step, ts, kind, error_message)``.
 
-    ``step`` counts from 0. The states before each hour, then before each chunk, are worked out from the
-    items alone; every chunk is then replayed on its own.
+    ``step`` counts from 0. The states before each day, hour and chunk are worked out from the items alone, each
+    among the parts of the one above; every chunk is then replayed on its own, in stretches. So no array of states or
+    steps is longer than the parts of one level, or a stretch, and the work grows with the rows.
     """
-    key = ["execution_id", "max_retry", "hour"]
+    key = ["execution_id", "max_retry"]
     chunks = _chunks(with_limit(transitions, max_retry, limit_by_id), chunk_rows, slice_unit)
     hours = _items(chunks, raw_rows)
-    before_hour = _by_execution(hours).select(
-        "execution_id", "max_retry", F.explode(F.arrays_zip(
-            F.expr("hs.hour").alias("hour"), F.expr(_seen("hs.item", START)).alias("entry"))).alias("z")).select(
-        "execution_id", "max_retry", "z.hour", "z.entry")
-    before_chunk = hours.select(*key, "items").join(before_hour, key).select(
-        *key, F.posexplode(F.expr(_seen("items", "entry"))).alias("chunk", "entry"))
-    replay = f"""aggregate(log, named_struct('now', entry, 'steps', cast(array() AS array<struct<
+    days = _gathered(hours.withColumn("day", F.to_date("hour")).select(*key, "day", "hour", "item"), [*key, "day"], "hour")
+    whole = _gathered(days.select(*key, "day", "item"), key, "day")
+    before_day = _entered(whole.withColumn("entry", F.expr(START)), key, "day")
+    before_hour = _entered(days.join(before_day, [*key, "day"]), key, "hour")
+    before_chunk = _entered(hours.join(before_hour, [*key, "hour"]), [*key, "hour"], "chunk")
+    replay = f"""aggregate(x.part, named_struct('now', x.entry, 'steps', cast(array() AS array<struct<
         step: bigint, ts: timestamp_ntz, kind: string, error_message: string>>)), (z, e) -> IF(NOT {_legal('z.now')}, z,
             transform(array({_after('z.now')}), b -> named_struct('now', b, 'steps',
                 IF(b.steps = z.now.steps, z.steps, concat(z.steps, array(named_struct('step', z.now.steps, 'ts', e.ts,
                     'kind', e.kind, 'error_message', b.error_message))))))[0]),
         z -> z.steps)"""
-    steps = chunks.join(before_chunk, [*key, "chunk"]).select("execution_id", F.explode(F.expr(replay)).alias("s"))
+    cut = f"transform(sequence(0, (size(log) - 1) div {STRETCH}), i -> slice(log, cast(i * {STRETCH} + 1 AS INT), {STRETCH}))"
+    entries = f"""aggregate(cut, named_struct('now', entry, 'before', {_NO_TABLE}), (z, part) -> named_struct(
+        'now', aggregate(part, z.now, {_STEP}), 'before', concat(z.before, array(z.now))), z -> z.before)"""
+    parts = chunks.join(before_chunk, [*key, "hour", "chunk"]).withColumn("cut", F.expr(cut)).withColumn("entries", F.expr(entries))
+    zipped = F.arrays_zip(F.col("cut").alias("part"), F.col("entries").alias("entry"))
+    stretches = parts.select(*key, F.explode(zipped).alias("x"))
+    steps = stretches.select("execution_id", F.explode(F.expr(replay)).alias("s"))
     return steps.select("execution_id", "s.*")
 
 
