@@ -139,7 +139,11 @@ def with_fires(defs: DataFrame, as_of, n: int = 2, forward: bool = True, window_
 
 def next_fires(defs: DataFrame, as_of, n: int = 2) -> DataFrame:
     """The n ticks strictly after ``as_of`` as ``(id, n, tick)``; fewer only where the year 9999 ends the calendar."""
-    ranked = _ranks({"_now": _instant(as_of), "_end": LAST_INSTANT}, defs.select("id", "cron_expression"))
+    rows = defs.select("id", "cron_expression")
+    if n <= RANKS:  # few enough for an array, which is made once per distinct expression
+        return with_fires(rows, as_of, n).select("id", F.posexplode("fires").alias("_i", "tick")).select(
+            "id", (F.col("_i") + 1).alias("n"), "tick")
+    ranked = _ranks({"_now": _instant(as_of), "_end": LAST_INSTANT}, rows)
     ticks = _opened(ranked, "_now + 1", f"least(_end, _now + {n})", ["id", "_now"])
     return ticks.selectExpr("id", "cast(rank - _now AS INT) AS n", "tick")
 

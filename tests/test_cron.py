@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from schedlake.functions.cron_fields import parse_cron
 from schedlake.operators.occurrences import cron_occurrences, due, prev_fire, with_fires
@@ -149,3 +150,18 @@ def test_due_window(spark, interval):
     assert last == {(i, max(t for j, t in wanted if j == i)) for i, _ in wanted}
 
 
+
+
+def test_many_fires_equal_few(spark, monkeypatch):
+    """Ranks opened in stretches give what one array gives, also past the end of a stretch of stretches."""
+    from schedlake.operators import occurrences as o
+
+    defs = _defs(spark, ["*/7 * * * *", "0 0 29 2 *", "30 4 1 1 0 15", "0 0 31 2 *", "x"])
+    whole = sorted(map(tuple, o.next_fires(defs, AS_OF, 30).collect()))
+    monkeypatch.setattr(o, "RANKS", 3)
+    assert sorted(map(tuple, o.next_fires(defs, AS_OF, 30).collect())) == whole
+    counted = {r.id: r for r in o.fire_counts(defs, AS_OF, "2024-02-20 00:00:00").collect()}
+    ticks = o.cron_occurrences(defs.filter("cron_expression <> 'x'"), AS_OF, "2024-02-20 00:00:00").groupBy("id").agg(
+        F.count("*").alias("n"), F.min("tick").alias("first")).collect()
+    assert {r.id: (r.fires, r.first_tick) for r in counted.values() if r.fires} == {r.id: (r.n, r.first) for r in ticks}
+    assert counted.keys() == {r.id for r in defs.collect()}
