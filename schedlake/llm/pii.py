@@ -233,6 +233,11 @@ def find_in(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", accept:
     return found.select("doc_id", accepted(F.col("spans"), patterns, weights, accept).alias("spans"))
 
 
+def number_of(spans: Column, kind: str) -> Column:
+    """How many spans are of a kind. The lambda takes the span alone: Spark hands a second parameter the span's place."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def written_out(spans: Column) -> Column:
     """``kind:start:end``, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -1,5 +1,6 @@
 """Every operator against plain Python, over texts with all odd cases, and over empty tables."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -11,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from schedlake.llm import (decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, suffix_dedup, suffixes,
-                           superstrings, token_files, tokens, url_filter)
+from schedlake.llm import (decontamination, jaccard, licenses, ngram_lm, packing, pii, quality, queries, suffix_dedup,
+                           suffixes, superstrings, token_files, tokens, url_filter)
 from schedlake.llm.elias_fano import EliasFano
 from schedlake.llm.shared import written
 
@@ -206,6 +207,16 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_in(empty).count() == 0
 
 
+def test_personal_data_counts(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate(PERSONAL)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(PERSONAL):
+        base = brute.base_spans(t)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        want.append((i, *[sum(s[0] == k for s in base) for k in pii.KINDS], digest))
+    same([tuple(r)[:6] for r in queries.QUERIES["op6_personal_data"](spark, str(tmp_path)).collect()], want)
+
+
 def test_addresses_with_zero_parts(spark):
     texts = ["10.0.0.1", "from 0.0.0.0 to 192.168.00.1", "255.0.256.1", "000.00.0.0", "0.0.0 1.0.0.256", "0" * 4000 + ".0.0.0", "8.8.8.8"]
     got = pii.find_in(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
