@@ -78,14 +78,14 @@ def time_hash(micros: str) -> str:
     return f"xxhash64(cast({micros} AS BIGINT))"
 
 
-def _ranks(instants: dict[str, datetime], defs: DataFrame) -> DataFrame:
-    """Definitions with the columns of ``calendar_plan`` and the number of fires until each instant, counted once per
+def _ranks(instants: dict[str, datetime], defs: DataFrame, plan_columns: list[str] = PLAN_COLUMNS) -> DataFrame:
+    """Definitions with columns of ``calendar_plan`` and the number of fires until each instant, counted once per
     distinct expression. Rows that cannot be read, or never fire, have zeros."""
     def count(parsed: DataFrame) -> DataFrame:
         plan = calendar_plan(parsed)
         alive = "cron_error IS NULL AND cycle_days > 0"
         counts = [f"CASE WHEN {alive} THEN {fires_until(literal(t))} ELSE 0L END AS {name}" for name, t in instants.items()]
-        return plan.selectExpr("cron_expression", "cron_error", *PLAN_COLUMNS, *counts)
+        return plan.selectExpr("cron_expression", "cron_error", *plan_columns, *counts)
 
     return per_expression(defs, count)
 
@@ -94,19 +94,33 @@ def _just_before(instant: datetime) -> datetime:
     return instant - timedelta(microseconds=1)
 
 
+def _stretches(ranges: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ``_expression, _first, _last`` and the first rank ``_begin`` of each stretch of ``RANKS`` of a range."""
+    names = [*keep, "_expression", "_first", "_last"]
+    far = ranges.selectExpr(*names, f"explode(sequence(0L, (_last - _first) div {RANKS * RANKS})) AS _far")
+    return far.selectExpr(*names, f"""explode(sequence(_first + _far * {RANKS * RANKS},
+        least(_last, _first + (_far + 1) * {RANKS * RANKS} - 1), {RANKS}L)) AS _begin""")
+
+
 def _opened(ranked: DataFrame, first: str, last: str, keep: list[str]) -> DataFrame:
     """``keep``, ``rank`` and ``tick`` for the fires of the ranks ``first`` to ``last``, two SQL columns.
 
-    A range is opened in stretches of ``RANKS`` that are spread over the cluster, so no array grows with it.
+    A range is opened in stretches of ``RANKS``, so no array grows with it. The ticks of a stretch are worked out once per
+    distinct expression and range; the definitions take them over, and the (definition, stretch) rows, which carry no
+    calendar, are spread over a fixed number of tasks before the wide explode: a quarter of those of a shuffle.
     """
-    some = ranked.filter(f"{last} >= {first}")
-    names = dict.fromkeys([*keep, *PLAN_COLUMNS])
-    each = some.selectExpr(*names, f"{first} AS _first", f"{last} AS _last").selectExpr(
-        *names, "_first", "_last", f"explode(sequence(0L, (_last - _first) div {RANKS * RANKS})) AS _far").selectExpr(
-        *names, "_last", f"""explode(sequence(_first + _far * {RANKS * RANKS},
-            least(_last, _first + (_far + 1) * {RANKS * RANKS} - 1), {RANKS}L)) AS _begin""")
-    return each.selectExpr(*names, f"explode(sequence(_begin, least(_last, _begin + {RANKS - 1}))) AS rank").selectExpr(
-        *keep, "rank", f"{nth_fire('rank')} AS tick")
+    some = ranked.filter(f"{last} >= {first}").selectExpr(
+        *[f"`{c}`" for c in keep], "cron_expression AS _expression", f"{first} AS _first", f"{last} AS _last")
+    asked = _stretches(some.select("_expression", "_first", "_last").distinct(), [])
+    asked = asked.withColumnRenamed("_expression", "cron_expression").repartition("cron_expression", "_begin")
+    ticks = per_expression(asked, calendar_plan).selectExpr(
+        "cron_expression AS _expression", "_first", "_last", "_begin",
+        f"transform(sequence(_begin, least(_last, _begin + {RANKS - 1})), r -> {nth_fire('r')}) AS _ticks")
+    tasks = max(8, int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    held = _stretches(some, [f"`{c}`" for c in keep]).join(ticks, ["_expression", "_first", "_last", "_begin"]).select(
+        *[f"`{c}`" for c in keep], "_begin", "_ticks").repartition(tasks, f"`{keep[0]}`", "_begin")
+    return held.select(*[f"`{c}`" for c in keep], "_begin", F.posexplode("_ticks").alias("_i", "tick")).select(
+        *[f"`{c}`" for c in keep], (F.col("_begin") + F.col("_i")).alias("rank"), "tick")
 
 
 def with_fires(defs: DataFrame, as_of, n: int = 2, forward: bool = True, window_seconds: int | None = None) -> DataFrame:
@@ -131,7 +145,7 @@ def with_fires(defs: DataFrame, as_of, n: int = 2, forward: bool = True, window_
         columns = [f"transform({ranks}, r -> {nth_fire('r')}) AS fires"]
         if window_seconds is not None:
             columns += ["_window + 1 AS window_first", "window_last",
-                        f"CASE WHEN window_last > _window THEN {nth_fire('window_last')} END AS latest", *PLAN_COLUMNS]
+                        f"CASE WHEN window_last > _window THEN {nth_fire('window_last')} END AS latest"]
         return out.selectExpr("cron_expression", "cron_error", *columns)
 
     return per_expression(defs, fires)
@@ -143,7 +157,7 @@ def next_fires(defs: DataFrame, as_of, n: int = 2) -> DataFrame:
     if n <= RANKS:  # few enough for an array, which is made once per distinct expression
         return with_fires(rows, as_of, n).select("id", F.posexplode("fires").alias("_i", "tick")).select(
             "id", (F.col("_i") + 1).alias("n"), "tick")
-    ranked = _ranks({"_now": _instant(as_of), "_end": LAST_INSTANT}, rows)
+    ranked = _ranks({"_now": _instant(as_of), "_end": LAST_INSTANT}, rows, [])
     ticks = _opened(ranked, "_now + 1", f"least(_end, _now + {n})", ["id", "_now"])
     return ticks.selectExpr("id", "cast(rank - _now AS INT) AS n", "tick")
 

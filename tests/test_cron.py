@@ -165,3 +165,18 @@ def test_many_fires_equal_few(spark, monkeypatch):
         F.count("*").alias("n"), F.min("tick").alias("first")).collect()
     assert {r.id: (r.fires, r.first_tick) for r in counted.values() if r.fires} == {r.id: (r.n, r.first) for r in ticks}
     assert counted.keys() == {r.id for r in defs.collect()}
+
+
+def test_opened_fires_leave_their_calendar_behind(spark):
+    """Dense fires of one file of definitions come from many tasks, whose rows hold no calendar, and are all there."""
+    from schedlake.operators import occurrences as o
+
+    defs = _defs(spark, ["* * * * *", "*/15 * * * *"] * 3).coalesce(1)
+    for opened, n in ((o.next_fires(defs, AS_OF, 600), 6 * 600), (due(defs, AS_OF, 86400, catch_up=True), 3 * (1440 + 96))):
+        assert opened.count() == n == opened.distinct().count()
+        assert opened.rdd.getNumPartitions() >= 8
+        plan = opened._jdf.queryExecution().optimizedPlan().toString()
+        wide = next(line for line in plan.splitlines() if "Generate posexplode" in line)
+        assert "year_days" not in wide
+    both = o.next_fires(defs, AS_OF, 300).groupBy("n").agg(F.count("*").alias("c")).collect()
+    assert {r.n: r.c for r in both} == dict.fromkeys(range(1, 301), 6)
