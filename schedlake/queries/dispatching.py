@@ -37,6 +37,10 @@ def existing_executions(spark, sf):
     return d.exists_executions(keys, fx.executions(spark, sf))
 
 
+#: What the guard reads of a definition; each of its due ticks carries these.
+DUE = ["id", "cron_expression", "allow_overlap"]
+
+
 @query(with_ctes("ticks executions", f"""WITH due AS (SELECT d.id, d.allow_overlap, t.tick AS scheduled_time
     FROM definitions d JOIN ticks t ON t.id = d.id WHERE t.tick < TIMESTAMP '{fx.AS_OF}'
     AND t.tick >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 2 DAY),
@@ -45,7 +49,7 @@ SELECT id, scheduled_time FROM ranked r WHERE allow_overlap OR (rn = 1 AND id NO
     SELECT job_id FROM executions WHERE job_id IS NOT NULL AND status IN ('PENDING', 'RUNNING') AND job_id % 3 = 0))"""))
 def overlap_guard(spark, sf):
     """Over the whole history, in which the runs of two thirds of the jobs have ended."""
-    due_rows = due(fx.definitions(spark, sf), fx.AS_OF, 2 * 86400, catch_up=True)
+    due_rows = due(fx.definitions(spark, sf).select(*DUE), fx.AS_OF, 2 * 86400, catch_up=True)
     ended = F.when(F.col("job_id") % 3 == 0, F.col("status")).otherwise("SUCCESS")
     execs = fx.executions(spark, sf).withColumn("status", ended)
     return d.overlap_guard(due_rows, execs).select("id", "scheduled_time")
@@ -58,7 +62,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY scheduled_time)
 SELECT id, scheduled_time FROM ranked r WHERE allow_overlap OR (rn = 1 AND id NOT IN (
     SELECT job_id FROM executions WHERE job_id IS NOT NULL AND status IN ('PENDING', 'RUNNING')))"""))
 def overlap_guard_whole_history(spark, sf):
-    due_rows = due(fx.definitions(spark, sf), fx.AS_OF, 2 * 86400, catch_up=True)
+    due_rows = due(fx.definitions(spark, sf).select(*DUE), fx.AS_OF, 2 * 86400, catch_up=True)
     return d.overlap_guard(due_rows, fx.executions(spark, sf)).select("id", "scheduled_time")
 
 

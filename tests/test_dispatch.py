@@ -112,3 +112,12 @@ def test_guard_over_the_whole_history(spark, small):
     busy = {r.job_id for r in fx.executions(spark, small).filter("status IN ('PENDING', 'RUNNING')").collect()}
     got = {r.id for r in QUERIES["overlap_guard_whole_history"](spark, small).collect()}
     assert got & quiet and not got & quiet & busy
+
+
+def test_guard_queries_carry_narrow_ticks(spark, small):
+    """Due ticks hold only what the guard reads: a definition's texts are not copied to each of them."""
+    from schedlake.queries import QUERIES
+
+    for name in ("overlap_guard", "overlap_guard_whole_history"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate posexplode" in plan and "handler_params" not in plan and "year_days" not in plan.split("Generate posexplode")[0]
