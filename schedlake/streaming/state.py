@@ -20,6 +20,8 @@ OUTPUT_SCHEMA = f"execution_id long, {STATE_SCHEMA}"
 DEADLINE_SCHEMA = "execution_id long, started_at timestamp, deadline timestamp, kind string, error_message string"
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: The microseconds that stand for no time.
+NO_TIME = pd.NaT.value // 1000
 FINISH = {"complete": "SUCCESS", "fail": "FAILED", "timeout": "TIMEOUT"}
 
 
@@ -88,6 +90,10 @@ def state_stream(transitions: DataFrame, max_retry=None) -> DataFrame:
         LifecycleProcessor(), outputStructType=OUTPUT_SCHEMA, outputMode="Update", timeMode="None")
 
 
+def _last_if_null(value) -> tuple:
+    return (True, 0) if pd.isna(value) else (False, value)
+
+
 class DeadlineProcessor(StatefulProcessor):
     """Sets an event-time timer per claim and fires it when no end came by then.
 
@@ -103,32 +109,49 @@ class DeadlineProcessor(StatefulProcessor):
     def _timer(micros: int) -> int:
         return -(-micros // 1000)
 
-    def _clear(self) -> None:
-        if self._claim.exists():
-            self._handle.deleteTimer(self._timer(self._claim.get()[1]))
+    def _replace(self, stored: tuple | None, claim: tuple | None) -> None:
+        if stored == claim:
+            return
+        if stored is not None:
+            self._handle.deleteTimer(self._timer(stored[1]))
+        if claim is not None:
+            self._claim.update(claim)
+            self._handle.registerTimer(self._timer(claim[1]))
+        else:
             self._claim.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["event_time", "seq"])
+        # Each call on the state is a round trip, so it is read once and written once however many rows there are.
+        batch = [r for part in rows for r in zip(*[part[c].tolist() for c in ("at", "seq", "kind", "timeout_seconds")])]
+        batch.sort(key=lambda r: (_last_if_null(r[0]), _last_if_null(r[1])))
+        stored = claim = self._stored()
         missed = []
-        for row in batch.itertuples(index=False):
-            at = row.event_time.value // 1000
-            if self._claim.exists() and self._claim.get()[1] < at:
-                missed.append(self._missed(key))
-            if row.kind == "claim" and not self._claim.exists():
-                deadline = at + int(row.timeout_seconds) * 1_000_000
-                self._claim.update((at, deadline))
-                self._handle.registerTimer(self._timer(deadline))
-            elif row.kind in ("complete", "fail", "timeout", "delete"):
-                self._clear()
-        yield self._frame(missed)
+        for at, _, kind, timeout in batch:
+            at = NO_TIME if pd.isna(at) else int(at)
+            if claim is not None and claim[1] < at:
+                missed.append(self._missed(key, claim))
+                claim = None
+            if kind == "claim" and claim is None:
+                claim = (at, at + int(timeout) * 1_000_000)
+            elif kind in ("complete", "fail", "timeout", "delete"):
+                claim = None
+        self._replace(stored, claim)
+        if missed:
+            yield self._frame(missed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._frame([self._missed(key)] if self._claim.exists() else [])
+        claim = self._stored()
+        if claim is not None:
+            self._replace(claim, None)
+            yield self._frame([self._missed(key, claim)])
+
+    def _stored(self) -> tuple | None:
+        value = self._claim.get()
+        return None if value is None else tuple(value)
 
-    def _missed(self, key) -> tuple:
-        started, deadline = (EPOCH + timedelta(microseconds=us) for us in self._claim.get())
-        self._clear()
+    @staticmethod
+    def _missed(key, claim: tuple) -> tuple:
+        started, deadline = (EPOCH + timedelta(microseconds=us) for us in claim)
         return key[0], started, deadline, "timeout", TIMEOUT_MESSAGE
 
     @staticmethod
@@ -153,5 +176,6 @@ def deadline_stream(transitions: DataFrame, timeouts: DataFrame | None = None, d
         "execution_id", "seq", "kind",
         F.coalesce("timeout_seconds", F.lit(DEFAULT_TIMEOUT_SECONDS)).cast("int").alias("timeout_seconds"),
         F.col("ts").cast("timestamp").alias("event_time")).withWatermark("event_time", delay)
+    rows = rows.withColumn("at", F.unix_micros("event_time"))
     return rows.groupBy("execution_id").transformWithStateInPandas(
         DeadlineProcessor(), outputStructType=DEADLINE_SCHEMA, outputMode="Append", timeMode="EventTime")

@@ -148,3 +148,56 @@ def test_deadlines_follow_definitions(spark):
     # 12 ends within the default hour; 13 and 14 end after it; 15's limit counts for an hour; 18 ends before it starts
     assert got == {(11, at(1), at(3)), (13, at(2), at(62)), (14, at(3), at(63)), (16, at(4), at(6)), (18, at(30), at(32)),
                    (19, at(700), at(702))}
+
+
+def test_deadlines_touch_the_state_once_for_all_rows():
+    """Calls on the state are round trips: their number must not grow with an execution's rows."""
+    import pandas as pd
+    from schedlake.streaming.state import DeadlineProcessor
+
+    calls, held, timers = [], [], set()
+
+    class State:
+        def exists(self):
+            calls.append("exists")
+            return bool(held)
+
+        def get(self):
+            calls.append("get")
+            return held[0] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held[:] = [value]
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("register")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            timers.discard(at)
+
+    start = pd.Timestamp("2024-01-01")
+    rows = [(start + pd.Timedelta(minutes=i), i, "claim" if i % 2 == 0 else "complete") for i in range(200)]
+    rows += [(start + pd.Timedelta(minutes=200), 200, "claim"), (start + pd.Timedelta(minutes=261), 201, "retry"),
+             (start + pd.Timedelta(minutes=262), 202, "claim")]
+    frame = pd.DataFrame(rows[::-1], columns=["event_time", "seq", "kind"]).assign(timeout_seconds=3600)
+    frame["at"] = frame["event_time"].astype("datetime64[us]").astype("int64")
+    processor = DeadlineProcessor()
+    processor.init(Handle())
+    missed = pd.concat([f for f in processor.handleInputRows((7,), iter([frame[:90], frame[90:]]), None) if len(f)])
+    assert [(r.execution_id, r.started_at.tz_localize(None)) for r in missed.itertuples()] == [(7, start + pd.Timedelta(minutes=200))]
+    assert len(calls) <= 4
+    deadline = (start + pd.Timedelta(minutes=322)).value // 10 ** 6
+    assert timers == {deadline}
+    late = pd.concat(list(processor.handleExpiredTimer((7,), None, None)))
+    assert late.started_at[0].tz_localize(None) == start + pd.Timedelta(minutes=262) and not timers and not held
