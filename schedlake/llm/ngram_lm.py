@@ -20,20 +20,25 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from schedlake.llm.elias_fano import Trie
-from schedlake.llm.shared import small_batches, written
+from schedlake.llm.shared import ARROW_BYTES, setting, small_batches, written
 
-#: Text of one chunk.
-CHUNK_BYTES = 12 << 20
+#: Text of one chunk, and of the slices that it is gathered from.
+CHUNK_BYTES, SLICE_BYTES = 5 << 20, 1 << 20
 #: Distinct bigrams, summed over chunks, that one shard answers.
-SHARD_BIGRAMS = 1_500_000
+SHARD_BIGRAMS = 1_000_000
+#: Bigrams that are looked up at a time.
+LOOKUP = 1 << 18
 #: Weight of the unigram model in each context, as a number of tokens.
 PRIOR = 500.0
 BEGIN, END = 0, 1  # numbers of the marks in each chunk; words follow
 MARKS = np.array([0x8000000000000001, 0x8000000000000002], np.uint64)
 WORD_BITS = np.uint64(24)  # a successor is told apart by the upper 40 bits of its fingerprint
 BACKOFF_STEP = 0.0002
-#: A context that takes this share of a chunk's bigrams is dealt out over several shards by its successors.
-HOT_SHARE, HOT_PARTS = 0.002, 16
+#: A context that takes this share of a chunk's bigrams is dealt out over several shards by its successors; so is one that
+#: takes this share of a shard.
+HOT_SHARE, HOT_PARTS, SHARD_SHARE = 0.002, 16, 0.25
+#: Bytes after which Spark closes a batch for Python: a chunk then comes alone.
+SENT_BYTES = 4 << 20
 
 
 class Chunk(NamedTuple):
@@ -43,6 +48,20 @@ class Chunk(NamedTuple):
     train: np.ndarray  # whether each text counts
 
 
+class Hot(NamedTuple):
+    words: np.ndarray  # fingerprints of contexts that are dealt out, ascending
+    parts: np.ndarray  # shards that each is dealt out over
+
+
+class Dealt(NamedTuple):
+    shards: np.ndarray  # the shards that get anything, ascending
+    contexts: np.ndarray  # local contexts by shard, then number
+    context_cuts: np.ndarray  # where each shard's contexts begin, and the end
+    degrees: np.ndarray  # bigrams that each context's shard gets of it
+    bigrams: np.ndarray  # bigrams by shard, then place among all
+    bigram_cuts: np.ndarray
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """Rows ``chunk, ids, train, sizes, words, tokens`` from ``doc_id, train, data``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +78,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 pa.array([np.concatenate([MARKS, prints]).tobytes()]), pa.array([np.concatenate(streams).tobytes()])],
                 names=["chunk", "ids", "train", "sizes", "words", "tokens"])
 
-        for batch in small_batches(batches, "data", 4 << 20):
+        for batch in small_batches(batches, "data", SLICE_BYTES):
             ids.append(batch.column(0))
             train += batch.column(1).to_pylist()
             for text in batch.column(2).to_pylist():
@@ -99,48 +118,58 @@ def bigrams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return distinct // len(chunk.words), distinct % len(chunk.words), times, which
 
 
-def dealt(chunk: Chunk, first: np.ndarray, second: np.ndarray, shards: int, hot: np.ndarray):
-    """For each shard the local contexts it gets and the bigrams it gets, both in the order of their fingerprints."""
-    home = (chunk.words % np.uint64(shards)).astype(np.int64)
-    parts = np.where(np.isin(chunk.words, hot), HOT_PARTS, 1)
+def dealt(chunk: Chunk, first: np.ndarray, second: np.ndarray, shards: int, hot: Hot) -> Dealt:
+    """Which shard gets which contexts and bigrams. A context that is dealt out goes to all of its shards."""
+    home, n = (chunk.words % np.uint64(shards)).astype(np.int64), len(chunk.words)
+    parts = np.ones(n, np.int64)
+    if len(hot.words):
+        place = np.minimum(np.searchsorted(hot.words, chunk.words), len(hot.words) - 1)
+        parts = np.where(hot.words[place] == chunk.words, hot.parts[place], parts)
     shard = (home[first] + (chunk.words[second] >> WORD_BITS).astype(np.int64) % parts[first]) % shards
-    order = np.lexsort((chunk.words[second], chunk.words[first], shard))
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    local = np.delete(np.arange(len(chunk.words)), END)
-    asked_local = np.repeat(local, parts[local])
-    asked_shard = (np.repeat(home[local], parts[local]) + np.arange(len(asked_local))
-                   - np.repeat(np.cumsum(parts[local]) - parts[local], parts[local])) % shards
-    asked = np.lexsort((chunk.words[asked_local], asked_shard))
-    bounds = np.searchsorted(asked_shard[asked], np.arange(shards + 1))
-    for s in range(shards):
-        yield s, np.unique(asked_local[asked[bounds[s]:bounds[s + 1]]]), order[cuts[s]:cuts[s + 1]]
-
-
-def _in_order(local: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return local[np.argsort(words[local])]
-
-
-def questions(rows: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
-    """``shard, chunk, contexts, counts, degrees, successors, times``, one row per chunk and shard."""
+    order = np.argsort(shard, kind="stable")
+    local = np.delete(np.arange(n), END)
+    asked = np.repeat(local, parts[local])
+    nth = np.arange(len(asked)) - np.repeat(np.cumsum(parts[local]) - parts[local], parts[local])
+    asked = np.unique((home[asked] + nth) % shards * n + asked)
+    given = shard[order] * n + first[order]
+    degrees = (np.searchsorted(given, asked, "right") - np.searchsorted(given, asked)).astype(np.uint32)
+    present, cuts = np.unique(asked // n, return_index=True)
+    return Dealt(present, asked % n, np.append(cuts, len(asked)), degrees, order, np.append(np.searchsorted(given, present * n), len(order)))
+
+
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Each stretch of the values between two cuts as one binary value."""
+    size = values.nbytes // len(values) if len(values) else 1
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [
+        None, pa.py_buffer((cuts * size).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values that ``binaries`` cut, in a row, and where each binary value begins, and the end."""
+    found, sizes = [np.zeros(0, kind)], [np.zeros(1, np.int64)]
+    for part in column.cast(pa.large_binary()).chunks:
+        if len(part):
+            ends = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
+            sizes.append(np.diff(ends) // np.dtype(kind).itemsize)
+            if ends[-1] > ends[0]:
+                found.append(np.frombuffer(part.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(kind))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+
+def questions(rows: DataFrame, shards: int, hot: Hot) -> DataFrame:
+    """``shard, chunk, contexts, counts, degrees, successors, times``, one row per chunk and shard that has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in one_by_one(batches):
             chunk = chunk_of(row)
-            first, second, times, _ = bigrams(chunk)
+            first, second, times, which = bigrams(chunk)
+            del which
             counts = np.bincount(first, times, len(chunk.words)).astype(np.uint32)  # a word is followed as often as it occurs
-            columns: list[list] = [[] for _ in range(7)]
-            for s, local, own in dealt(chunk, first, second, shards, hot):
-                local = _in_order(local, chunk.words)
-                degrees = np.zeros(len(chunk.words), np.uint32)
-                np.add.at(degrees, first[own], 1)
-                successors = chunk.words[second[own]] >> WORD_BITS
-                packed = (successors & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (successors >> np.uint64(32)).astype(np.uint8).tobytes()
-                for column, value in zip(columns, (
-                        s, row["chunk"], chunk.words[local].tobytes(), counts[local].tobytes(), degrees[local].tobytes(),
-                        packed, times[own].tobytes())):
-                    column.append(value)
+            to = dealt(chunk, first, second, shards, hot)
+            successors = (chunk.words[second[to.bigrams]] >> WORD_BITS).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()),
-                 *[pa.array(c, pa.binary()) for c in columns[2:]]],
+                [pa.array(to.shards, pa.int32()), pa.array(np.full(len(to.shards), row["chunk"]), pa.int64()),
+                 binaries(chunk.words[to.contexts], to.context_cuts), binaries(counts[to.contexts], to.context_cuts),
+                 binaries(to.degrees, to.context_cuts), binaries(successors, to.bigram_cuts), binaries(times[to.bigrams], to.bigram_cuts)],
                 names=["shard", "chunk", "contexts", "counts", "degrees", "successors", "times"])
 
     return rows.mapInArrow(run, "shard int, chunk long, contexts binary, counts binary, degrees binary, successors binary, times binary")
@@ -149,42 +178,36 @@ def questions(rows: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
 def _answer(shards: int):
     """Builds the trie of a shard from all chunks' counts and looks up every chunk's bigrams in it."""
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        contexts = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
-        degrees = [np.frombuffer(r["degrees"], np.uint32) for r in rows]
-        successors, times = [], [np.frombuffer(r["times"], np.uint32) for r in rows]
-        for r, t in zip(rows, times):
-            low = np.frombuffer(r["successors"], "<u4", len(t)).astype(np.uint64)
-            successors.append(low | np.frombuffer(r["successors"], np.uint8, len(t), 4 * len(t)).astype(np.uint64) << np.uint64(32))
-        known, number = np.unique(np.concatenate(contexts), return_inverse=True)
-        total = np.bincount(number, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), len(known))
-        owner = np.repeat(number, np.concatenate(degrees))
-        word, seen = np.concatenate(successors), np.concatenate(times)
+        contexts, context_cuts = joined(table["contexts"], "<u8")
+        seen, cuts = joined(table["times"], "<u4")
+        word = np.zeros((len(seen), 8), np.uint8)
+        word[:, :5] = joined(table["successors"], "u1")[0].reshape(-1, 5)
+        word = word.view("<u8").reshape(-1)
+        known, number = np.unique(contexts, return_inverse=True)
+        total = np.bincount(number, joined(table["counts"], "<u4")[0], len(known))
+        owner = np.repeat(number, joined(table["degrees"], "<u4")[0])
         counted = np.flatnonzero(seen)
         order = counted[np.lexsort((word[counted], owner[counted]))]
         fresh = np.concatenate([[True], (np.diff(owner[order]) != 0) | (np.diff(word[order]) != 0)])[:len(order)]
         place = np.cumsum(fresh) - 1
         c = np.bincount(place, seen[order]) if len(order) else np.zeros(0)
         own, ends = owner[order][fresh], word[order][fresh]
+        del contexts, seen, counted, order, place
         trie = Trie(own, ends, c / (total[own] + PRIOR), len(known))
-        found = trie.find(owner, word)
+        found = np.concatenate([np.zeros(0, np.uint8), *(
+            trie.find(owner[i:i + LOOKUP], word[i:i + LOOKUP]) for i in range(0, len(word), LOOKUP))])
         backoff = np.rint(-np.log10(PRIOR / (total + PRIOR)) / BACKOFF_STEP).clip(0, 65535).astype("<u2")
-        home = (known % np.uint64(shards)).astype(np.int64) == rows[0]["shard"]
+        home = (known % np.uint64(shards)).astype(np.int64) == table["shard"][0].as_py()
         distinct = int(((total > 0) & home & (known != MARKS[BEGIN])).sum())
-        out, at, bt = [], 0, 0
-        for r, v, w in zip(rows, contexts, successors):
-            mine = number[at:at + len(v)]
-            out.append((r["chunk"], r["shard"], total[mine].astype("<u8").tobytes() + backoff[mine].tobytes(),
-                        found[bt:bt + len(w)].tobytes(), distinct))
-            at, bt = at + len(v), bt + len(w)
         return pa.Table.from_arrays(
-            [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))],
-            names=["chunk", "shard", "totals", "found", "distinct"])
+            [table["chunk"], table["shard"], binaries(total[number].astype("<u8"), context_cuts), binaries(backoff[number], context_cuts),
+             binaries(found, cuts), pa.array([distinct] * table.num_rows, pa.int64())],
+            names=["chunk", "shard", "totals", "backoff", "found", "distinct"])
 
     return run
 
 
-def _scores(shards: int, hot: np.ndarray, train_tokens: int, train_texts: int, distinct: int, kind: pa.DataType):
+def _scores(shards: int, hot: Hot, train_tokens: int, train_texts: int, distinct: int, kind: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         kinds = [kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -193,15 +216,13 @@ def _scores(shards: int, hot: np.ndarray, train_tokens: int, train_texts: int, d
         row = left.to_pylist()[0]
         chunk = chunk_of(row)
         first, second, _, which = bigrams(chunk)
-        answers = {r["shard"]: r for r in right.to_pylist()}
+        to = dealt(chunk, first, second, shards, hot)
+        right = right.sort_by("shard")
         total, backoff = np.zeros(len(chunk.words)), np.zeros(len(chunk.words), np.uint16)
-        found = np.full(len(first), 255, np.uint8)
-        for s, local, own in dealt(chunk, first, second, shards, hot):
-            if s in answers:
-                local = _in_order(local, chunk.words)
-                total[local] = np.frombuffer(answers[s]["totals"], "<u8", len(local))
-                backoff[local] = np.frombuffer(answers[s]["totals"], "<u2", len(local), 8 * len(local))
-                found[own] = np.frombuffer(answers[s]["found"], np.uint8)
+        found = np.zeros(len(first), np.uint8)
+        total[to.contexts] = joined(right["totals"], "<u8")[0]
+        backoff[to.contexts] = joined(right["backoff"], "<u2")[0]
+        found[to.bigrams] = joined(right["found"], "u1")[0]
         total[END] = train_texts
         unigram = (total + 0.5) / (train_tokens + 0.5 * (distinct + 1))
         each = np.log10(Trie.probability(found) + 10.0 ** (-BACKOFF_STEP * backoff[first]) * unigram[second])
@@ -216,19 +237,26 @@ def _scores(shards: int, hot: np.ndarray, train_tokens: int, train_texts: int, d
     return run
 
 
-def hot_contexts(rows: DataFrame, shards: int) -> np.ndarray:
-    """Fingerprints of the contexts that take much of a chunk; at most ``shards`` of them, the most frequent."""
+def hot_contexts(rows: DataFrame, shards: int, all_tokens: int) -> Hot:
+    """The contexts that take much of a chunk or of a shard; at most ``shards`` of them, the most frequent."""
+    share = min(HOT_SHARE, SHARD_SHARE / shards)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in one_by_one(batches):
             words, tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], "<i4")
             times = np.bincount(tokens, minlength=len(words))
             times[BEGIN], times[END] = times[END], 0
-            much = np.flatnonzero(times > HOT_SHARE * max(len(tokens), 1))
+            much = np.flatnonzero(times > share * max(len(tokens), 1))
             yield pa.RecordBatch.from_arrays([pa.array(words[much].view(np.int64)), pa.array(times[much], pa.int64())],
                                              names=["word", "n"])
 
     found = rows.select("words", "tokens").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return np.array([r["word"] for r in found.orderBy(F.desc("n"), "word").limit(shards).collect()], np.int64).view(np.uint64)
+    top = found.orderBy(F.desc("n"), "word").limit(shards).collect()
+    words, n = np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
+    least = np.where(n > HOT_SHARE * all_tokens, HOT_PARTS, 2)
+    parts = np.minimum(np.maximum(least, np.ceil(n / (SHARD_SHARE * SHARD_BIGRAMS)).astype(np.int64)), shards)
+    order = np.argsort(words)
+    return Hot(words[order], parts[order])
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train=None) -> DataFrame:
@@ -243,15 +271,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train=Non
     if train is None:
         train = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 != 1
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = written(chunks(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), data.alias("data"))),
-                   "text-chunks")
-    sizes = rows.agg(F.sum(F.length("tokens") / 4).alias("tokens")).first()
-    shards = int(max(48, -(-(sizes["tokens"] or 0) // SHARD_BIGRAMS)))
-    totals = _training(rows)
-    hot = hot_contexts(rows, shards)
-    asked = questions(rows, shards, hot)
-    answers = written(asked.groupBy("shard").applyInArrow(
-        _answer(shards), "chunk long, shard int, totals binary, found binary, distinct long"), "answers")
+    spark = docs.sparkSession
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), data.alias("data"))
+    with setting(spark, ARROW_BYTES, str(SENT_BYTES)):
+        rows = written(chunks(texts), "text-chunks")
+        tokens = int(rows.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0)
+        shards = max(48, -(-tokens // SHARD_BIGRAMS))
+        totals = _training(rows)
+        hot = hot_contexts(rows, shards, tokens)
+        answers = written(questions(rows.drop("ids"), shards, hot).groupBy("shard").applyInArrow(
+            _answer(shards), "chunk long, shard int, totals binary, backoff binary, found binary, distinct long"), "answers")
     distinct = answers.groupBy("shard").agg(F.max("distinct").alias("n")).agg(F.sum("n")).first()[0] or 0
     kind = rows.schema["ids"].dataType.elementType
     scored = _scores(shards, hot, totals[0], totals[1], distinct + (totals[1] > 0), to_arrow_type(kind))

@@ -26,6 +26,8 @@ DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows that Spark hands to Python at once.
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes after which Spark closes such a batch; one row may be larger.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager

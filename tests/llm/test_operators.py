@@ -250,6 +250,28 @@ def test_language_model(spark, docs, empty, monkeypatch, hot):
     assert tuple(alone) == (0, 0)
 
 
+def test_language_model_shards_stay_small_however_frequent_a_context(spark, monkeypatch):
+    for name, value in {"SHARD_BIGRAMS": 100, "CHUNK_BYTES": 4000, "SLICE_BYTES": 1000}.items():
+        monkeypatch.setattr(ngram_lm, name, value, raising=False)
+    tables = {}
+    monkeypatch.setattr(ngram_lm, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    rows = [(i, " ".join(f"the w{i}x{j}" for j in range(20))) for i in range(400)]
+    got = ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for g, w in zip(sorted(got), brute.bigram_scores(rows, ngram_lm.PRIOR)):
+        assert tuple(g[1:5]) == w[:4]
+        assert abs(g["score"] - w[5]) <= (ngram_lm.Trie.STEP / 2 + 1e-3) * g["n_tokens"]
+    answers = tables["answers"]
+    assert answers.where(F.length("totals") == 0).count() == 0  # no rows that ask for nothing
+    shards = answers.groupBy("shard").agg(F.sum(F.length("found")).alias("n"))
+    assert shards.agg(F.max("n")).first()[0] <= 250  # of 16,400 bigrams, half of them after one word
+
+
+def test_language_model_chunks_hold_little_text(spark):
+    texts = spark.range(8, numPartitions=1).selectExpr("id AS doc_id", "true AS train", "CAST(repeat('ab cd ', 170000) AS binary) AS data")
+    sizes = [r[0] for r in ngram_lm.chunks(texts).select(F.length("tokens") / 4).collect()]
+    assert sum(sizes) == 8 * 340_001 and max(sizes) * 3 <= 6 << 20
+
+
 def test_language_model_beats_unigrams_on_held_out_text(spark, small):
     scored = ngram_lm.score(spark.read.parquet(f"{small}/documents.parquet")).where("held_out")
     base, model = scored.agg(F.sum("base_score"), F.sum("score")).first()
