@@ -75,10 +75,10 @@ DENSE = 10_000
 fires AS (SELECT 0 AS p, t FROM minutes WHERE minute(t) % 15 = 0 UNION ALL SELECT 1, t FROM minutes),
 numbered AS (SELECT p, t AS tick, CAST(row_number() OVER (PARTITION BY p ORDER BY t) AS INT) AS n FROM fires)
 SELECT id, n, tick FROM definitions JOIN numbered ON p = CASE (id - 1) % 12 WHEN 0 THEN 0 WHEN 9 THEN 1 END
-WHERE n <= {DENSE} AND id % 10 < 5"""))
+WHERE n <= {DENSE}"""))
 def next_fires_dense(spark, sf):
     """Ten thousand fires each of the definitions that fire every minute or quarter of an hour."""
-    often = "(id - 1) % 12 IN (0, 9) AND id % 10 < 5"
+    often = "cron_expression IN ('*/15 * * * *', '* * * * *')"
     return o.next_fires(fx.definitions(spark, sf).filter(often), fx.AS_OF, DENSE)
 
 

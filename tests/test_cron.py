@@ -180,3 +180,25 @@ def test_opened_fires_leave_their_calendar_behind(spark):
         assert "year_days" not in wide
     both = o.next_fires(defs, AS_OF, 300).groupBy("n").agg(F.count("*").alias("c")).collect()
     assert {r.n: r.c for r in both} == dict.fromkeys(range(1, 301), 6)
+
+
+def test_dense_fires_of_every_dense_definition(spark, tmp_path):
+    """No definition that fires every minute or quarter of an hour is left out, whatever its id ends in."""
+    import duckdb
+
+    from oracle import compare
+    from schedlake.queries import ORACLES, QUERIES
+    from schedlake.queries.cron import DENSE
+
+    spark.range(60).selectExpr("id AS s_suppkey", "concat('supplier ', id) AS s_name", "cast(id % 25 AS INT) AS s_nationkey",
+                               "cast(id AS DOUBLE) AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    fires = QUERIES["next_fires_dense"](spark, str(tmp_path)).persist()
+    rows = fires.groupBy("id").agg(
+        F.count("*").alias("fires"), F.count_distinct("tick").alias("ticks"), F.max("n").alias("last")).collect()
+    ids = [k + 1 for k in range(60) if k % 12 in (0, 9)]
+    assert {i % 10 for i in ids} == set(range(10))
+    assert sorted(map(tuple, rows)) == [(i, DENSE, DENSE, DENSE) for i in ids]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert compare(spark, con, "next_fires_dense", lambda *_: fires, ORACLES["next_fires_dense"], str(tmp_path)) is None
+    fires.unpersist()
